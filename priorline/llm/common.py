@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def range_bucket(df: DataFrame, key: str, buckets: int) -> Column:
 
 def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a string or binary column with at most ``most`` bytes each, a single row aside."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     at, total = 0, 0
     for i, n in enumerate(sizes):
         if i > at and total + n > most:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import chat_format, media, mixing
+from priorline.llm import chat_format, media, mixing, packing, repair_ids
 from priorline.llm.common import table
 from priorline.session import materialize
 
@@ -20,6 +20,14 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_ids.read_ids(repair_ids.write_ids(table(spark, sf_dir, "documents")))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,8 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_source_mixing": op4_source_mixing,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_repair_ids": op6_repair_ids,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLE_SQL = {"op4_source_mixing": mixing.ORACLE.replace("select doc_id, source, size, source_size", "select doc_id, size, source_size")}
