@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import chat_format, media, mixing, packing, repair_ids
+from priorline.llm import chat_format, html_text, language, media, mixing, packing, repair_ids
 from priorline.llm.common import table
 from priorline.session import materialize
 
@@ -28,6 +28,14 @@ def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_ids.read_ids(repair_ids.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_repair_ids": op6_repair_ids,
+    "op7_language_id": op7_language_id,
+    "op9_tag_path_ratios": op9_tag_path_ratios,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLE_SQL = {"op4_source_mixing": mixing.ORACLE.replace("select doc_id, source, size, source_size", "select doc_id, size, source_size")}
