@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import chat_format, html_text, language, media, mixing, packing, repair_ids
+from priorline.llm import chat_format, html_text, language, media, mixing, packing, repair_ids, suffix_dedup
 from priorline.llm.common import table
 from priorline.session import materialize
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = chat_format.with_control_case(table(spark, sf_dir, "conversations"))
     return chat_format.read_back(chat_format.format_segments(source))
@@ -41,6 +45,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_source_mixing": op4_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
