@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import chat_format, html_text, language, media, mixing, packing, repair_ids, suffix_dedup
+from priorline.llm import chat_format, html_text, language, media, mixing, ngram_join, packing, repair_ids, suffix_dedup
 from priorline.llm.common import table
 from priorline.session import materialize
 
@@ -36,6 +36,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_repair_ids": op6_repair_ids,
     "op7_language_id": op7_language_id,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_tag_path_ratios": op9_tag_path_ratios,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
