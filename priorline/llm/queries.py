@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import chat_format, html_text, language, media, mixing, ngram_join, packing, repair_ids, suffix_dedup
+from priorline.llm import chat_format, fingerprints, html_text, language, media, mixing, ngram_join, packing, repair_ids, suffix_dedup
 from priorline.llm.common import table
 from priorline.session import materialize
 
@@ -15,6 +15,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = chat_format.with_control_case(table(spark, sf_dir, "conversations"))
     return chat_format.read_back(chat_format.format_segments(source))
@@ -50,6 +54,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_closed_syncmers": op2_closed_syncmers,
     "op3_chat_format": op3_chat_format,
     "op4_source_mixing": op4_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
