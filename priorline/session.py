@@ -39,4 +39,7 @@ def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...]
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    # Shuffle files go when the driver collects the plans that made them; long jobs of many steps would
+    # otherwise hold the disk until it happens to.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
