@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from priorline.llm.common import pieces
 from priorline.llm.components import components
-from priorline.llm.prints import NO_ID, Prints, keyed_texts, marked, mix
+from priorline.llm.prints import NO_ID, Prints, keyed_texts, marked, mix, uid
 from priorline.session import materialize
 
 WORDS, THRESHOLD = 5, 0.8
@@ -51,7 +51,7 @@ _MULTIPLIERS = _RNG.integers(1 << 60, 1 << 63, WORDS, np.uint64) * np.uint64(2)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-SIGNED = "doc long, print long, sid long, n int, signature binary, bands array<long>"
+SIGNED = "uid long, doc long, sid long, n int, signature binary, bands array<long>"
 FOREST = "a long, b long"
 LINKED = "sid long, links long, root long"
 
@@ -332,9 +332,9 @@ def _join(docs: DataFrame, threshold: float) -> DataFrame:
     signed = materialize(_signed_rows(keyed), "signed")
     some = signed.where("n > 0")
     # One row for each set: its least document, its copies.
-    first = F.min(F.struct("doc", "print")).alias("one")
+    first = F.min(F.struct("doc", "uid")).alias("one")
     sets = materialize(some.groupBy("sid").agg(F.count("*").alias("copies"), first).select("sid", "copies", "one.*"), "sets")
-    banded = signed.join(sets.select("sid", "doc", "print"), ["sid", "doc", "print"]).select("sid", F.explode("bands").alias("band")).distinct()
+    banded = signed.join(sets.select("sid", "uid"), ["sid", "uid"]).select("sid", F.explode("bands").alias("band")).distinct()
     banded = materialize(banded, "bands")
     sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = banded.join(sizes.select("band"), "band", "left_semi")
@@ -344,9 +344,9 @@ def _join(docs: DataFrame, threshold: float) -> DataFrame:
     edges = materialize(_grouped(met, "band", FOREST, _candidate_work(threshold)).distinct(), "candidates")
     groups = materialize(components(edges), "groups")
     # Texts of the sets that have candidates go to their groups, once for each block.
-    chosen = sets.join(groups, sets["sid"] == groups["node"]).join(signatures, "sid").select("sid", "copies", "label", "signature", "doc", "print")
+    chosen = sets.join(groups, sets["sid"] == groups["node"]).join(signatures, "sid").select("sid", "copies", "label", "signature", "uid")
     chosen = materialize(chosen, "chosen")
-    texts = marked(keyed, chosen)[0].join(chosen, ["doc", "print"]).dropDuplicates(["sid"])
+    texts = marked(keyed, chosen)[0].join(chosen, "uid").dropDuplicates(["sid"])
     filled = materialize(_set_rows(texts), "shingles")
     pieces_ = _blocks(filled, "label", groups.groupBy("label").agg(F.count("*").alias("size")))
     linked = materialize(_grouped(pieces_, "label", LINKED, _verify_work(threshold)), "linked")
@@ -356,20 +356,18 @@ def _join(docs: DataFrame, threshold: float) -> DataFrame:
     named = materialize(named.select("sid", "copies", "doc", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "named")
     least = named.groupBy("label").agg(F.min("doc").alias("class_id"))
     named = named.join(least, "label").select("sid", "copies", "class_id", "links")
-    out = some.select("doc", "print", "sid").join(named, "sid").select("doc", "print", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    bare = signed.where("n = 0").select("doc", "print", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    out = some.select("uid", "doc", "sid").join(named, "sid").select("uid", "doc", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    bare = signed.where("n = 0").select("uid", "doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(bare)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with the columns of ``docs``: the one whose doc_id names the class, and
     of rows that repeat that doc_id one. Documents without a shingle all stay."""
-    text = F.coalesce("text", F.lit(""))
     found = _join(docs, threshold)
-    gone = materialize(found.where("doc <> class_id or n_copies > 1").select("doc", "print", (F.col("doc") == F.col("class_id")).alias("names")).distinct(), "gone")
-    tagged = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "print": F.xxhash64(text)})
-    doubtful, clear = marked(tagged, gone)
-    joined = doubtful.join(gone, ["doc", "print"], "left")
-    rank = F.row_number().over(Window.partitionBy("doc", "print").orderBy("text"))
+    gone = materialize(found.where("doc <> class_id or n_copies > 1").select("uid", (F.col("doc") == F.col("class_id")).alias("names")).distinct(), "gone")
+    doubtful, clear = marked(docs.withColumn("uid", uid()), gone)
+    joined = doubtful.join(gone, "uid", "left")
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy("text"))
     kept = joined.withColumn("rank", rank).where("names is null or (names and rank = 1)")
     return kept.select(*docs.columns).unionByName(clear.select(*docs.columns))

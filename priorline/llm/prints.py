@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorline.session import materialize
@@ -52,16 +52,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc, print, text): a row's identity is its doc_id and its text's hash; null text is empty."""
+    """(uid, doc, text): ``uid`` is a hash of doc_id and text, so rows that repeat share it; null text is empty."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"))
+    return docs.select(uid().alias("uid"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text.alias("text"))
+
+
+def uid() -> Column:
+    return F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), F.coalesce("text", F.lit("")))
 
 
 def marked(keyed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``keyed`` cut in two: rows whose (doc, print) is perhaps among those of ``rows``, and those where it
+    """``keyed`` cut in two: rows whose uid is perhaps among those of ``rows``, and those where it
     surely is not. A table of at most 2**MARK_BITS hashed marks is broadcast, so only rows of the first
     part need to be shuffled; a clash of marks costs a needless shuffle of one row."""
-    mark = F.xxhash64("doc", "print").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")
+    mark = F.col("uid").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")
     marks = F.broadcast(materialize(rows.select(mark).distinct(), "marks"))
     tagged = keyed.withColumn("mark", mark)
     return tagged.join(marks, "mark", "left_semi").drop("mark"), tagged.join(marks, "mark", "left_anti").drop("mark")

@@ -10,10 +10,12 @@ The family: documents come in batches. A batch's suffix array is merged into the
 entries that meet are long matches. Levels of equal size merge into one of twice that size, so there are
 at most log2(batches) + 1 levels, and an entry is rewritten as often at most.
 
-From matches to bytes: an anchor with a matched gram stands for its strings, consecutive starts. Anchors
-whose whole spans (all strings and the anchor's place) repeat need no more; of the others, and of one
-anchor for each repeated span that shares its gram, the strings are fingerprinted one by one with 128
-bits and counted. A removed run is a union of repeated strings.
+From matches to bytes: an anchor with a matched gram stands for its strings, consecutive starts. Strings
+are judged in sets, first all of an anchor, then sixteen neighbours, then one by one. What a set's
+strings have in common is its core, what they cover together its span. With a span that repeats all
+strings repeat; with a core that doesn't, none. Where cores meet but spans differ, sets are cut into
+smaller ones, of each repeated span that shares the core one as a witness. The last fingerprints have
+128 bits. A removed run is a union of repeated strings.
 
 Only documents that take part in matches have their texts shuffled (see ``marked``).
 
@@ -26,7 +28,7 @@ rows; further columns are ignored by ``dedup`` and kept by ``apply_dedup``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +36,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorline.llm.prints import NO_ID, Prints, keyed_texts, marked, mix
+from priorline.llm.prints import NO_ID, Prints, keyed_texts, marked, mix, uid
 from priorline.session import materialize
 
 LENGTH, GRAM = 400, 128
+#: Neighbouring strings in a set of the second kind.
+SET = 16
 BATCHES = 4
 #: Bytes that are hashed at once, and bits for a place among them.
 CHUNK, POSITION_BITS = 2_000_000, 22
 
-ANCHORS = "key long, span long, doc long, print long, lo int, n int, batch int"
-WINDOWS = "h1 long, h2 long, doc long, print long, at int, asked boolean"
+ANCHORS = "core long, span long, uid long, at int, n int, place int, batch int"
+BLOCKS = "core long, span long, uid long, at int, n int, place int, asked boolean"
+WINDOWS = "h1 long, h2 long, uid long, at int, asked boolean"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """For the anchors of the documents data[starts[k]:ends[k]]: k, first string's start in the document,
-    number of strings, fingerprint of the gram, fingerprint of the span with the anchor's place in it."""
+    number of strings, anchor's place in the document, fingerprint of the gram, and of the span with the
+    anchor's place in it."""
     sizes = np.maximum(ends - starts - (LENGTH - 1), 0)
     if not sizes.sum():
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     prints = Prints(data, 0)
     grams = mix(prints.all(GRAM))
     mask = np.uint64((1 << POSITION_BITS) - 1)
@@ -71,7 +77,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     run = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     lo, hi, place, owner = string[run], string[np.r_[run[1:] - 1, len(string) - 1]], place[run], owner[run]
     span = mix(Prints(data, 1).of(lo, hi + LENGTH) + mix((place - lo).astype(np.uint64)) + (hi - lo).astype(np.uint64))
-    return owner, lo - starts[owner], hi - lo + 1, grams[place].view(np.int64), span.view(np.int64)
+    return owner, lo - starts[owner], hi - lo + 1, place - starts[owner], grams[place].view(np.int64), span.view(np.int64)
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,92 +107,113 @@ def _anchor_rows(keyed: DataFrame, batches: int) -> DataFrame:
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            docs, prints = (batch.column(k).to_numpy() for k in (0, 1))
+            uids = batch.column(0).to_numpy()
             for data, rows, starts, ends, places in _chunks(batch.column(2)):
-                owner, lo, n, key, span = anchors(data, starts, ends)
-                row = rows[owner]
-                columns = (key, span, docs[row], prints[row], (lo + places[owner]).astype(np.int32), n.astype(np.int32), (prints[row] % batches).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                owner, at, n, place, core, span = anchors(data, starts, ends)
+                row, before = rows[owner], places[owner]
+                small = [x.astype(np.int32) for x in (at + before, n, place + before, uids[row] % batches)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (core, span, uids[row], *small)], names=names)
 
     return keyed.mapInArrow(run, ANCHORS)
 
 
 class SuffixFamily:
-    """Levels of suffix arrays, each a table (key, n) of twice as many batches as the next smaller one."""
+    """Levels of suffix arrays, each a table (core, n) sorted by core, with the number of batches in it."""
 
     def __init__(self) -> None:
-        self._levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame]] = []
         self._matched: list[DataFrame] = []
 
     def add(self, suffixes: DataFrame) -> None:
-        """A batch's suffixes (key): its array is made, scanned against each level, and merged with levels of its size."""
-        fresh = materialize(suffixes.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"), "level")
-        self._matched.append(fresh.where("n > 1").select("key"))
-        for _, level in self._levels:
-            self._matched.append(fresh.join(level, "key", "left_semi").select("key"))
-        self._levels.append((1, fresh))
-        while len(self._levels) > 1 and self._levels[-1][0] == self._levels[-2][0]:
-            (size, newer), (_, older) = self._levels.pop(), self._levels.pop()
-            self._levels.append((2 * size, older.unionByName(newer)))
-        # A merged level is written when a later batch is to be scanned against it.
-        self._pending = self._levels[-1][0] > 1
-
-    def settle(self) -> None:
-        """Writes the level that the last batch made by merging."""
-        if self._levels and self._pending:
-            size, merged = self._levels.pop()
-            merged = merged.groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key")
-            self._levels.append((size, materialize(merged, "level")))
-            self._pending = False
+        """A batch's suffixes (core): its array is scanned against each level. Where the level is of the
+        array's size, the scan merges both into one array of twice the size, which meets the next level."""
+        size, array = 1, suffixes.select("core", F.lit(1).cast("long").alias("n"))
+        while self.levels and self.levels[-1][0] == size:
+            array = self.levels.pop()[1].unionByName(array)
+            size *= 2
+        array = materialize(array.groupBy("core").agg(F.sum("n").alias("n")).sortWithinPartitions("core"), "level")
+        self._matched.append(array.where("n > 1").select("core"))
+        for _, level in self.levels:
+            self._matched.append(array.join(level, "core", "left_semi").select("core"))
+        self.levels.append((size, array))
 
     def matches(self) -> DataFrame:
-        """Keys that occur more than once in all batches so far, each once."""
+        """Cores that occur more than once in all batches so far, each once."""
         found = self._matched[0]
         for more in self._matched[1:]:
             found = found.unionByName(more)
         return found.distinct()
 
 
-def _window_rows(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """Fingerprints of all strings of the anchors in ``asked`` (doc, print, lo, n, asked)."""
-    names = [x.split()[0] for x in WINDOWS.split(", ")]
-    per_doc = asked.groupBy("doc", "print").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "asked"))).alias("spans"))
+def _resolve(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Sets of strings (core, span, uid, at, n, place, asked) to (uid, start, end) of those of which all
+    strings repeat, and to the sets that have to be cut (uid, at, n, place, asked): with cores that meet
+    and spans that differ. Each span goes on once; one that repeats is asked no more and bears witness."""
+    first = F.min(F.struct("uid", "at", "n", "place")).alias("one")
+    spans = materialize(sets.groupBy("core", "span").agg(F.count("*").alias("copies"), first, F.max("asked").alias("asked")), name)
+    repeated = sets.where("asked").join(spans.where("copies > 1 and asked").select("core", "span"), ["core", "span"])
+    whole = repeated.select("uid", F.col("at").alias("start"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("end"))
+    open_ = (F.col("copies") == 1) & F.col("asked")
+    mixed = spans.groupBy("core").agg(F.count("*").alias("spans"), F.max(open_).alias("any")).where("spans > 1 and any").select("core")
+    return whole, spans.join(mixed, "core").select("one.*", open_.alias("asked"))
+
+
+def _of_texts(texts: DataFrame, sets: DataFrame, schema: str, work: Callable[[np.ndarray, dict], list[np.ndarray]]) -> DataFrame:
+    """Runs ``work`` (a text's bytes, a set) for each of ``sets``; the columns it gives stand around uid."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    per_doc = sets.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("at", "n", "place", "asked"))).alias("sets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-                doc, fingerprint = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for span in batch.column(3)[i].as_py():
-                    lo, n = span["lo"], span["n"]
-                    part = data[lo : lo + n - 1 + LENGTH]
-                    h1, h2 = (mix(Prints(part, k).all(LENGTH)).view(np.int64) for k in (0, 1))
-                    columns = (h1, h2, np.full(n, doc), np.full(n, fingerprint), np.arange(lo, lo + n, dtype=np.int32), np.full(n, span["asked"]))
+                data, own = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8), batch.column(2)[i].as_py()
+                for a in range(0, len(own), 64):
+                    done = [work(data, x) for x in own[a : a + 64]]
+                    columns = [np.concatenate(c) for c in zip(*done, strict=True)]
+                    columns.insert(2, np.full(len(columns[0]), batch.column(0)[i].as_py()))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    joined = texts.join(per_doc, ["doc", "print"]).select("doc", "print", "text", "spans")
-    return joined.mapInArrow(run, WINDOWS)
+    # Rows that repeat share a uid and so their sets.
+    return texts.select("uid", "text").join(per_doc, "uid").select("uid", "text", "sets").mapInArrow(run, schema)
+
+
+def _cut_set(data: np.ndarray, x: dict) -> list[np.ndarray]:
+    """An anchor's strings in sets of SET neighbours, by their distance from the anchor."""
+    at, last, place = x["at"], x["at"] + x["n"] - 1, x["place"]
+    lo, part = max(0, at - SET), data[max(0, at - SET) : last + LENGTH + SET]
+    k = np.arange((place - last) // SET, (place - at) // SET + 1)
+    final = place - SET * k  # the last start of a whole set, the start of its core
+    begin, end = np.maximum(final - SET + 1, at), np.minimum(final, last)
+    core = mix(Prints(part, 0).of(final - lo, final - lo + LENGTH - SET + 1) + mix(k.astype(np.uint64)))
+    shape = mix((final - begin).astype(np.uint64)) + (end - begin).astype(np.uint64)
+    span = mix(Prints(part, 1).of(begin - lo, end - lo + LENGTH) + shape)
+    small = [c.astype(np.int32) for c in (begin, end - begin + 1, begin)]
+    return [core.view(np.int64), span.view(np.int64), *small, np.full(len(k), x["asked"])]
+
+
+def _one_by_one(data: np.ndarray, x: dict) -> list[np.ndarray]:
+    at, n = x["at"], x["n"]
+    part = data[at : at + n - 1 + LENGTH]
+    h1, h2 = (mix(Prints(part, k).all(LENGTH)).view(np.int64) for k in (0, 1))
+    return [h1, h2, np.arange(at, at + n, dtype=np.int32), np.full(n, x["asked"])]
 
 
 def repeated_intervals(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc, print, start, end): byte ranges that repeated strings cover, overlapping ones among them."""
+    """(uid, start, end): byte ranges that repeated strings cover, overlapping ones among them."""
     entries = materialize(_anchor_rows(keyed, batches), "anchors")
     family = SuffixFamily()
     for b in range(batches):
-        family.settle()
-        family.add(entries.where(F.col("batch") == b).select("key"))
-    matched = materialize(entries.join(family.matches(), "key").drop("batch"), "matched")
-    first = F.min(F.struct("doc", "print", "lo", "n")).alias("one")
-    spans = materialize(matched.groupBy("key", "span").agg(F.count("*").alias("copies"), first), "spans")
-    whole = matched.join(spans.where("copies > 1").select("key", "span"), ["key", "span"])
-    mixed = spans.groupBy("key").agg(F.count("*").alias("spans")).where("spans > 1").select("key")
-    asked = materialize(spans.join(mixed, "key").select("one.*", (F.col("copies") == 1).alias("asked")), "asked")
-    strings = materialize(_window_rows(marked(keyed, asked)[0], asked), "strings")
+        family.add(entries.where(F.col("batch") == b).select("core"))
+    matched = materialize(entries.join(family.matches(), "core").drop("batch").withColumn("asked", F.lit(True)), "matched")
+    whole, mixed = _resolve(matched, "spans")
+    mixed = materialize(mixed, "mixed")
+    sets = materialize(_of_texts(marked(keyed, mixed)[0], mixed, BLOCKS, _cut_set), "sets")
+    whole_sets, mixed_sets = _resolve(sets, "set-spans")
+    mixed_sets = materialize(mixed_sets, "mixed-sets")
+    strings = materialize(_of_texts(marked(keyed, mixed_sets)[0], mixed_sets, WINDOWS, _one_by_one), "strings")
     repeated = strings.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2")
     single = strings.where("asked").join(repeated, ["h1", "h2"])
-    return whole.select("doc", "print", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("end")).unionByName(
-        single.select("doc", "print", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    )
+    return whole.unionByName(whole_sets).unionByName(single.select("uid", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")))
 
 
 def merge_intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +236,8 @@ def _with_intervals(keyed: DataFrame, batches: int) -> tuple[DataFrame, DataFram
     """Documents that may lose bytes, with their ranges (null where a clash of marks brought them), and the others."""
     intervals = materialize(repeated_intervals(keyed, batches).distinct(), "intervals")
     touched, clean = marked(keyed, intervals)
-    per_doc = intervals.groupBy("doc", "print").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    return touched.join(per_doc, ["doc", "print"], "left").select(*keyed.columns, "start", "end"), clean
+    per_doc = intervals.groupBy("uid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    return touched.join(per_doc, "uid", "left").select(*keyed.columns, "start", "end"), clean
 
 
 def _ranges(batch: pa.RecordBatch, i: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -246,11 +273,10 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def apply_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The documents with repeated bytes cut out of their texts; bytes of a character that a cut divides go
     too. Documents that had text and have none left go; n_chars, where there is one, is counted anew."""
-    identity = [F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print")]
-    keyed = docs.withColumns({"doc": identity[0], "print": identity[1]})
+    keyed = docs.withColumn("uid", uid())
     intervals = materialize(repeated_intervals(keyed_texts(docs), batches).distinct(), "intervals")
     touched, clean = marked(keyed, intervals)
-    per_doc = intervals.groupBy("doc", "print").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    per_doc = intervals.groupBy("uid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     own = docs.columns
     text_at, start_at, end_at = own.index("text"), len(own), len(own) + 1
 
@@ -265,6 +291,6 @@ def apply_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == text_at else batch.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays(columns, names=own).filter(pa.array(keep, pa.bool_()))
 
-    cut = touched.join(per_doc, ["doc", "print"], "left").select(*own, "start", "end").mapInArrow(run, docs.schema)
+    cut = touched.join(per_doc, "uid", "left").select(*own, "start", "end").mapInArrow(run, docs.schema)
     out = cut.unionByName(clean.select(*own))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*own) if "n_chars" in own else out
