@@ -5,18 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from priorline.llm import mixing
+from priorline.llm import language, mixing, ngram_join, packing, suffix_dedup
 from priorline.llm.common import table
 from priorline.session import materialize
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no known language, go; a missing lang is filled with the prediction."""
+    prototypes = language.learn(docs)
+    kept = language.predict(docs, prototypes).where(F.col("lang_pred") != language.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat are cut out of all documents; documents that were nothing else go."""
+    return suffix_dedup.apply_dedup(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, cut or left out as the mix takes them."""
     return mixing.apply_mix(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_text", repeated_text_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 #: Hyperdimensional vectors, suffix arrays and tokenizers are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
