@@ -42,7 +42,7 @@ from priorline.session import materialize
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 32, 1e-6
-BLOCK, AT_ONCE, COLUMNS = 256, 4_000_000, 16_384
+BLOCK, AT_ONCE, COLUMNS = 256, 1_000_000, 4_096
 
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
