@@ -12,7 +12,7 @@ from priorline.functions.calendar import utc_offset_hours
 from priorline.operators import asof, fits, folds, joins, ledger, rolling, scoring
 from priorline.plans import views
 from priorline.plans.oracle import ORACLE_SQL as ORACLE_SQL
-from priorline.streaming import pending
+from priorline.streaming import capture, pending
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -502,3 +502,12 @@ def stream_window_counts(spark, sf_dir):
     out = pending.run_available(pending.windowed_counts(_event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), "windows", "complete")
     latest = Window.partitionBy("start", "event_type").orderBy(F.col("batch").desc())
     return out.withColumn("k", F.row_number().over(latest)).where("k = 1").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query
+def stream_due_captures(spark, sf_dir):
+    """Every event polls its user's evening start; the first poll near each timer captures."""
+    s = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    polls = s.select(F.col("user_id").alias("key"), F.col("event_id").alias("poll_id"), F.unix_micros("ts").alias("polled"), (F.unix_micros(F.date_trunc("day", "ts")) + 20 * 3_600_000_000).alias("starts"))
+    out = pending.run_available(capture.due_captures(polls), "captures", "append")
+    return out.select("key", "timer", "poll_id", F.timestamp_micros("starts").cast("date").alias("day"))

@@ -173,6 +173,12 @@ ORACLE_SQL = {
         select block, count(*) n, sha256(string_agg(d, '' order by event_id)) digest from (
           select event_id // 1000 block, event_id, sha256(concat_ws('|', event_id::varchar, event_type, props)) d from events) group by 1""",
     "stream_running_totals": "select user_id, count(*) n_events, max(event_id) last_event, round(sum(value), 3) total_value from events group by 1",
+    "stream_due_captures": """
+        select user_id as key, timer, event_id poll_id, ts::date as day from (
+          select *, row_number() over (partition by user_id, timer, ts::date order by ts, event_id) k from (
+            select e.*, t.timer, date_trunc('day', ts) + interval 20 hour starts, t.m
+            from events e, (values ('T-6h', 360), ('T-60', 60), ('T-15', 15)) t(timer, m))
+          where ts <= starts and abs(epoch_us(ts) - (epoch_us(starts) - m::bigint * 60000000)) <= 1800000000) where k = 1""",
     "stream_window_counts": "select date_trunc('hour', ts) as start, event_type, count(*) n from events group by 1, 2",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
