@@ -511,3 +511,65 @@ def stream_due_captures(spark, sf_dir):
     polls = s.select(F.col("user_id").alias("key"), F.col("event_id").alias("poll_id"), F.unix_micros("ts").alias("polled"), (F.unix_micros(F.date_trunc("day", "ts")) + 20 * 3_600_000_000).alias("starts"))
     out = pending.run_available(capture.due_captures(polls), "captures", "append")
     return out.select("key", "timer", "poll_id", F.timestamp_micros("starts").cast("date").alias("day"))
+
+
+# Audits, journals and reports.
+
+
+@query
+def venue_balance(spark, sf_dir):
+    """Home and away wins by season, and whether the rarer has 45% at least."""
+    g = views.games(spark, sf_dir).groupBy("season").agg(F.count_if(F.col("hs") > F.col("as_")).alias("home_wins"), F.count_if(F.col("hs") < F.col("as_")).alias("away_wins"))
+    return g.withColumn("balanced", F.least("home_wins", "away_wins") >= 0.45 * (F.col("home_wins") + F.col("away_wins")))
+
+
+@query
+def centred_rewards(spark, sf_dir):
+    """Values less their user's mean, by type."""
+    means = views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("mean"))
+    e = views.table(spark, sf_dir, "events").join(means, "user_id").withColumn("x", F.col("value") - F.col("mean"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.var_pop("x"), 4).alias("variance"))
+
+
+@query
+def canary_slice(spark, sf_dir):
+    """The second 64 questions by their anonymous ids, each in both orientations."""
+    q = anonymous_ids(spark, sf_dir).orderBy("question_id").offset(64).limit(64)
+    return q.select("question_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("swapped"))
+
+
+@query
+def journal_replay(spark, sf_dir):
+    """A view opens an attempt; a purchase as the user's next event completes it, anything else ends it as a failure."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = views.table(spark, sf_dir, "events").withColumn("next", F.lead("event_type").over(w)).where("event_type = 'view'")
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("started"), F.count_if(F.col("next") == "purchase").alias("completed"), F.count_if(F.col("next").isNull()).alias("torn"))
+
+
+@query
+def artifact_contract(spark, sf_dir):
+    """Rows, distinct ids and a digest of the ids of each season."""
+    part = F.conv(F.substring(F.sha2(F.col("game_id").cast("string"), 256), 1, 8), 16, 10).cast("long")
+    return views.games(spark, sf_dir).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("game_id").alias("ids"), F.min("game_id").alias("first"), F.max("game_id").alias("last"), F.sum(part).alias("digest"))
+
+
+@query
+def tips_in_week(spark, sf_dir):
+    """A team's tipoffs in the seven days before each, to the microsecond."""
+    week = Window.partitionBy("team").orderBy(F.unix_micros("tipoff")).rangeBetween(-7 * 86_400_000_000, -1)
+    return views.tips(spark, sf_dir).select("tip_id", "team", F.count(F.lit(1)).over(week).alias("n"))
+
+
+@query
+def upsert_by_day(spark, sf_dir):
+    """One row for each team and day: of several the one reported last."""
+    order = F.struct("report_time", "event_id")
+    r = views.reports(spark, sf_dir).groupBy("team", F.to_date("report_time").alias("as_of"))
+    return r.agg(F.max_by("event_id", order).alias("event_id"), F.max_by("minutes", order).alias("minutes"), F.count(F.lit(1)).alias("versions"))
+
+
+@query
+def due_work(spark, sf_dir):
+    """The twenty tipoffs due first after the middle of the month, by cutoff: a top-k report."""
+    t = views.tips(spark, sf_dir).where(F.col("tipoff") >= F.lit("2024-01-15").cast("timestamp"))
+    return t.orderBy("tipoff", "tip_id").limit(20).select("tip_id", "team")

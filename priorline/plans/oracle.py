@@ -179,6 +179,27 @@ ORACLE_SQL = {
             select e.*, t.timer, date_trunc('day', ts) + interval 20 hour starts, t.m
             from events e, (values ('T-6h', 360), ('T-60', 60), ('T-15', 15)) t(timer, m))
           where ts <= starts and abs(epoch_us(ts) - (epoch_us(starts) - m::bigint * 60000000)) <= 1800000000) where k = 1""",
+    "venue_balance": _sql("""
+        select *, least(home_wins, away_wins) >= 0.45 * (home_wins + away_wins) balanced from (
+          select season, count(*) filter (hs > as_) home_wins, count(*) filter (hs < as_) away_wins from games group by 1)"""),
+    "centred_rewards": """
+        select event_type, count(*) n, round(avg(x), 4) mean, round(var_pop(x), 4) variance from (
+          select event_type, value - avg(value) over (partition by user_id) x from events) group by 1""",
+    "canary_slice": _sql("""
+        select question_id, unnest([false, true]) swapped from (
+          select 'g-' || substr(sha256('v1:' || game_id::varchar), 1, 16) question_id from games order by 1 limit 64 offset 64)"""),
+    "journal_replay": """
+        select user_id, count(*) started, count(*) filter (nxt = 'purchase') completed, count(*) filter (nxt is null) torn from (
+          select *, lead(event_type) over (partition by user_id order by ts, event_id) nxt from events) where event_type = 'view' group by 1""",
+    "artifact_contract": _sql("""
+        select season, count(*) n, count(distinct game_id) ids, min(game_id) as "first", max(game_id) as "last",
+               sum(('0x' || substr(sha256(game_id::varchar), 1, 8))::bigint)::bigint digest from games group by 1"""),
+    "tips_in_week": _sql("""
+        select tip_id, team, count(*) over (partition by team order by tipoff range between interval 7 day preceding and interval 1 microsecond preceding) n from tips"""),
+    "upsert_by_day": _sql("""
+        select team, report_time::date as_of, max_by(event_id, (report_time, event_id)) event_id, max_by(minutes, (report_time, event_id)) as minutes, count(*) versions
+        from reports group by 1, 2"""),
+    "due_work": _sql("select tip_id, team from tips where tipoff >= timestamp '2024-01-15' order by tipoff, tip_id limit 20"),
     "stream_window_counts": "select date_trunc('hour', ts) as start, event_type, count(*) n from events group by 1, 2",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
