@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,3 +37,11 @@ def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         total += int(n)
     if at < len(sizes):
         yield at, len(sizes)
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns under names that no operator uses, the new name of each, and the way back;
+    columns of a caller can't clash with those that an operator adds."""
+    names = docs.columns
+    own = [f"own_{i}" for i in range(len(names))]
+    return docs.toDF(*own), dict(zip(names, own, strict=True)), lambda df: df.select(*own).toDF(*names)

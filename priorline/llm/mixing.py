@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorline.llm.common import set_aside
 from priorline.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,21 +92,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a document's text is repeated as often as it is
     taken whole, then cut at the word where its share ends; documents of which nothing is taken go."""
-    own = docs.columns
-    sized = docs.select("*", word_count(F.col("text")).alias("size"), hash_digits(F.col("doc_id")).alias("digits"))
-    small = materialize(sized.select("doc_id", "source", "size", "digits"), "sized")
-    # The same rows again with their columns: only sizes and digits go through the histogram.
-    sources_and_edges = _allot(small, weights, most).select("doc_id", "source", "size", "taken").distinct()
-    mine, other = sized.alias("mine"), sources_and_edges.alias("other")
-    same = F.col("mine.doc_id").eqNullSafe(F.col("other.doc_id")) & F.col("mine.source").eqNullSafe(F.col("other.source")) & (F.col("mine.size") == F.col("other.size"))
+    aside, at, back = set_aside(docs)
+    doc_id, source, text = (F.col(at[c]) for c in ("doc_id", "source", "text"))
+    sized = aside.select("*", word_count(text).alias("size"), hash_digits(doc_id).alias("digits"))
+    # Only sizes and digits go through the histogram; its rows find their texts again by what decides a share.
+    small = materialize(sized.select(source.alias("source"), "size", "digits"), "sized")
+    shares = _allot(small, weights, most).select("source", "size", "digits", "taken").distinct()
+    mine, other = sized.alias("mine"), shares.alias("other")
+    same = (F.col("mine.digits") == F.col("other.digits")) & F.col(f"mine.{at['source']}").eqNullSafe(F.col("other.source")) & (F.col("mine.size") == F.col("other.size"))
     joined = mine.join(other, same).where(F.col("taken") > 0).select("mine.*", "taken")
     whole = F.expr("cast(taken div size as int)")
-    part = F.expr(f"array_join(slice(regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0), 1, cast(taken % size as int)), ' ')")
-    text = F.array_join(F.filter(F.concat(F.array_repeat("text", whole), F.array(F.when(F.expr("taken % size > 0"), part))), lambda x: x.isNotNull()), "\n")
-    mixed = joined.withColumn("text", text)
-    if "n_chars" in own:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
-    return mixed.select(*own)
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    part = F.array_join(F.slice(words, 1, F.expr("cast(taken % size as int)")), " ")
+    each = F.concat(F.array_repeat(text, whole), F.array(F.when(F.expr("taken % size > 0"), part)))
+    mixed = joined.withColumn(at["text"], F.array_join(F.filter(each, lambda x: x.isNotNull()), "\n"))
+    if "n_chars" in at:
+        mixed = mixed.withColumn(at["n_chars"], F.length(at["text"]).cast("long"))
+    return back(mixed)
 
 
 ORACLE = r"""

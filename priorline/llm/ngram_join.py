@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorline.llm.common import pieces
+from priorline.llm.common import pieces, set_aside
 from priorline.llm.components import components
 from priorline.llm.prints import NO_ID, Prints, keyed_texts, marked, mix, uid
 from priorline.session import materialize
@@ -364,10 +364,11 @@ def _join(docs: DataFrame, threshold: float) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with the columns of ``docs``: the one whose doc_id names the class, and
     of rows that repeat that doc_id one. Documents without a shingle all stay."""
+    aside, at, back = set_aside(docs)
     found = _join(docs, threshold)
     gone = materialize(found.where("doc <> class_id or n_copies > 1").select("uid", (F.col("doc") == F.col("class_id")).alias("names")).distinct(), "gone")
-    doubtful, clear = marked(docs.withColumn("uid", uid()), gone)
+    doubtful, clear = marked(aside.withColumn("uid", uid(at["doc_id"], at["text"])), gone)
     joined = doubtful.join(gone, "uid", "left")
-    rank = F.row_number().over(Window.partitionBy("uid").orderBy("text"))
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy(at["text"]))
     kept = joined.withColumn("rank", rank).where("names is null or (names and rank = 1)")
-    return kept.select(*docs.columns).unionByName(clear.select(*docs.columns))
+    return back(kept.select(*aside.columns).unionByName(clear.select(*aside.columns)))

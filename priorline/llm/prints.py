@@ -57,8 +57,8 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(uid().alias("uid"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text.alias("text"))
 
 
-def uid() -> Column:
-    return F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), F.coalesce("text", F.lit("")))
+def uid(doc_id: str = "doc_id", text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(doc_id, F.lit(NO_ID)), F.coalesce(text, F.lit("")))
 
 
 def marked(keyed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priorline.llm.common import set_aside
 from priorline.llm.prints import NO_ID, Prints, keyed_texts, marked, mix, uid
 from priorline.session import materialize
 
@@ -151,11 +152,13 @@ def _resolve(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     and spans that differ. Each span goes on once; one that repeats is asked no more and bears witness."""
     first = F.min(F.struct("uid", "at", "n", "place")).alias("one")
     spans = materialize(sets.groupBy("core", "span").agg(F.count("*").alias("copies"), first, F.max("asked").alias("asked")), name)
-    repeated = sets.where("asked").join(spans.where("copies > 1 and asked").select("core", "span"), ["core", "span"])
+    # What is joined is written first, so that both sides come straight from exchanges and Spark may split hot cores.
+    copied = materialize(spans.where("copies > 1 and asked").select("core", "span"), f"{name}-copied")
+    repeated = sets.where("asked").join(copied, ["core", "span"])
     whole = repeated.select("uid", F.col("at").alias("start"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("end"))
     open_ = (F.col("copies") == 1) & F.col("asked")
     mixed = spans.groupBy("core").agg(F.count("*").alias("spans"), F.max(open_).alias("any")).where("spans > 1 and any").select("core")
-    return whole, spans.join(mixed, "core").select("one.*", open_.alias("asked"))
+    return whole, spans.join(materialize(mixed, f"{name}-mixed"), "core").select("one.*", open_.alias("asked"))
 
 
 def _of_texts(texts: DataFrame, sets: DataFrame, schema: str, work: Callable[[np.ndarray, dict], list[np.ndarray]]) -> DataFrame:
@@ -204,14 +207,14 @@ def repeated_intervals(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
     family = SuffixFamily()
     for b in range(batches):
         family.add(entries.where(F.col("batch") == b).select("core"))
-    matched = materialize(entries.join(family.matches(), "core").drop("batch").withColumn("asked", F.lit(True)), "matched")
+    matched = materialize(entries.join(materialize(family.matches(), "matches"), "core").drop("batch").withColumn("asked", F.lit(True)), "matched")
     whole, mixed = _resolve(matched, "spans")
     mixed = materialize(mixed, "mixed")
     sets = materialize(_of_texts(marked(keyed, mixed)[0], mixed, BLOCKS, _cut_set), "sets")
     whole_sets, mixed_sets = _resolve(sets, "set-spans")
     mixed_sets = materialize(mixed_sets, "mixed-sets")
     strings = materialize(_of_texts(marked(keyed, mixed_sets)[0], mixed_sets, WINDOWS, _one_by_one), "strings")
-    repeated = strings.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2")
+    repeated = materialize(strings.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2"), "repeated")
     single = strings.where("asked").join(repeated, ["h1", "h2"])
     return whole.unionByName(whole_sets).unionByName(single.select("uid", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")))
 
@@ -273,12 +276,13 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def apply_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The documents with repeated bytes cut out of their texts; bytes of a character that a cut divides go
     too. Documents that had text and have none left go; n_chars, where there is one, is counted anew."""
-    keyed = docs.withColumn("uid", uid())
+    aside, place, back = set_aside(docs)
+    keyed = aside.withColumn("uid", uid(place["doc_id"], place["text"]))
     intervals = materialize(repeated_intervals(keyed_texts(docs), batches).distinct(), "intervals")
     touched, clean = marked(keyed, intervals)
     per_doc = intervals.groupBy("uid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    own = docs.columns
-    text_at, start_at, end_at = own.index("text"), len(own), len(own) + 1
+    own = aside.columns
+    text_at, start_at, end_at = own.index(place["text"]), len(own), len(own) + 1
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -291,6 +295,8 @@ def apply_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == text_at else batch.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays(columns, names=own).filter(pa.array(keep, pa.bool_()))
 
-    cut = touched.join(per_doc, "uid", "left").select(*own, "start", "end").mapInArrow(run, docs.schema)
+    cut = touched.join(per_doc, "uid", "left").select(*own, "start", "end").mapInArrow(run, aside.schema)
     out = cut.unionByName(clean.select(*own))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*own) if "n_chars" in own else out
+    if "n_chars" in place:
+        out = out.withColumn(place["n_chars"], F.length(place["text"]).cast("long"))
+    return back(out)

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from priorline.llm import chat_format, fingerprints, html_text, language, media, mixing, ngram_join, packing, repair_ids, suffix_dedup
@@ -489,6 +490,17 @@ def test_seek_offsets_are_frames():
 # Pipeline.
 
 
+def test_columns_that_clash_come_back(docs):
+    clash = [("uid", "u"), ("mark", "m"), ("start", "s"), ("end", "e"), ("size", "z"), ("digits", "d"), ("taken", "t"), ("rank", "r"), ("names", "n"), ("lang_pred", "p"), ("score", "q"), ("sets", "x"), ("own_0", "o")]
+    more = docs.dropDuplicates(["doc_id"]).withColumns({k: F.lit(v) for k, v in clash})
+    for f in (suffix_dedup.apply_dedup, ngram_join.keep_one, mixing.apply_mix):
+        out = f(more)
+        assert out.columns == more.columns
+        assert all(r[k] == v for r in out.collect() for k, v in clash)
+    assert {r["size"] for r in mixing.mix(more).collect()} > {0}
+    assert language.predict(more, {}).columns[-2:] == ["lang_pred", "score"]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
