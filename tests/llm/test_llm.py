@@ -420,7 +420,9 @@ def test_forest_finds_components(edges):
     assert all(root[a] == root[b] for a, b in edges) and all(root[k] <= k for k in range(31))
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_of_a_long_path(spark, monkeypatch, few):
+    monkeypatch.setattr("priorline.llm.components.FEW_EDGES", few)
     got = components(spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")).collect()
     assert {r.label for r in got if r.node <= 60} == {0} and {r.label for r in got if r.node >= 100} == {100}
 
