@@ -34,7 +34,7 @@ UNKNOWN = "und"
 BITS = 6
 TRIGRAMS = 1 << 3 * BITS
 #: Characters that are counted at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 #: Documents with this remainder of crc32(doc_id as text) by FOLDS are held out.
 FOLDS, HELD_OUT = 5, 0
 

@@ -45,7 +45,7 @@ LENGTH, GRAM = 400, 128
 SET = 16
 BATCHES = 4
 #: Bytes that are hashed at once, and bits for a place among them.
-CHUNK, POSITION_BITS = 2_000_000, 22
+CHUNK, POSITION_BITS = 1_000_000, 22
 
 ANCHORS = "core long, span long, uid long, at int, n int, place int, batch int"
 BLOCKS = "core long, span long, uid long, at int, n int, place int, asked boolean"
