@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,26 +131,26 @@ def feature_pivot(spark, sf_dir):
 
 
 @query
-def asof_report(spark, sf_dir):
+def asof_report(spark, sf_dir, whole=False):
     """The team's last report an hour before tipoff, or earlier."""
-    t = views.tips(spark, sf_dir).withColumn("cutoff", F.col("tipoff") - F.expr("interval 60 minutes"))
+    t = views.tips(spark, sf_dir, whole).withColumn("cutoff", F.col("tipoff") - F.expr("interval 60 minutes"))
     found = asof.asof_join(t, views.reports(spark, sf_dir), by=["team"], left_time="cutoff", right_time="report_time", take=["event_id", "status"], tie=["event_id"])
     return found.select("tip_id", "team", "event_id", "status")
 
 
 @query
-def asof_containing(spark, sf_dir):
+def asof_containing(spark, sf_dir, whole=False):
     """The last report before the cutoff that lists the player."""
-    t = views.tips(spark, sf_dir).withColumn("cutoff", F.col("tipoff") - F.expr("interval 60 minutes"))
+    t = views.tips(spark, sf_dir, whole).withColumn("cutoff", F.col("tipoff") - F.expr("interval 60 minutes"))
     found = asof.asof_join(t, views.reports(spark, sf_dir), by=["team", "player"], left_time="cutoff", right_time="report_time", take=["event_id", "status"], tie=["event_id"])
     return found.select("tip_id", "player", "event_id", "status")
 
 
 @query
-def asof_horizons(spark, sf_dir):
+def asof_horizons(spark, sf_dir, whole=False):
     """Four horizons before each tipoff, and how many have a report of the player in the week before."""
     hours = F.explode(F.array(*[F.lit(m) for m in (360, 120, 60, 15)])).alias("horizon")
-    t = views.tips(spark, sf_dir).select("*", hours).withColumn("cutoff", F.timestamp_micros(F.unix_micros("tipoff") - F.col("horizon").cast("long") * 60_000_000))
+    t = views.tips(spark, sf_dir, whole).select("*", hours).withColumn("cutoff", F.timestamp_micros(F.unix_micros("tipoff") - F.col("horizon").cast("long") * 60_000_000))
     found = asof.asof_join(t, views.reports(spark, sf_dir), by=["player"], left_time="cutoff", right_time="report_time", take=["event_id"], tie=["event_id"])
     fresh = F.unix_micros("report_time") >= F.unix_micros("cutoff") - 7 * 86_400_000_000
     return found.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.count_if(fresh).alias("fresh"), F.count_if(F.col("event_id").isNull()).alias("missing"), F.sum("event_id").alias("ids"))
@@ -396,9 +397,9 @@ def stated_probability(spark, sf_dir):
 
 
 @query
-def prompt_text(spark, sf_dir):
+def prompt_text(spark, sf_dir, whole=False):
     """Fixed-format prompts and a digest of each."""
-    f = views.forecasts(spark, sf_dir).where("game_id % 17 <> 0")
+    f = views.forecasts(spark, sf_dir).where(F.lit(whole) | (F.col("game_id") % 17 != 0))
     prompt = F.format_string("Team %02d at team %02d, margin %+d, prior %.4f", "away", "home", F.col("hs") - F.col("as_"), "base_p")
     return f.select("game_id", F.sha2(prompt, 256).alias("digest"))
 
@@ -407,9 +408,10 @@ def prompt_text(spark, sf_dir):
 
 
 @query
-def arm_mixture(spark, sf_dir):
-    """Softmax weights over the first five values of a vector: the least and largest weight by label."""
-    e = views.table(spark, sf_dir, "embeddings").select("label", probability.softmax(F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 10)).alias("w"))
+def arm_mixture(spark, sf_dir, whole=False):
+    """Softmax weights over the values of a vector, or its first five: the least and largest weight by label."""
+    arms = F.col("embedding") if whole else F.slice("embedding", 1, 5)
+    e = views.table(spark, sf_dir, "embeddings").select("label", probability.softmax(F.transform(arms, lambda x: x.cast("double") * 10)).alias("w"))
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.array_max("w")), 5).alias("top"), F.round(F.avg(F.array_min("w")), 5).alias("least"))
 
 
@@ -457,7 +459,7 @@ def logit_recalibration(spark, sf_dir):
 @query
 def bootstrap_gate(spark, sf_dir):
     blocks = scoring.calendar_blocks(_relative(views.forecasts(spark, sf_dir)), F.col("gain"), "season", "game_date")
-    return fits.block_bootstrap(blocks, "season", draws=2_000).select("season", "n_blocks", rounded("mean"), rounded("lower_bound"), "passes")
+    return fits.block_bootstrap(blocks, "season").select("season", "n_blocks", rounded("mean"), rounded("lower_bound"), "passes")
 
 
 @query
@@ -554,10 +556,10 @@ def artifact_contract(spark, sf_dir):
 
 
 @query
-def tips_in_week(spark, sf_dir):
+def tips_in_week(spark, sf_dir, whole=False):
     """A team's tipoffs in the seven days before each, to the microsecond."""
     week = Window.partitionBy("team").orderBy(F.unix_micros("tipoff")).rangeBetween(-7 * 86_400_000_000, -1)
-    return views.tips(spark, sf_dir).select("tip_id", "team", F.count(F.lit(1)).over(week).alias("n"))
+    return views.tips(spark, sf_dir, whole).select("tip_id", "team", F.count(F.lit(1)).over(week).alias("n"))
 
 
 @query
@@ -569,7 +571,12 @@ def upsert_by_day(spark, sf_dir):
 
 
 @query
-def due_work(spark, sf_dir):
+def due_work(spark, sf_dir, whole=False):
     """The twenty tipoffs due first after the middle of the month, by cutoff: a top-k report."""
-    t = views.tips(spark, sf_dir).where(F.col("tipoff") >= F.lit("2024-01-15").cast("timestamp"))
+    t = views.tips(spark, sf_dir, whole).where(F.col("tipoff") >= F.lit("2024-01-15").cast("timestamp"))
     return t.orderBy("tipoff", "tip_id").limit(20).select("tip_id", "team")
+
+
+#: Queries whose SQL takes a part of the tips, games or arms. The same over all of them is NAME_whole, without SQL.
+PARTIAL = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
+QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in PARTIAL}

@@ -54,9 +54,9 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("ts").cast("timestamp").alias("report_time"), F.col("user_id").alias("player"), (F.col("user_id") % TEAMS).cast("int").alias("team"), status.alias("status"), F.col("value").alias("minutes"))
 
 
-def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh report's team plays six hours later."""
-    r = reports(spark, sf_dir).where("event_id % 7 = 0")
+def tips(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A report's team plays six hours later: of each report if ``whole``, else of every seventh, as in SQL."""
+    r = reports(spark, sf_dir) if whole else reports(spark, sf_dir).where("event_id % 7 = 0")
     return r.select(F.col("event_id").alias("tip_id"), "team", "player", (F.col("report_time") + F.expr("interval 6 hours")).alias("tipoff"))
 
 

@@ -207,3 +207,29 @@ def test_entry_without_llm():
 
     names = set(__spark_entry__.queries())
     assert set(catalogue.QUERIES) <= names and set(__spark_entry__.oracle_sql()) <= names
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", catalogue.PARTIAL)
+def test_whole_query_equals_its_sql_without_the_cut(spark, duck, name):
+    sql, n = catalogue.ORACLE_SQL[name], 0
+    for cut, all_of_it in ((" from reports where event_id % 7 = 0", " from reports"), (" from forecasts where game_id % 17 <> 0", " from forecasts"), ("embedding[1:5]", "embedding")):
+        n += cut in sql
+        sql = sql.replace(cut, all_of_it)
+    assert n
+    df = catalogue.QUERIES[f"{name}_whole"](spark, SF)
+    cursor = duck.execute(sql)
+    order = [[d[0] for d in cursor.description].index(c) for c in df.columns]
+    key = lambda r: str([x for x in r if not isinstance(x, float)])
+    want, got = sorted(([r[k] for k in order] for r in cursor.fetchall()), key=key), sorted(map(list, df.collect()), key=key)
+    assert len(got) == len(want) > 0
+    for a, b in zip(got, want, strict=True):
+        assert all(map(same, a, b)), (a, b)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_gate_takes_the_default_draws(spark):
+    f = catalogue._relative(catalogue.views.forecasts(spark, SF))
+    blocks = scoring.calendar_blocks(f, F.col("gain"), "season", "game_date")
+    want = {r.season: round(r.lower_bound, 6) for r in fits.block_bootstrap(blocks, "season", draws=10_000).collect()}
+    assert {r.season: r.lower_bound for r in catalogue.QUERIES["bootstrap_gate"](spark, SF).collect()} == pytest.approx(want, abs=1.1e-6)
