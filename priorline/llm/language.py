@@ -1,13 +1,14 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A trigram's vector binds its letters by position: the first
+Each letter, of any script, has a random vector of +1 and -1, drawn by a hash of its code point whenever it is
+needed. A trigram's vector binds its letters by position: the first
 letter's vector rotated by two places, times the second's rotated by one, times the third's. A document
 bundles (adds up) the vectors of its trigrams, a language those of its documents; the language whose
 prototype has the largest cosine with the document wins.
 
 A cosine needs no document vector: its product with a prototype is the sum over the document's trigrams
 of count times the trigram vector's product with the prototype, which a worker computes once for each
-trigram. The document vector's length is taken as its expected value, the root of DIMENSIONS times the
+trigram that it remembers. The document vector's length is taken as its expected value, the root of DIMENSIONS times the
 sum of squared counts, as random vectors are orthogonal but for noise.
 
 Only labelled training rows make prototypes; source, doc_id and lang of a document are no inputs of its
@@ -15,7 +16,8 @@ prediction. What the driver sees is one vector for each language.
 
 Defined cases: null text, or text without a letter, gives UNKNOWN and score 0; rows with null lang aren't
 learned from; with no training rows all is UNKNOWN; ties go to the first language in order; long texts
-count whole; repeated rows count as often as they come; further columns are ignored.
+count whole; repeated rows count as often as they come; further columns are ignored. Letters are what Unicode calls so;
+other characters, marks that combine with letters among them, are gaps.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 
 DIMENSIONS, SEED = 1024, 7
 UNKNOWN = "und"
-#: Letters of their own code: a to z, the small letters of Latin-1; all others share the last codes. 0 is a gap.
-BITS = 6
-TRIGRAMS = 1 << 3 * BITS
+#: A trigram is three code points of so many bits, 0 for a gap.
+BITS = 21
+#: Trigrams whose vectors are made at once, pairs of language and trigram that are counted before they are
+#: bundled, bytes of products that a worker remembers.
+PART, MOST_COUNTED, KNOWN_BYTES = 4096, 1 << 20, 16_000_000
 #: Characters that are counted at once.
 AT_ONCE = 500_000
 #: Documents with this remainder of crc32(doc_id as text) by FOLDS are held out.
@@ -46,30 +50,37 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _letter_codes() -> np.ndarray:
-    """The code of each code point, small or capital alike after str.lower()."""
+    """Each code point that is a letter, 0 in place of the others."""
     if "codes" not in _state:
-        codes = np.zeros(sys.maxunicode + 1, np.uint32)
-        letters = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isalpha()])
-        codes[letters] = 58 + (letters * 2654435761 >> 7) % 6
-        codes[97:123] = np.arange(1, 27)
-        codes[0xDF:0x100] = np.minimum(27 + np.arange(33), 57)
-        codes[0xF7] = 0
-        _state["codes"] = codes
+        _state["codes"] = np.array([c if chr(c).isalpha() else 0 for c in range(sys.maxunicode + 1)], np.uint32)
     return _state["codes"]
 
 
-def letter_vectors() -> np.ndarray:
-    if "letters" not in _state:
-        _state["letters"] = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), size=(1 << BITS, DIMENSIONS))
-    return _state["letters"]
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The vector of each code point: the bits of DIMENSIONS / 64 hashes of it."""
+    n = DIMENSIONS // 64
+    z = (points.astype(np.uint64)[:, None] * np.uint64(n) + np.arange(1, n + 1, dtype=np.uint64) + np.uint64(SEED << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    bits = np.unpackbits((z ^ (z >> np.uint64(31))).astype("<u8").view(np.uint8), axis=1)
+    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def trigram_vectors(trigrams: np.ndarray) -> np.ndarray:
-    v, mask = letter_vectors(), (1 << BITS) - 1
-    a, b, c = trigrams >> 2 * BITS, trigrams >> BITS & mask, trigrams & mask
+    mask = (1 << BITS) - 1
+    points, at = np.unique(np.stack([trigrams >> 2 * BITS, trigrams >> BITS & mask, trigrams & mask]), return_inverse=True)
+    v, (a, b, c) = letter_vectors(points), at.reshape(3, -1)
     return np.roll(v, 2, 1)[a] * np.roll(v, 1, 1)[b] * v[c]
 
 
+def _counted(owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different trigrams, and (owner, number of the trigram among them, count) of each pair, by owner."""
+    different, number = np.unique(grams, return_inverse=True)
+    keys = np.sort(owner.astype(np.int64) * len(different) + number)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return different, keys[first] // len(different), keys[first] % len(different), np.diff(np.r_[first, len(keys)])
+
+
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, x in enumerate(texts):
@@ -86,7 +97,7 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """(document number, trigram) of each trigram whose middle is a letter, and whether a document has a letter."""
     low = [x.lower() if x else "" for x in texts]
     points = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = _letter_codes()[points]
+    codes = _letter_codes()[points].astype(np.int64)
     owner = np.repeat(np.arange(len(low)), np.array([len(x) + 1 for x in low]))
     owner = np.r_[0, owner]
     keep = np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]
@@ -102,21 +113,35 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes from (text, lang): each task bundles its documents of a language, Spark adds the bundles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, np.ndarray] = {}
+        totals: dict[str, np.ndarray] = {}
+        counted: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def bundle() -> None:
+            for name, parts in counted.items():
+                grams, number = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                n = np.bincount(number, np.concatenate([c for _, c in parts]))
+                total = totals.setdefault(name, np.zeros(DIMENSIONS))
+                for at in range(0, len(grams), PART):
+                    total += n[at : at + PART] @ trigram_vectors(grams[at : at + PART]).astype(np.float64)
+            counted.clear()
+
         for batch in batches:
             texts, langs = batch.text.tolist(), batch.lang.tolist()
             for a, b in _chunks(texts):
                 owner, grams, _ = _trigrams(texts[a:b])
+                if not len(grams):
+                    continue
                 names, number = np.unique(np.array(langs[a:b], dtype=object).astype(str), return_inverse=True)
-                each = np.bincount(number[owner] * TRIGRAMS + grams, minlength=len(names) * TRIGRAMS).reshape(len(names), TRIGRAMS)
-                for k, name in enumerate(names):
-                    counts[str(name)] = counts.get(str(name), 0) + each[k]
-        for name, n in counts.items():
-            seen = np.flatnonzero(n)
-            total = np.zeros(DIMENSIONS)
-            for at in range(0, len(seen), 8192):
-                part = seen[at : at + 8192]
-                total += n[part].astype(np.float64) @ trigram_vectors(part).astype(np.float64)
+                different, of, gram, count = _counted(number[owner], grams)
+                for k in np.unique(of).tolist():
+                    counted.setdefault(str(names[k]), []).append((different[gram[of == k]], count[of == k]))
+                size += len(gram)
+                if size > MOST_COUNTED:
+                    bundle()
+                    size = 0
+        bundle()
+        for name, total in totals.items():
             yield pd.DataFrame({"lang": name, "dim": np.arange(DIMENSIONS), "part": total.astype(np.int64)})
 
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
@@ -128,30 +153,41 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 class Classifier:
-    """Prototypes with the products of the trigrams seen so far."""
+    """Prototypes with the products of the trigrams seen of late."""
 
     def __init__(self, prototypes: dict[str, np.ndarray]) -> None:
         self.names = list(prototypes)
         self._unit = np.stack([v / np.linalg.norm(v) for v in prototypes.values()], 1) if prototypes else np.zeros((DIMENSIONS, 0))
-        self._products = np.zeros((TRIGRAMS, len(self.names)))
-        self._known = np.zeros(TRIGRAMS, bool)
+        self._known = np.empty(0, np.int64)
+        self._products = np.zeros((0, len(self.names)))
+        self._room = KNOWN_BYTES // (8 * (len(self.names) + 1))
+
+    def products(self, different: np.ndarray) -> np.ndarray:
+        """The product of each of the trigrams, which are in order, with each prototype."""
+        at = np.searchsorted(self._known, different)
+        known = np.zeros(len(different), bool)
+        inside = at < len(self._known)
+        known[inside] = self._known[at[inside]] == different[inside]
+        found = np.empty((len(different), len(self.names)))
+        found[known] = self._products[at[known]]
+        new = different[~known]
+        if len(new):
+            found[~known] = np.concatenate([trigram_vectors(new[k : k + PART]).astype(np.float64) @ self._unit for k in range(0, len(new), PART)])
+            if len(self._known) + len(new) > self._room:
+                self._known, self._products = different[: self._room], found[: self._room]
+            else:
+                self._known, self._products = np.insert(self._known, at[~known], new), np.insert(self._products, at[~known], found[~known], axis=0)
+        return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         owner, grams, has = _trigrams(texts)
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.names or not len(grams):
             return names, scores
-        keys = np.sort(owner.astype(np.int64) << 3 * BITS | grams)
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        count = np.diff(np.r_[first, len(keys)]).astype(np.float64)
-        owner, grams = keys[first] >> 3 * BITS, keys[first] & (TRIGRAMS - 1)
-        new = np.unique(grams[~self._known[grams]])
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            self._products[part] = trigram_vectors(part).astype(np.float64) @ self._unit
-        self._known[new] = True
+        different, owner, gram, count = _counted(owner, grams)
+        count, products = count.astype(np.float64), self.products(different)
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        dots = np.add.reduceat(self._products[grams] * count[:, None], starts, axis=0)
+        dots = np.add.reduceat(products[gram] * count[:, None], starts, axis=0)
         cosines = dots / np.sqrt(DIMENSIONS * np.add.reduceat(count * count, starts))[:, None]
         best = np.argmax(cosines, 1)
         for d, k, row in zip(owner[starts].tolist(), best.tolist(), cosines, strict=True):

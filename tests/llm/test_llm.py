@@ -344,6 +344,31 @@ def test_cosine_equals_that_of_whole_vectors():
     assert names[0] == max(exact, key=exact.get) and abs(scores[0] - max(0, max(exact.values()))) < 0.1
 
 
+@pytest.mark.parametrize("pools", [["абвгеж", "зидкон"], ["αβγδ", "εζηθ"], ["日月火水", "山川田人"]])
+def test_languages_of_one_script_are_told_apart(spark, pools):
+    if pools[0] == "абвгеж":  # letter by letter those that six codes by hash can't tell apart
+        assert all((ord(a) * 2654435761 >> 7) % 6 == (ord(b) * 2654435761 >> 7) % 6 for a, b in zip(*pools, strict=True))
+    rng = random.Random(6)
+    shapes = [[rng.randrange(len(pools[0])) for _ in range(rng.randrange(2, 7))] for _ in range(300)]
+    data = []
+    for k in range(120):  # both languages have the same words but for the letters
+        data.append((k, " ".join("".join(pools[k % 2][i] for i in rng.choice(shapes)) for _ in range(30)), f"l{k % 2}"))
+    got = language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert len(got) > 10 and all(r.lang_pred == f"l{r.doc_id % 2}" for r in got)
+
+
+def test_products_are_forgotten_not_lost(monkeypatch):
+    rng = np.random.default_rng(3)
+    prototypes = {"a": rng.normal(size=language.DIMENSIONS), "b": rng.normal(size=language.DIMENSIONS)}
+    texts = [words(random.Random(k), 40, "abcdefghжщы日") for k in range(12)]
+    want = language.Classifier(prototypes).predict(texts)
+    monkeypatch.setattr(language, "KNOWN_BYTES", 24 * 50)
+    monkeypatch.setattr(language, "MOST_COUNTED", 10)
+    small = language.Classifier(prototypes)
+    got = [small.predict([x]) for x in texts]
+    assert len(small._known) <= 50 and [n[0] for n, _ in got] == want[0] and [s[0] for _, s in got] == pytest.approx(want[1])
+
+
 # N-gram join.
 
 
