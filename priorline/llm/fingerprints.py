@@ -2,15 +2,15 @@
 
 A text's k-mers are runs of K words, a k-mer's inner substrings its runs of S words. A k-mer is an anchor
 (a closed syncmer) where the substring with the least hash is its first or last; that depends on the
-k-mer alone, so an edit moves no anchor but those it touches. The fingerprint holds the SKETCH least
-hashes of the anchors' contents, 32 bits each, as hexadecimal digits in ascending order; the likeness of
-two fingerprints estimates the Jaccard likeness of the anchor sets: of the SKETCH least hashes of both,
-the share that both have.
+k-mer alone, so an edit moves no anchor but those it touches. All anchors come out in the order of the
+text: 64-bit hashes of their contents, and the place of their first word (0 upwards). The fingerprint
+holds the low 32 bits of the hashes, each once, as hexadecimal digits in ascending order; the likeness of
+two texts is the Jaccard likeness of their whole sets of anchor hashes.
 
 Words are runs of characters other than ASCII white space. A text of fewer than K words has one anchor,
-the whole of it.
+the whole of it, at place 0.
 
-Defined cases: null text is empty; a text without words has an empty fingerprint, alike 1 to another
+Defined cases: null text is empty; a text without words has no anchor and an empty fingerprint, alike 1 to another
 empty one and 0 to all others; equal texts have equal fingerprints; rows that repeat a doc_id are ordered
 by text, null ids come last; the next document of the last is the first, of an only one itself; texts
 count whole; an empty table gives no rows; further columns are ignored.
@@ -24,45 +24,50 @@ from pyspark.sql import functions as F
 from priorline.llm.common import range_bucket
 from priorline.session import materialize
 
-K, S, SKETCH = 5, 2, 64
+K, S = 5, 2
+#: The most hashes of a fingerprint: no bound.
+SKETCH = None
 WHITE, CUT = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 LOW = 0xFFFFFFFF
 #: Ranges of doc_id for each shuffle partition, and the most of them.
 RANGES_A_PARTITION, MOST_RANGES = 4, 2_000
 
 
-def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the sorted anchor hashes (array of at most SKETCH longs) of column ``text``. Each step
+def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the anchors of column ``text``: their hashes (``name``) and places (``name``_at). Each step
     is a column of its own, so that no lambda computes an array anew for each element."""
-    words, inner, starts = f"_{name}_words", f"_{name}_inner", f"_{name}_n"
+    words, inner, starts, closed = f"_{name}_words", f"_{name}_inner", f"_{name}_n", f"_{name}_closed"
     trimmed = F.btrim(F.col(text), F.lit(WHITE))
     out = df.withColumn(words, F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(trimmed, CUT), lambda w: F.xxhash64(w))))
     out = out.withColumn(starts, F.size(words) - (K - 1))
     pair = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
     out = out.withColumn(inner, F.when(F.col(starts) > 0, pair))
-    shifted = F.arrays_zip(*[F.slice(inner, i + 1, F.col(starts)).alias(f"s{i}") for i in range(K - S + 1)])
-    closed = F.filter(shifted, lambda x: F.least(x["s0"], x["s3"]) <= F.least(x["s1"], x["s2"]))
-    anchors = F.transform(closed, lambda x: F.xxhash64(x["s0"], x["s2"], x["s3"]).bitwiseAND(F.lit(LOW)))
-    short = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(F.col(words).cast("array<string>"), " ")).bitwiseAND(F.lit(LOW))))
-    return out.withColumn(name, F.when(F.col(starts) > 0, F.slice(F.sort_array(F.array_distinct(anchors)), 1, SKETCH)).otherwise(short)).drop(words, inner, starts)
+    places = F.sequence(F.lit(0), F.greatest(F.col(starts), F.lit(1)) - 1).alias("at")
+    shifted = F.arrays_zip(*[F.slice(inner, i + 1, F.col(starts)).alias(f"s{i}") for i in range(K - S + 1)], places)
+    out = out.withColumn(closed, F.filter(shifted, lambda x: F.least(x["s0"], x["s3"]) <= F.least(x["s1"], x["s2"])))
+    hashes = F.transform(closed, lambda x: F.xxhash64(x["s0"], x["s2"], x["s3"]))
+    none = F.size(words) == 0
+    short = F.when(none, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(F.col(words).cast("array<string>"), " "))))
+    short_at = F.when(none, F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+    long = F.col(starts) > 0
+    return out.withColumns({name: F.when(long, hashes).otherwise(short), f"{name}_at": F.when(long, F.col(closed)["at"]).otherwise(short_at)}).drop(words, inner, starts, closed)
 
 
-def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+def as_text(hashes: Column) -> Column:
+    low = F.sort_array(F.array_distinct(F.transform(hashes, lambda x: x.bitwiseAND(F.lit(LOW)))))
+    return F.array_join(F.transform(low, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the SKETCH least hashes of both sketches, the share that both have."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), least))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.size(least))
+    """Of the different anchor hashes of both texts, the share that both have."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint of each document."""
+    """doc_id, n_chars, fingerprint, anchors and anchors_at of each document."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = with_sketch(base, "text", "sketch")
-    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), as_text(F.col("sketch")).alias("fingerprint"))
+    out = with_anchors(base, "text", "anchors")
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), as_text(F.col("anchors")).alias("fingerprint"), "anchors", "anchors_at")
 
 
 def _successors(base: DataFrame) -> DataFrame:
@@ -80,24 +85,31 @@ def _successors(base: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Per document the fingerprints of its text and of its edited text, whose last third is replaced by as
+    """Per document the anchors and fingerprints of its text and of its edited text, whose last third is replaced by as
     much of the next document's start (by descending doc_id), and both likenesses."""
     spark = docs.sparkSession
     ranges = min(MOST_RANGES, RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), range_bucket(docs, "doc_id", ranges).alias("range"))
     after = _successors(base).select(F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(1).alias("extra"))
-    rows = with_sketch(base.withColumn("extra", F.lit(0)).unionByName(after), "text", "sketch")
-    downward = Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), "text")
-    rows = rows.withColumns({"next_text": F.lead("text").over(downward), "next_sketch": F.lead("sketch").over(downward)}).where("extra = 0")
+    order = ["extra", F.col("doc_id").desc_nulls_last(), "text"]
+    # Anchors are found after the shuffle, so that only texts are moved.
+    dealt = base.withColumn("extra", F.lit(0)).unionByName(after).repartition("range").sortWithinPartitions("range", *order)
+    downward = Window.partitionBy("range").orderBy(*order)
+    rows = with_anchors(dealt, "text", "anchors")
+    rows = rows.withColumns({"next_text": F.lead("text").over(downward), "next_anchors": F.lead("anchors").over(downward)}).where("extra = 0")
     third = F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third)))
-    rows = with_sketch(rows.drop("next_text"), "edited", "edited_sketch")
+    rows = with_anchors(rows.drop("next_text"), "edited", "edited_anchors")
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(F.col("anchors")).alias("fingerprint"),
+        as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        "anchors",
+        "anchors_at",
+        "edited_anchors",
+        "edited_anchors_at",
     )

@@ -163,6 +163,23 @@ def test_fingerprints_equal_brute_force(docs, rows):
         assert any(a == pytest.approx(brute_likeness(brute_sketch(x), brute_sketch(edited))) and b == pytest.approx(brute_likeness(brute_sketch(x), brute_sketch(after))) for a, b in near)
 
 
+def test_all_anchors_of_long_texts_count(spark):
+    rng = random.Random(8)
+    a = words(rng, 3000, "abcdefghijklmnop").split()
+    b = words(rng, 3000, "abcdefghijklmnop").split()
+    b[1000:1012] = a[500:512]  # the passage that both share is under a hundredth of either
+    found = {r.doc_id: r for r in fingerprints.edited(spark.createDataFrame([(2, " ".join(a)), (1, " ".join(b))], "doc_id long, text string")).collect()}
+    for k, w in ((2, a), (1, b)):
+        r = found[k]
+        assert len(r.anchors) == len(r.anchors_at) > 1000 and r.anchors_at == sorted(set(r.anchors_at))
+        assert set(r.anchors_at) == {i for i in range(len(w) - 4) if brute_sketch(" ".join(w[i : i + 5]))}
+        assert all(brute_sketch(" ".join(w[i : i + 5])) == [h & 0xFFFFFFFF] for h, i in zip(r.anchors, r.anchors_at, strict=True))
+        assert len(r.edited_anchors) == len(r.edited_anchors_at) > 1000
+    sets = [set(found[k].anchors) for k in (2, 1)]
+    shared = {(x - y) for h, x in zip(found[1].anchors, found[1].anchors_at) for g, y in zip(found[2].anchors, found[2].anchors_at) if g == h}
+    assert shared == {500} and 0 < found[2].near_next == len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.01
+
+
 # Chat format.
 
 TRICKY = st.lists(st.sampled_from(["<|im_end|>", "<|im_start|>", "<|", "|>", "<", "\\", "|", "\n", "\r", "a", "é", "assistant"]), max_size=12).map("".join)
