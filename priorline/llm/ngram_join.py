@@ -355,18 +355,20 @@ def _join(docs: DataFrame, threshold: float) -> DataFrame:
     named = sets.join(classes, sets["sid"] == classes["node"], "left").join(per_set, "sid", "left")
     named = materialize(named.select("sid", "copies", "doc", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "named")
     least = named.groupBy("label").agg(F.min("doc").alias("class_id"))
-    named = named.join(least, "label").select("sid", "copies", "class_id", "links")
-    out = some.select("uid", "doc", "sid").join(named, "sid").select("uid", "doc", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    bare = signed.where("n = 0").select("uid", "doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    named = named.join(least, "label").select("sid", "copies", "label", "class_id", "links")
+    out = some.select("uid", "doc", "sid").join(named, "sid").select("uid", "doc", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    bare = signed.where("n = 0").select("uid", "doc", F.lit(None).cast("long").alias("label"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(bare)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, with the columns of ``docs``: the one whose doc_id names the class, and
-    of rows that repeat that doc_id one. Documents without a shingle all stay."""
+    """One document of each class, with the columns of ``docs``: the one with the least doc_id, of rows that
+    share that id one. Documents without a shingle all stay."""
     aside, at, back = set_aside(docs)
-    found = _join(docs, threshold)
-    gone = materialize(found.where("doc <> class_id or n_copies > 1").select("uid", (F.col("doc") == F.col("class_id")).alias("names")).distinct(), "gone")
+    found = materialize(_join(docs, threshold), "found")
+    least = F.min(F.struct("doc", "uid")).alias("one")
+    named = found.groupBy("label").agg(least, F.count("*").alias("size")).where("size > 1").select("label", F.col("one.uid").alias("stays"))
+    gone = materialize(found.join(named, "label").select("uid", (F.col("uid") == F.col("stays")).alias("names")).distinct(), "gone")
     doubtful, clear = marked(aside.withColumn("uid", uid(at["doc_id"], at["text"])), gone)
     joined = doubtful.join(gone, "uid", "left")
     rank = F.row_number().over(Window.partitionBy("uid").orderBy(at["text"]))

@@ -425,6 +425,17 @@ def test_keep_one_of_each_class(docs, rows):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, classes))
 
 
+@pytest.mark.parametrize("ids", [(None, None, None), (7, 7, 7), (7, None, 7)])
+def test_keep_one_where_ids_are_null_or_repeat(spark, ids):
+    w = words(random.Random(9), 300).split()
+    near = [" ".join(w), " ".join(w[:-1] + ["other"]), "  ".join(w)]  # the last has the set of the first
+    alone = [(ids[0], "quite another text with some words of its own", "alone"), (ids[0], "", "bare"), (ids[0], "", "bare")]
+    rows = [(i, x, "near") for i, x in zip(ids, near, strict=True)] + [(ids[0], near[0], "near")] + alone
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()
+    assert sorted(r.kind for r in kept) == ["alone", "bare", "bare", "near"]
+    assert next(r.doc_id for r in kept if r.kind == "near") == (None if None in ids else 7)
+
+
 def test_pieces_of_a_group_cover_each_pair_once(spark):
     members = spark.createDataFrame([(1, k) for k in range(700)], "band long, sid long")
     dealt = ngram_join._blocks(members, "band", spark.createDataFrame([(1, 700)], "band long, size long")).collect()
