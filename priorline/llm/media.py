@@ -8,7 +8,10 @@ parses the table, verifies each checksum, and gives exact duration, frame seek o
 Defined cases: a null text is an empty one; the payload is the UTF-8 text and zero bytes up to a
 positive multiple of 64, so an empty text gives 64 zero bytes; equal texts give equal streams; rows that
 repeat stay; an empty table gives no rows; further columns are ignored; a stream may have any length, as
-frames are added one by one and the seek offsets are samples of at most SEEK_POINTS frames.
+frames are added one by one; the seek offsets are those of all frames.
+
+``media_column`` gives the streams as a column, ``audio_features`` writes it and derives everything else from
+the streams it reads back.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from priorline.llm.common import pieces
+from priorline.session import materialize
+
 # Fixed values of MPEG-1 Layer III: kbit/s by index, Hz by index, samples in a frame, bytes of side information.
 BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
 RATES = (44100, 48000, 32000)
@@ -32,7 +38,8 @@ UNIT = 64
 RATE_INDEX = 2
 #: Bitrate indices that the payload's frames take in turn: a stream of variable bitrate.
 TURN = (14, 13)
-SEEK_POINTS = 100
+#: Bytes of texts or streams that are worked on at once.
+AT_ONCE = 8_000_000
 ROW = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     "media_sha256 string, feature string, duration_ms double, n_frames long, seek_offsets array<long>"
@@ -199,34 +206,55 @@ def _stored_crc_holds(data: bytes, at: int, side: int) -> bool:
     return frame_crc(head[2:4] + head[6:]) == head[4] << 8 | head[5]
 
 
-def store_row(text: bytes) -> tuple:
-    """ROW without doc_id for one text: wrapped, stored, read back."""
-    media = wrap(payload_of(text))
+def stored_row(n_bytes: int, media: bytes) -> tuple:
+    """ROW without doc_id of one stored stream; ``n_bytes`` is its text's length."""
     got = read_stream(media)
     if got.bad_checksums or got.table is None or got.table[0] != len(got.offsets):
-        raise ValueError("a stream that was just written doesn't read back")
-    step = -(-len(got.offsets) // SEEK_POINTS)
-    seek = got.offsets[::step]
+        raise ValueError("a stored stream doesn't read back")
     ms = got.seconds * 1000
-    seek_crc = zlib.crc32(",".join(map(str, seek)).encode())
+    seek_crc = zlib.crc32(",".join(map(str, got.offsets)).encode())
     feature = f"mp3 {got.rate} Hz stereo vbr; frames {len(got.offsets)}; samples {got.samples}; ms {ms:.3f}; seek {seek_crc:08x}"
     return (
-        len(text), len(got.payload), hashlib.sha256(got.payload).hexdigest(), zlib.crc32(got.payload[-UNIT:]), len(media),
-        hashlib.sha256(media).hexdigest(), feature, ms, len(got.offsets), seek,
+        n_bytes, len(got.payload), hashlib.sha256(got.payload).hexdigest(), zlib.crc32(got.payload[-UNIT:]), len(media),
+        hashlib.sha256(media).hexdigest(), feature, ms, len(got.offsets), got.offsets,
     )
 
 
-def audio_features(docs: DataFrame) -> DataFrame:
-    """Per document the stored stream's digests, durations and seek offsets (columns of ROW)."""
-    names = [x.split()[0] for x in ROW.split(", ")]
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    for a, b in pieces(batch.column(column), AT_ONCE):
+        for at in range(a, b, 512):
+            yield batch.slice(at, min(512, b - at))
+
+
+def media_column(docs: DataFrame) -> DataFrame:
+    """Per document doc_id, n_bytes (of its text) and media, its stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [store_row((x.as_py() or "").encode()) for x in part.column(1)]
-                columns = [part.column(0), *zip(*rows, strict=True)]
-                types = [pa.int64(), *[pa.int64()] * 2, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, ROW)
+            for part in _slices(batch, 1):
+                texts = [(x.as_py() or "").encode() for x in part.column(1)]
+                columns = [part.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([wrap(payload_of(x)) for x in texts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def stored_features(stored: DataFrame) -> DataFrame:
+    """Columns of ROW and the stream itself from written (doc_id, n_bytes, media)."""
+    names = [*(x.split()[0] for x in ROW.split(", ")), "media"]
+    types = [pa.int64()] * 2 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 2):
+                rows = [stored_row(n.as_py(), m.as_py()) for n, m in zip(part.column(1), part.column(2), strict=True)]
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made, part.column(2)], names=names)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{ROW}, media binary")
+
+
+def audio_features(docs: DataFrame) -> DataFrame:
+    """Per document its stored stream (media), and the digests, duration and seek offsets of all frames that
+    were read from it (columns of ROW)."""
+    return stored_features(materialize(media_column(docs), "media"))

@@ -542,6 +542,16 @@ def test_seek_offsets_are_frames():
     assert all(stream[tag + o : tag + o + 2] == b"\xff\xfa" for o in found.offsets)
 
 
+def test_all_frames_of_the_stored_stream_can_be_sought(spark):
+    text = words(random.Random(10), 60_000)
+    r = media.audio_features(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).where("doc_id = 1").head()
+    tag = 10 + int.from_bytes(r.media[6:10], "big")
+    assert len(r.seek_offsets) == r.n_frames > 200 and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
+    assert all(r.media[tag + o : tag + o + 2] == b"\xff\xfa" for o in r.seek_offsets) and len(set(r.seek_offsets)) == r.n_frames
+    assert f"seek {zlib.crc32(','.join(map(str, r.seek_offsets)).encode()):08x}" in r.feature
+    assert media.read_stream(bytes(r.media)).payload.rstrip(b"\0").decode() == text
+
+
 # Pipeline.
 
 
