@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,16 @@ def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def release_memory() -> None:
+    """Gives memory that a Python worker no longer uses back to the system. Workers outlive tasks and stages, and
+    pools of freed blocks would otherwise add up from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
     """``docs`` with its columns under names that no operator uses, the new name of each, and the way back;
     columns of a caller can't clash with those that an operator adds."""

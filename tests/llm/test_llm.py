@@ -330,6 +330,28 @@ def test_grammar_round_trip_and_random_access(texts):
         assert block.document(k).tolist() == [*t, 1]
 
 
+@pytest.mark.parametrize("flat", [([5, 6] * 10 + [0, 0, 9, 1]) * 3, [0] * 500 + [1], [7, 1] * 400, list(range(49_407)) * 3 + [1]])
+def test_grammar_takes_any_ids(flat):
+    ids = np.array(flat, "<u2")
+    starts = np.r_[0, np.flatnonzero(ids == 1)[:-1] + 1] if len(flat) < 10_000 else np.array([0])
+    block = repair_ids.Block(repair_ids.compress(ids, starts))
+    assert block.ids().tolist() == flat
+    assert [v for k in range(len(block)) for v in block.document(k).tolist()] == flat
+
+
+def test_no_pair_stays_frequent():
+    rng = random.Random(12)
+    ids = np.array([v for _ in range(300) for v in [*(rng.randrange(2, 40) for _ in range(60)), 1]], "<u2")
+    block = repair_ids.Block(repair_ids.compress(ids, np.arange(300) * 61))
+    left = {}
+    s = block._symbols.tolist()
+    for a, b in zip(s, s[1:]):
+        if 1 not in (a, b) and a != b:
+            left[a, b] = left.get((a, b), 0) + 1
+    assert max(left.values()) < repair_ids.LEAST_COUNT and block.ids().tolist() == ids.tolist()
+    assert all(block._expand(np.array([k]))[-1] != 1 for k in range(repair_ids.FIRST_NONTERMINAL, repair_ids.FIRST_NONTERMINAL + len(block.lengths)))
+
+
 def test_grammar_replaces_frequent_pairs():
     ids = np.array(([5, 6, 7, 8] * 500 + [1]) * 4, "<u2")
     assert len(repair_ids.compress(ids, np.arange(4) * 2001)) < ids.nbytes / 4
