@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from priorline.llm import language, mixing, ngram_join, packing, suffix_dedup
 from priorline.llm.common import table
@@ -14,9 +13,7 @@ from priorline.session import materialize
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no known language, go; a missing lang is filled with the prediction."""
-    prototypes = language.learn(docs)
-    kept = language.predict(docs, prototypes).where(F.col("lang_pred") != language.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return language.keep_known(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
