@@ -1,23 +1,19 @@
 """Language identification with hyperdimensional profiles.
 
 Each letter, of any script, has a random vector of +1 and -1, drawn by a hash of its code point whenever it is
-needed. A trigram's vector binds its letters by position: the first
-letter's vector rotated by two places, times the second's rotated by one, times the third's. A document
-bundles (adds up) the vectors of its trigrams, a language those of its documents; the language whose
-prototype has the largest cosine with the document wins.
-
-A cosine needs no document vector: its product with a prototype is the sum over the document's trigrams
-of count times the trigram vector's product with the prototype, which a worker computes once for each
-trigram that it remembers. The document vector's length is taken as its expected value, the root of DIMENSIONS times the
-sum of squared counts, as random vectors are orthogonal but for noise.
+needed. A trigram's vector binds its letters by position: the first letter's vector rotated by two places,
+times the second's rotated by one, times the third's. A document bundles (adds up) the vectors of its trigrams,
+a language those of its documents; the language whose prototype has the largest cosine with the document's
+vector wins. Sums are of whole numbers, so a document's vector doesn't depend on what is worked on with it.
 
 Only labelled training rows make prototypes; source, doc_id and lang of a document are no inputs of its
 prediction. What the driver sees is one vector for each language.
 
 Defined cases: null text, or text without a letter, gives UNKNOWN and score 0; rows with null lang aren't
 learned from; with no training rows all is UNKNOWN; ties go to the first language in order; long texts
-count whole; repeated rows count as often as they come; further columns are ignored. Letters are what Unicode calls so;
-other characters, marks that combine with letters among them, are gaps.
+count whole; repeated rows count as often as they come; ``identify`` ignores further columns, ``keep_known``
+keeps them as they are. Letters are what Unicode calls so; other characters, marks that combine with letters
+among them, are gaps.
 """
 
 from __future__ import annotations
@@ -26,19 +22,21 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priorline.llm.common import release_memory, set_aside
+
 DIMENSIONS, SEED = 1024, 7
 UNKNOWN = "und"
 #: A trigram is three code points of so many bits, 0 for a gap.
 BITS = 21
-#: Trigrams whose vectors are made at once, pairs of language and trigram that are counted before they are
-#: bundled, bytes of products that a worker remembers.
-PART, MOST_COUNTED, KNOWN_BYTES = 4096, 1 << 20, 16_000_000
-#: Characters that are counted at once.
-AT_ONCE = 500_000
+#: Trigrams that are bundled at once, pairs of language and trigram that are counted before they are bundled,
+#: trigrams whose vectors a task remembers.
+PART, MOST_COUNTED, MOST_KNOWN = 4096, 1 << 20, 1 << 15
+#: Characters and documents that are worked on at once.
+AT_ONCE, DOCS_AT_ONCE = 500_000, 1024
 #: Documents with this remainder of crc32(doc_id as text) by FOLDS are held out.
 FOLDS, HELD_OUT = 5, 0
 
@@ -85,7 +83,7 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, x in enumerate(texts):
         n = len(x) if x else 0
-        if i > at and size + n > AT_ONCE:
+        if i > at and (size + n > AT_ONCE or i - at == DOCS_AT_ONCE):
             yield at, i
             at, size = i, 0
         size += n
@@ -112,7 +110,7 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes from (text, lang): each task bundles its documents of a language, Spark adds the bundles."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         counted: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
@@ -127,7 +125,7 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
             counted.clear()
 
         for batch in batches:
-            texts, langs = batch.text.tolist(), batch.lang.tolist()
+            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _chunks(texts):
                 owner, grams, _ = _trigrams(texts[a:b])
                 if not len(grams):
@@ -142,10 +140,12 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
                     size = 0
         bundle()
         for name, total in totals.items():
-            yield pd.DataFrame({"lang": name, "dim": np.arange(DIMENSIONS), "part": total.astype(np.int64)})
+            columns = [pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(total.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "dim", "part"])
+        release_memory()
 
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sums = rows.mapInPandas(run, "lang string, dim int, part long").groupBy("lang", "dim").agg(F.sum("part").alias("value"))
+    sums = rows.mapInArrow(run, "lang string, dim int, part long").groupBy("lang", "dim").agg(F.sum("part").alias("value"))
     found: dict[str, np.ndarray] = {}
     for r in sums.collect():  # DIMENSIONS numbers for each language
         found.setdefault(r.lang, np.zeros(DIMENSIONS))[r.dim] = r.value
@@ -153,65 +153,82 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 class Classifier:
-    """Prototypes with the products of the trigrams seen of late."""
+    """Prototypes with the vectors of the trigrams seen of late."""
 
     def __init__(self, prototypes: dict[str, np.ndarray]) -> None:
         self.names = list(prototypes)
         self._unit = np.stack([v / np.linalg.norm(v) for v in prototypes.values()], 1) if prototypes else np.zeros((DIMENSIONS, 0))
         self._known = np.empty(0, np.int64)
-        self._products = np.zeros((0, len(self.names)))
-        self._room = KNOWN_BYTES // (8 * (len(self.names) + 1))
+        self._vectors = np.zeros((0, DIMENSIONS), np.int8)
 
-    def products(self, different: np.ndarray) -> np.ndarray:
-        """The product of each of the trigrams, which are in order, with each prototype."""
+    def _vectors_of(self, different: np.ndarray) -> np.ndarray:
+        """The vectors of at most PART trigrams, which are in order."""
         at = np.searchsorted(self._known, different)
         known = np.zeros(len(different), bool)
         inside = at < len(self._known)
         known[inside] = self._known[at[inside]] == different[inside]
-        found = np.empty((len(different), len(self.names)))
-        found[known] = self._products[at[known]]
-        new = different[~known]
-        if len(new):
-            found[~known] = np.concatenate([trigram_vectors(new[k : k + PART]).astype(np.float64) @ self._unit for k in range(0, len(new), PART)])
-            if len(self._known) + len(new) > self._room:
-                self._known, self._products = different[: self._room], found[: self._room]
+        found = np.empty((len(different), DIMENSIONS), np.int8)
+        found[known] = self._vectors[at[known]]
+        if not known.all():
+            new = different[~known]
+            found[~known] = trigram_vectors(new)
+            if len(self._known) + len(new) > MOST_KNOWN:
+                self._known, self._vectors = different, found
             else:
-                self._known, self._products = np.insert(self._known, at[~known], new), np.insert(self._products, at[~known], found[~known], axis=0)
+                self._known, self._vectors = np.insert(self._known, at[~known], new), np.insert(self._vectors, at[~known], found[~known], axis=0)
         return found
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of each text, and which texts have a letter."""
         owner, grams, has = _trigrams(texts)
+        if not len(grams):
+            return np.zeros((len(texts), DIMENSIONS)), has
+        different, owner, gram, count = _counted(owner, grams)
+        # Sums below 2**24 are exact in single precision.
+        kind = np.float32 if np.bincount(owner, count).max() < 1 << 24 else np.float64
+        vectors = np.zeros((len(texts), DIMENSIONS), kind)
+        order = np.argsort(gram, kind="stable")
+        owner, gram, count = owner[order], gram[order], count[order]
+        for at in range(0, len(different), PART):
+            part = different[at : at + PART]
+            a, b = np.searchsorted(gram, (at, at + len(part)))
+            matrix = np.zeros((len(texts), len(part)), kind)
+            matrix[owner[a:b], gram[a:b] - at] = count[a:b]
+            vectors += matrix @ self._vectors_of(part).astype(kind)
+        return vectors.astype(np.float64), has
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.names or not len(grams):
+        if not self.names:
             return names, scores
-        different, owner, gram, count = _counted(owner, grams)
-        count, products = count.astype(np.float64), self.products(different)
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        dots = np.add.reduceat(products[gram] * count[:, None], starts, axis=0)
-        cosines = dots / np.sqrt(DIMENSIONS * np.add.reduceat(count * count, starts))[:, None]
+        vectors, has = self.bundles(texts)
+        norms = np.linalg.norm(vectors, axis=1)
+        cosines = vectors @ self._unit / np.where(norms > 0, norms, 1.0)[:, None]
         best = np.argmax(cosines, 1)
-        for d, k, row in zip(owner[starts].tolist(), best.tolist(), cosines, strict=True):
-            names[d], scores[d] = self.names[k], float(min(1.0, max(0.0, row[k])))
+        for d in np.flatnonzero(has).tolist():
+            names[d], scores[d] = self.names[best[d]], float(min(1.0, max(0.0, cosines[d, best[d]])))
         return names, scores
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred and score added; needs column text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score"))
-    kept = docs.select(*[F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("lang_pred", "score")])
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score, which it must not have yet, from its column ``text``."""
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(prototypes)
         for batch in batches:
-            texts = [x if isinstance(x, str) else None for x in batch.text]
+            texts = batch.column(at).to_pylist()
             names, scores = [], []
             for a, b in _chunks(texts):
                 n, s = classifier.predict(texts[a:b])
                 names += n
                 scores += s
-            yield batch.assign(lang_pred=names, score=scores)
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+        release_memory()
 
-    return kept.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -219,3 +236,10 @@ def identify(docs: DataFrame) -> DataFrame:
     prototypes = learn(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), prototypes)
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents whose language is told, with the columns of ``docs``; a missing lang becomes the prediction."""
+    aside, place, back = set_aside(docs)
+    out = predict(aside, learn(docs), place["text"]).where(F.col("lang_pred") != UNKNOWN)
+    return back(out.withColumn(place["lang"], F.coalesce(place["lang"], "lang_pred")))

@@ -380,7 +380,8 @@ def test_cosine_equals_that_of_whole_vectors():
     vector = language.trigram_vectors(grams).astype(float).sum(0)
     names, scores = language.Classifier(prototypes).predict([text])
     exact = {k: vector @ v / np.linalg.norm(vector) / np.linalg.norm(v) for k, v in prototypes.items()}
-    assert names[0] == max(exact, key=exact.get) and abs(scores[0] - max(0, max(exact.values()))) < 0.1
+    assert names[0] == max(exact, key=exact.get) and scores[0] == pytest.approx(max(0, max(exact.values())), abs=1e-12)
+    assert (language.Classifier(prototypes).bundles([text, None, "other words"])[0][0] == vector).all()
 
 
 @pytest.mark.parametrize("pools", [["абвгеж", "зидкон"], ["αβγδ", "εζηθ"], ["日月火水", "山川田人"]])
@@ -401,8 +402,8 @@ def test_products_are_forgotten_not_lost(monkeypatch):
     prototypes = {"a": rng.normal(size=language.DIMENSIONS), "b": rng.normal(size=language.DIMENSIONS)}
     texts = [words(random.Random(k), 40, "abcdefghжщы日") for k in range(12)]
     want = language.Classifier(prototypes).predict(texts)
-    monkeypatch.setattr(language, "KNOWN_BYTES", 24 * 50)
-    monkeypatch.setattr(language, "MOST_COUNTED", 10)
+    monkeypatch.setattr(language, "MOST_KNOWN", 50)
+    monkeypatch.setattr(language, "PART", 40)
     small = language.Classifier(prototypes)
     got = [small.predict([x]) for x in texts]
     assert len(small._known) <= 50 and [n[0] for n, _ in got] == want[0] and [s[0] for _, s in got] == pytest.approx(want[1])
@@ -580,12 +581,11 @@ def test_all_frames_of_the_stored_stream_can_be_sought(spark):
 def test_columns_that_clash_come_back(docs):
     clash = [("uid", "u"), ("mark", "m"), ("start", "s"), ("end", "e"), ("size", "z"), ("digits", "d"), ("taken", "t"), ("rank", "r"), ("names", "n"), ("lang_pred", "p"), ("score", "q"), ("sets", "x"), ("own_0", "o")]
     more = docs.dropDuplicates(["doc_id"]).withColumns({k: F.lit(v) for k, v in clash})
-    for f in (suffix_dedup.apply_dedup, ngram_join.keep_one, mixing.apply_mix):
+    for f in (suffix_dedup.apply_dedup, ngram_join.keep_one, mixing.apply_mix, language.keep_known):
         out = f(more)
         assert out.columns == more.columns
         assert all(r[k] == v for r in out.collect() for k, v in clash)
     assert {r["size"] for r in mixing.mix(more).collect()} > {0}
-    assert language.predict(more, {}).columns[-2:] == ["lang_pred", "score"]
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
