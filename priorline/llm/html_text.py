@@ -1,13 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks (the text between two block-level tags), each with its root-to-leaf path of
-block-level tags. Over all blocks of a path, text length and punctuation outside links are summed and
-divided by the number of blocks; both ratios, smoothed over the page's order by a Gaussian kernel, are
-multiplied, and paths above a part of the scores' standard deviation are content. The smallest element
-that holds nearly all content text is the article: its blocks are kept in page order, with headings,
-lists and short paragraphs, as are content paths elsewhere if they are as strong as those in it.
-Elements that by tag, role, class or id are navigation, header, footer, sidebar, notice, advert, form
-or reader comments never count, nor do scripts, styles and hidden elements.
+block-level tags with their class and id. Over all blocks of a path, text length and punctuation outside links
+are summed and divided by the number of blocks; both ratios, smoothed over the page's order by a Gaussian
+kernel, are multiplied. A path with an element whose class, id or role says what articles don't have
+(navigation, advert, comments and such) counts UNLIKELY times its ratio, one within an article or main element
+LIKELY times: names tip the scales where lengths are near each other, but where such a path has the page's text, it
+is the text. Paths above a part of the scores' standard deviation are content. The smallest element that holds
+nearly all content is the article: its blocks are kept in page order, short ones as headings and list items
+too, but for unlikely paths below the threshold; so are content paths elsewhere that are as strong as the
+article's. What by its tag alone is no article text (scripts, styles, forms, nav, footer, aside) is dropped
+while the page is cut, as are hidden elements.
 
 Defined cases: null html is empty, and an empty page gives an empty text; markup that breaks off is
 dropped; tags that are never closed end with their parents; very long pages are read once from left to
@@ -20,9 +23,13 @@ import html as html_entities
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from priorline.llm.common import release_memory
 
 # Fixed values of HTML: elements that start a block, that have no content, whose content is no markup, and
 # which open elements a start tag ends.
@@ -38,23 +45,25 @@ ENDS = {
     "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"),
 }
 SCOPES = frozenset("table ul ol dl article section div main body html td th blockquote".split())
-#: Elements that are never article text, and words in class, id or role that say so.
+#: Elements that are never article text, and words in class, id or role that tell of what is none.
 NEVER = frozenset(
     "nav header footer aside form button select option optgroup fieldset legend dialog head menu object iframe noscript label input "
     "textarea canvas audio video datalist".split()
 )
-NEVER_WORDS = frozenset(
+UNLIKELY_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs header masthead topbar footer footnav sidebar aside widget widgets related recommended recommendations cookie "
     "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing "
     "social comment comments commentlist disqus reply replies responses discussion form search pagination pager paging toolbar copyright "
     "skip hidden contentinfo complementary".split()
 )
-#: Of these, the ones that also count on an article element.
-ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsored promo related comment comments reply replies".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Kernel width in blocks; part of the standard deviation; share of content text in the article element.
 SIGMA, PART, SHARE = 1.0, 0.25, 0.9
+#: What a path's ratio is multiplied by where a name on it tells of no article, and where the tags tell of one.
+UNLIKELY, LIKELY = 0.02, 4.0
+#: What counts as punctuation where a path has none; a path elsewhere is kept from this part of the best score on.
+LEAST_MARKS, AS_STRONG = 0.1, 0.5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -62,38 +71,57 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
-    if tag in NEVER:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
-    words = ARTICLE_WORDS if tag == "article" else NEVER_WORDS
+def _is_hidden(attributes: str) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values)
+        name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-            continue
-        for token in value.split():
-            parts = [w.lower() for w in _WORDS.findall(token)]
-            if not {"no", "has", "with", "without"} & set(parts) and words & set(parts):
-                return True
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True
+    return False
+
+
+def _names(attributes: str) -> tuple[str, ...]:
+    """The class names, id and role of a start tag."""
+    found = []
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            found += "".join(values).split()
+    return tuple(found)
+
+
+@lru_cache(maxsize=4096)
+def _unlikely(names: tuple[str, ...]) -> bool:
+    for token in names:
+        parts = {w.lower() for w in _WORDS.findall(token)}
+        if parts & UNLIKELY_WORDS and not parts & {"no", "has", "with", "without"}:
+            return True
     return False
 
 
+class _Element:
+    """An open element: its tag, number and names, and whether it or one around it is no article text, or unlikely to be."""
+
+    __slots__ = ("tag", "number", "names", "aside", "unlikely")
+
+    def __init__(self, tag: str, number: int, names: tuple[str, ...], aside: bool, unlikely: bool) -> None:
+        self.tag, self.number, self.names, self.aside, self.unlikely = tag, number, names, aside, unlikely
+
+
 class _Block:
-    __slots__ = ("path", "chain", "text", "links", "aside")
+    __slots__ = ("path", "chain", "text", "links", "weight")
 
-    def __init__(self, path: tuple[str, ...], chain: tuple[int, ...], text: str, links: int, aside: bool) -> None:
-        self.path, self.chain, self.text, self.links, self.aside = path, chain, text, links, aside
+    def __init__(self, stack: list[_Element], text: str, links: int) -> None:
+        around = [x for x in stack if x.tag in BLOCKS]
+        self.path = tuple((x.tag, x.names) for x in around)
+        self.chain = tuple(x.number for x in around)
+        self.text, self.links = text, links
+        self.weight = (UNLIKELY if stack and stack[-1].unlikely else 1.0) * (LIKELY if any(x.tag in ("article", "main") for x in around) else 1.0)
 
 
 def blocks_of(page: str) -> list[_Block]:
-    """The page's blocks in order, those with no text left out."""
-    # Open elements: tag, number, whether it or one around it is no article text; numbers count elements.
-    stack: list[tuple[str, int, bool]] = []
+    """The page's blocks in order, without those that have no text or that by a tag around them are no article text."""
+    stack: list[_Element] = []
     found: list[_Block] = []
     parts: list[str] = []
     linked = 0
@@ -103,14 +131,13 @@ def blocks_of(page: str) -> list[_Block]:
         nonlocal linked
         if parts:
             text = " ".join(html_entities.unescape("".join(parts)).split())
-            if text:
-                blocks = [x for x in stack if x[0] in BLOCKS]
-                found.append(_Block(tuple(x[0] for x in blocks), tuple(x[1] for x in blocks), text, linked, bool(stack) and stack[-1][2]))
+            if text and not (stack and stack[-1].aside):
+                found.append(_Block(stack, text, linked))
             parts.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
-        if any(x[0] in BLOCKS for x in stack[depth:]) or any(x[2] for x in stack[depth:]):
+        if any(x.tag in BLOCKS or x.aside for x in stack[depth:]):
             close_block()
         del stack[depth:]
 
@@ -120,7 +147,7 @@ def blocks_of(page: str) -> list[_Block]:
         raw = page[at : m.start()] if m else page[at:]
         if raw:
             parts.append(raw)
-            if any(x[0] == "a" for x in stack):
+            if any(x.tag == "a" for x in stack):
                 linked += len(raw)
         if not m:
             break
@@ -129,7 +156,7 @@ def blocks_of(page: str) -> list[_Block]:
         if not tag:
             continue
         if m[1] or m[5]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
             if depth is not None:
                 pop_to(depth)
             elif tag == "p":
@@ -148,29 +175,33 @@ def blocks_of(page: str) -> list[_Block]:
         if tag in BLOCKS:
             if tag in ENDS:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ENDS[tag]:
+                    if stack[k].tag in ENDS[tag]:
                         pop_to(k)
                         break
-                    if stack[k][0] in SCOPES and stack[k][0] not in ("td", "th"):
+                    if stack[k].tag in SCOPES and stack[k].tag not in ("td", "th"):
                         break
             else:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
+                    if stack[k].tag == "p":
                         pop_to(k)
                         break
-                    if stack[k][0] in SCOPES:
+                    if stack[k].tag in SCOPES:
                         break
             close_block()
         if tag in VOID:
             continue
-        aside = (bool(stack) and stack[-1][2]) or _is_aside(tag, attributes)
-        if tag in HEADINGS and aside and any(x[0] == "article" for x in stack) and [x[0] for x in stack if x[0] in NEVER] == ["header"]:
+        inside = bool(stack) and stack[-1].aside
+        names = _names(attributes) if attributes else ()
+        aside = inside or tag in NEVER or bool(attributes and _is_hidden(attributes))
+        if tag in HEADINGS and inside and any(x.tag == "article" for x in stack) and [x.tag for x in stack if x.tag in NEVER] == ["header"]:
             aside = False  # a heading in the header of an article
-        if aside and not (stack and stack[-1][2]):
+        if aside and not inside:
             close_block()
         if not attributes.endswith("/") or tag in BLOCKS:
             number += 1
-            stack.append((tag, number, aside))
+            whole = tag in ("html", "body", "main", "article")  # what these say of themselves concerns the page
+            unlikely = (bool(stack) and stack[-1].unlikely) or (not whole and _unlikely(names))
+            stack.append(_Element(tag, number, names, aside, unlikely))
     close_block()
     return found
 
@@ -185,46 +216,50 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def path_scores(blocks: list[_Block]) -> dict[tuple[str, ...], float]:
-    """For each path the mean over its blocks of smoothed text ratio times smoothed punctuation ratio."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+def path_scores(blocks: list[_Block]) -> dict[tuple, float]:
+    """For each path the mean over its blocks of smoothed text ratio times smoothed punctuation ratio, weighed."""
+    sums: dict[tuple, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.path, [0.0, 0.0, 0.0])
         s[0] += max(0, len(b.text) - b.links)
         s[1] += len(_PUNCTUATION.findall(b.text)) if b.links < len(b.text) else 0
         s[2] += 1
-    lengths = _smooth([sums[b.path][0] / sums[b.path][2] for b in blocks])
+    lengths = _smooth([b.weight * sums[b.path][0] / sums[b.path][2] for b in blocks])
     marks = _smooth([sums[b.path][1] / sums[b.path][2] for b in blocks])
-    scores: dict[tuple[str, ...], list[float]] = {}
+    scores: dict[tuple, list[float]] = {}
     for b, x, y in zip(blocks, lengths, marks, strict=True):
-        scores.setdefault(b.path, []).append(x * (y + 0.1))
+        own = b.weight * sums[b.path][0] / sums[b.path][2]
+        # A path can gain no more by its neighbours than its own length: smoothing closes gaps in an article, and
+        # lifts nothing short beside it.
+        scores.setdefault(b.path, []).append(min(x, 2 * own) * (y + LEAST_MARKS))
     return {p: sum(v) / len(v) for p, v in scores.items()}
 
 
 def main_text(page: str) -> str:
     """The article's blocks, joined by two line feeds; empty if there are none."""
-    blocks = [b for b in blocks_of(page) if not b.aside]
+    blocks = blocks_of(page)
     if not blocks:
         return ""
     scores = path_scores(blocks)
     each = [scores[b.path] for b in blocks]
     mean = sum(each) / len(each)
     threshold = PART * math.sqrt(sum((x - mean) ** 2 for x in each) / len(each))
-    strong = [b for b in blocks if scores[b.path] >= threshold]
-    weight: dict[int, int] = {}
-    total = 0
+    strong = [b for b in blocks if scores[b.path] >= threshold and scores[b.path] > 0]
+    # The article: the innermost element with SHARE of what all content paths weigh.
+    weight: dict[int, float] = {}
+    total = 0.0
     for b in strong:
-        size = max(1, len(b.text) - b.links)
+        size = b.weight * max(1, len(b.text) - b.links)
         total += size
         for number in b.chain[:-1] or b.chain:  # a block's own element is no article
             weight[number] = weight.get(number, 0) + size
     inner = max((k for k, w in weight.items() if w >= SHARE * total), default=None)
-    best = max(scores[b.path] for b in strong)
+    best = max((scores[b.path] for b in strong), default=0.0)
     kept = []
     for b in blocks:
+        score = scores[b.path]
         inside = inner is None or inner in b.chain
-        mostly_links = b.links > 0.8 * len(b.text) and b.path[-1:] != ("p",) and not (set(b.path) & HEADINGS)
-        if (inside and not mostly_links) or scores[b.path] >= 0.5 * best:
+        if (inside and (b.weight >= 1 or score >= threshold)) or (score > 0 and score >= AS_STRONG * best):
             kept.append(b.text)
     return "\n\n".join(kept)
 
@@ -232,9 +267,12 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) if isinstance(x, str) else "" for x in batch.html]
-            yield pd.DataFrame({"page_id": batch.page_id.astype("Int64"), "url": batch.url, "text": texts, "n_chars": [len(x) for x in texts]})
+            texts = [main_text(x) if x else "" for x in batch.column(2).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+        release_memory()
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    ids = F.col("page_id").cast("long").alias("page_id")
+    return pages.select(ids, F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

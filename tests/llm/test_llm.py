@@ -523,9 +523,58 @@ def test_html_edges(page, text):
     assert html_text.main_text(page) == text
 
 
+def made_page(rng, scramble=False):
+    """A page of a known article among navigation, adverts, a sidebar, comments and a footer."""
+    name = (lambda x: f"q{rng.randrange(1000)}") if scramble else (lambda x: x)
+    line = lambda n: (words(rng, n) + ".").capitalize()
+    paragraph = lambda: " ".join(line(rng.randrange(6, 14)).replace(" ", ", ", 1) for _ in range(rng.randrange(2, 6)))
+    article = [line(5)[:-1], *(paragraph() for _ in range(rng.randrange(3, 9)))]
+    inner = f"<h1>{article[0]}</h1>" + "".join(f"<p>{x}</p>" for x in article[1:])
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>{words(rng, 1)}</a></li>" for k in range(8)) + "</ul>"
+    return article, (
+        f"<html><head><title>t</title><script>var x = '<p>';</script></head><body><div class={name('top-menu')}>{menu}</div><div class={name('ad')}>{line(4)}</div>"
+        f"<div class={name('text')}>{inner}</div><div class={name('sidebar')}><ul><li>{line(2)}</li><li>{line(3)}</li></ul></div><footer>{line(5)}</footer></body></html>"
+    )
+
+
+@pytest.mark.parametrize("scramble", [False, True])
+def test_article_is_found_by_its_ratios(scramble):
+    rng = random.Random(21)
+    for _ in range(60):
+        article, page = made_page(rng, scramble)
+        assert html_text.main_text(page).split("\n\n") == article
+
+
+def test_scores_decide():
+    _, page = made_page(random.Random(22))
+    blocks = html_text.blocks_of(page)
+    assert len(blocks) > len(html_text.main_text(page).split("\n\n"))  # without scores all blocks would stay
+    assert html_text.main_text('<div class="post search"><p>Some words, here.</p><p>And more.</p></div>') == "Some words, here.\n\nAnd more."
+    assert html_text.main_text('<div class="notice-board story"><p>Some words, here.</p></div>') == "Some words, here."
+
+
+def test_path_scores_equal_their_definition():
+    rng = random.Random(23)
+    for _ in range(20):
+        blocks = html_text.blocks_of(made_page(rng)[1])
+        n = len(blocks)
+        mean = lambda f: [b.weight ** (f is size) * sum(f(c) for c in blocks if c.path == b.path) / sum(c.path == b.path for c in blocks) for b in blocks]  # noqa: E731, B023
+        size = lambda b: max(0, len(b.text) - b.links)
+        points = lambda b: sum(c in ".,;:!?" for c in b.text) * (b.links < len(b.text))
+        near = lambda v: [sum(v[j] * np.exp(-((i - j) ** 2) / 2) for j in range(n) if abs(i - j) <= 3) / sum(np.exp(-((i - j) ** 2) / 2) for j in range(n) if abs(i - j) <= 3) for i in range(n)]
+        own = mean(size)
+        fused = [min(x, 2 * o) * (y + html_text.LEAST_MARKS) for x, o, y in zip(near(own), own, near(mean(points)))]
+        for path, score in html_text.path_scores(blocks).items():
+            assert score == pytest.approx(np.mean([f for f, b in zip(fused, blocks) if b.path == path]))
+
+
 def test_html_rows(spark):
     got = html_text.extract(spark.createDataFrame([(1, "u", None), (2, None, PAGE), (2, None, PAGE)], "page_id long, url string, html string")).collect()
     assert sorted((r.page_id, r.n_chars) for r in got)[0] == (1, 0) and len(got) == 3
+    long = "<p>" + "</p><p>".join(f"Line {k}, of many." for k in range(20_000)) + "</p>"
+    big = spark.createDataFrame([((1 << 60) + 1, "u", long, "more"), (None, "u", "<p>a", "more")], "page_id long, url string, html string, text string")
+    got = html_text.extract(big).collect()
+    assert {r.page_id for r in got} == {(1 << 60) + 1, None} and max(r.text.count("Line") for r in got) == 20_000
 
 
 # Media.
