@@ -6,7 +6,10 @@ packs in parallel: best fit in order of size, then a local search over the bins
 emptiest bin gives its pieces away: one moves into another bin's gap, or one or two of them change
 places with a smaller piece of another bin, always so that the other bin fills up and the sum of squared
 fills grows, until the bin is empty or no exchange is left. Bins that stay underfull in their groups are
-dealt anew, a few groups' worth at a time, and packed once more.
+dealt anew, in groups of that size again, and packed once more.
+
+The search is bounded: MOST_EXCHANGES out of a bin, MOST_ROUNDS over all bins, pairs of a bin's eight largest pieces
+and the eight nearest sums. A bin cut off by a bound stays as full as it is; README has what the bounds cost.
 
 Defined cases: a null or empty text is a piece of one end id; documents of any length are cut; equal
 lengths are taken in order of (doc_id, piece); rows that repeat are packed as often as they come; an
@@ -21,20 +24,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorline.llm.common import pieces
+from priorline.llm.common import pieces, release_memory
 from priorline.llm.tokens import AT_ONCE, encoder
 from priorline.session import materialize
 
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
 #: Pieces that one task packs at most, about; exchanges out of one bin at most, and rounds over all bins.
 GROUP_PIECES, MOST_EXCHANGES, MOST_ROUNDS = 20_000, 200, 8
-#: A bin with more free places than this is dealt anew in the second round; groups put together there.
-UNDERFULL, SECOND_ROUND = 16, 16
+#: A bin with more free places than this is dealt anew in the second round.
+UNDERFULL = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, fill long"
 
@@ -45,9 +47,8 @@ def cut(n_ids: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n_ids, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for each piece of each document. Without ``keep_words`` a task
-    leaves no words in its worker's memory for the next one, which spares memory and costs time."""
+def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) for each piece of each document."""
     names = [x.split()[0] for x in PIECES.split(", ")]
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -63,12 +64,19 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
                         rows.append((doc_id, k, start, n, zlib.crc32(packed[4 * start : 4 * (start + n)])))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-        if not keep_words:
-            encoder.cache_clear()
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
+def fewest(lengths: list[int], capacity: int = CAPACITY) -> int:
+    """A number of bins that no packing is below: by the sum, and as a bin takes at most k pieces of over
+    1 / (k + 1) of it."""
+    ordered = np.sort(np.asarray(lengths))
+    over = [-(-(len(ordered) - int(np.searchsorted(ordered, capacity // (k + 1), "right"))) // k) for k in range(1, 9)]
+    return max(math.ceil(int(ordered.sum()) / capacity), *over)
+
+
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of indices into ``lengths``, whose sums are at most ``capacity``: best fit in order of size,
     then the local search."""
@@ -93,7 +101,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
 
 def _local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     fill = [sum(lengths[i] for i in b) for b in bins]
-    least = math.ceil(sum(fill) / capacity)
+    least = fewest(lengths, capacity)
     open_bins = {b for b in range(len(bins)) if fill[b] < capacity}
     used = len(bins)
     # For each sum of a piece and its bin's free places: pieces that could make way for one of that size.
@@ -176,38 +184,43 @@ def _give_away(source, bins, lengths, fill, capacity, rooms, makes_way, sums, op
     return None
 
 
-def _pack_group(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    frame = frame.sort_values(["doc_id", "piece", "ids_crc32"]).reset_index(drop=True)
-    sequence, offset, fill = (np.zeros(len(frame), dtype=np.int64) for _ in range(3))
-    lengths = frame["length"].tolist()
-    first = int(frame["group"].iloc[0]) << 32
+def _pack_group(table: pa.Table, capacity: int) -> pa.Table:
+    """One group's pieces with sequence_id, offset and fill of the sequence."""
+    group = table.column("group")[0].as_py()
+    table = table.drop_columns("group").sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "start")])
+    sequence, offset, fill = (np.zeros(len(table), dtype=np.int64) for _ in range(3))
+    lengths = table.column("length").to_pylist()
     for k, members in enumerate(pack_lengths(lengths, capacity)):
         at = 0
         for i in members:
-            sequence[i], offset[i] = first + k, at
+            sequence[i], offset[i] = (group << 32) + k, at
             at += lengths[i]
         fill[members] = at
-    return frame.drop(columns="group").assign(sequence_id=sequence, offset=offset, fill=fill)
+    for name, column in (("sequence_id", sequence), ("offset", offset), ("fill", fill)):
+        table = table.append_column(name, pa.array(column))
+    return table
 
 
 def pack_pieces(cut_pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pieces with sequence_id and offset. ``cut_pieces`` is read twice: for its count and for packing."""
+    """Pieces with sequence_id and offset. ``cut_pieces``, a written table, is read twice: for its count and for
+    packing. Groups are dealt by a row's place in its files, so no doc_id makes a group larger."""
     names = [x.split()[0] for x in PIECES.split(", ")]
     groups = max(1, math.ceil(cut_pieces.count() / group_pieces))
-    dealt = cut_pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = cut_pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _pack_group(frame, capacity)
+    def run(table: pa.Table) -> pa.Table:
+        return _pack_group(table, capacity)
 
-    once = materialize(dealt.groupBy("group").applyInPandas(run, PLACED), "packed")
+    once = materialize(dealt.groupBy("group").applyInArrow(run, PLACED), "packed")
     if groups == 1:
         return once.drop("fill")
     again = once.where(F.col("fill") < capacity - UNDERFULL)
-    again = again.select(*names, (groups + F.floor(F.shiftright("sequence_id", 32) / SECOND_ROUND)).cast("long").alias("group"))
-    packed_again = again.groupBy("group").applyInPandas(run, PLACED)
+    groups_again = max(1, math.ceil(again.count() / group_pieces))
+    again = again.select(*names, (groups + F.pmod(F.xxhash64("sequence_id"), F.lit(groups_again))).cast("long").alias("group"))
+    packed_again = again.groupBy("group").applyInArrow(run, PLACED)
     return once.where(F.col("fill") >= capacity - UNDERFULL).unionByName(packed_again).drop("fill")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(materialize(token_pieces(docs, tokenizer, end_id, capacity, keep_words), "pieces"), capacity)
+    return pack_pieces(materialize(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
