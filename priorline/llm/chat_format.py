@@ -7,7 +7,8 @@ backslash into every ``<|`` (``<\\|`` becomes ``<\\\\|`` and so on), and the par
 reverses at any depth; one level always suffices for texts, and roles also have their backslashes,
 line feeds and carriage returns written as ``\\\\``, ``\\n`` and ``\\r``.
 
-The loss mask covers exactly the text of assistant turns.
+The loss mask is stored with the text: for each turn the places (code points) between which its text stands as
+rendered, where it is an assistant's. Both are written, and what comes back is read from them.
 
 Rows are sorted by conversation within partitions and read as a stream: only one turn and running
 digests are held, so a conversation may be as long as it likes.
@@ -23,16 +24,19 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priorline.llm.common import release_memory
+from priorline.session import materialize
+
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE_OUT = {"\\": "\\\\", "\n": "\\n", "\r": "\\r"}
 _ROLE_IN = {v: k for k, v in _ROLE_OUT.items()}
 LOSS_ROLE = "assistant"
-SEGMENTS = "conv_id long, turn_no long, segment string"
+SEGMENTS = "conv_id long, turn_no long, segment string, loss_start int, loss_end int"
 DIGESTS = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
     "formatted_sha256 string"
@@ -107,34 +111,44 @@ def render(turns: Iterable[tuple[str, str]]) -> str:
     return "".join(render_turn(*x) for x in turns)
 
 
+def loss_span(role: str, segment: str) -> tuple[int, int]:
+    """Where in the rendered turn the text stands that counts for the loss; an empty span for other roles."""
+    begin = segment.index("\n") + 1
+    return (begin, len(segment) - len(END) - 1) if role == LOSS_ROLE else (begin, begin)
+
+
 def format_segments(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn_no, segment): rendered turns, which concatenated in order of turn_no make up the
-    conversation. Sorted within partitions, each conversation in one."""
+    """Rendered turns (columns of SEGMENTS), written: in order of turn_no those of a conversation make up
+    its text, and loss_start to loss_end of a segment is under the loss mask."""
     rows = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, number = object(), 0
         for batch in batches:
-            ids, numbers, segments = [], [], []
-            for conv, role, text in zip(batch.conv_id, batch.role, batch.text, strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            made = []
+            for conv, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 number = number + 1 if conv == last else 0
                 last = conv
-                ids.append(conv)
-                numbers.append(number)
-                segments.append(render_turn(role, text))
-            yield pd.DataFrame({"conv_id": pd.array(ids, dtype="Int64"), "turn_no": numbers, "segment": segments})
+                segment = render_turn(role, text)
+                made.append((conv, number, segment, *loss_span(role, segment)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
+        release_memory()
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, SEGMENTS)
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return materialize(ordered.mapInArrow(run, SEGMENTS), "segments")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Per conversation what the parser recovers from the rendered text (columns of DIGESTS). ``segments``
-    has each conversation's rows together and in order, as format_segments gives them."""
+    """Per conversation what the parser and the loss mask recover from the stored text (columns of DIGESTS)."""
+    names = [x.split()[0] for x in DIGESTS.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         done: list[tuple] = []
 
@@ -145,33 +159,33 @@ def read_back(segments: DataFrame) -> DataFrame:
                 done.append((conv, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2], text.hexdigest()))
                 held.clear()
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
+                done.clear()
+
         for batch in batches:
-            for conv, segment in zip(batch.conv_id, batch.segment, strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            for conv, segment, a, b in zip(columns[0], *columns[1:], strict=True):
                 if not held or held[0] != conv:
                     close()
                     held.extend((conv, Parser(), hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), [0, 0, 0]))
                 _, parser, turns, loss, whole, counts = held
                 whole.update(segment.encode())
                 counts[2] += len(segment)
-                for role, text in ((_role_in(r), unescape(t)) for r, t in parser.feed(segment)):
-                    turns.update(f"{role}\n{text}\n".encode())
+                for role, text in parser.feed(segment):
+                    turns.update(f"{_role_in(role)}\n{unescape(text)}\n".encode())
                     counts[0] += 1
-                    if role == LOSS_ROLE:
-                        loss.update(text.encode())
-                        counts[1] += len(text)
-            yield _frame(done)
-            done.clear()
+                masked = unescape(segment[a:b])
+                loss.update(masked.encode())
+                counts[1] += len(masked)
+            yield from flush()
         close()
-        yield _frame(done)
-
-    return segments.mapInPandas(run, DIGESTS)
+        yield from flush()
 
-
-def _frame(done: list[tuple]) -> pd.DataFrame:
-    names = [x.split()[0] for x in DIGESTS.split(", ")]
-    frame = pd.DataFrame(done, columns=names)
-    return frame.astype({"conv_id": "Int64"})
+    stored = segments.select("conv_id", "segment", "loss_start", "loss_end", "turn_no")
+    ordered = stored.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+    return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, DIGESTS)
 
 
 def with_control_case(conversations: DataFrame) -> DataFrame:

@@ -211,6 +211,25 @@ def test_chat_query_reads_back_the_source(spark):
         assert got[conv].formatted_chars == len(chat_format.render(own))
 
 
+def test_large_ids_beside_null_stay_apart(spark):
+    a, b = (1 << 60) + 1, (1 << 60) + 2
+    said = spark.createDataFrame([(a, 0, "user", "x"), (b, 0, "assistant", "y"), (None, 0, "user", "z")], "conv_id long, turn long, role string, text string").coalesce(1)
+    assert {r.conv_id: r.n_turns for r in chat_format.read_back(chat_format.format_segments(said)).collect()} == {a: 1, b: 1, None: 1}
+    table = spark.createDataFrame([(a, "some words", "en"), (b, "other words", "en"), (None, "more", "de")], "doc_id long, text string, lang string").coalesce(1)
+    for f in (packing.pack, language.identify, lambda d: repair_ids.read_ids(repair_ids.write_ids(d)), media.audio_features, suffix_dedup.dedup, ngram_join.join, fingerprints.edited):
+        assert {r.doc_id for r in f(table).collect()} == {a, b, None}
+
+
+def test_loss_mask_is_read_from_what_is_stored(spark):
+    said = [(1, 0, "assistant", "a <|im_end|> b"), (1, 1, "user", "no"), (1, 2, "assistant", "c\nd")]
+    stored = chat_format.format_segments(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    marked = [r.segment[r.loss_start : r.loss_end] for r in stored.orderBy("turn_no").collect()]
+    assert [chat_format.unescape(x) for x in marked] == ["a <|im_end|> b", "", "c\nd"]
+    none = chat_format.read_back(stored.withColumn("loss_end", F.col("loss_start"))).head()
+    assert (none.loss_chars, none.n_turns) == (0, 3)
+    assert chat_format.read_back(chat_format.format_segments(stored.select("conv_id", F.lit(0).alias("turn"), F.lit("").alias("role"), F.lit("").alias("text")).limit(0))).count() == 0
+
+
 # Mixing.
 
 
@@ -298,6 +317,13 @@ def test_local_search_beats_best_fit():
     assert len(bins) <= 1.01 * sum(lengths) / 2048 + 1
 
 
+def test_one_id_for_all_makes_no_larger_group(spark):
+    cut = spark.createDataFrame([(None, 0, 0, 100, 7)] * 5000, packing.PIECES)
+    out = packing.pack_pieces(cut, group_pieces=500)
+    groups = {r.g: r["count"] for r in out.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()}
+    assert sum(groups.values()) == 5000 and max(groups.values()) < 1500
+
+
 def test_second_round_packs_underfull_bins(spark):
     rng = random.Random(3)
     cut = spark.createDataFrame([(k, 0, 0, rng.randrange(1, 2049), k) for k in range(4000)], packing.PIECES)
