@@ -35,14 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorline.llm.common import pieces, set_aside
+from priorline.llm.common import pieces, release_memory, set_aside
 from priorline.llm.components import components
-from priorline.llm.prints import NO_ID, Prints, keyed_texts, marked, mix, uid
+from priorline.llm.prints import Prints, keyed_texts, marked, mix, uid
 from priorline.session import materialize
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 32, 1e-6
-BLOCK, AT_ONCE, COLUMNS = 256, 1_000_000, 4_096
+BLOCK, AT_ONCE, COLUMNS = 256, 500_000, 4_096
 
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -51,7 +51,7 @@ _MULTIPLIERS = _RNG.integers(1 << 60, 1 << 63, WORDS, np.uint64) * np.uint64(2)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-SIGNED = "uid long, doc long, sid long, n int, signature binary, bands array<long>"
+SIGNED = "uid binary, doc long, sid long, n int, signature binary, bands array<long>"
 FOREST = "a long, b long"
 LINKED = "sid long, links long, root long"
 
@@ -105,7 +105,7 @@ def _set_id(shingles: np.ndarray) -> int:
 
 def _signed_rows(keyed: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SIGNED.replace("array<long>", "").split(", ")]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
     number = np.arange(BANDS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +129,7 @@ def _signed_rows(keyed: DataFrame) -> DataFrame:
                     bands.append(key.view(np.int64))
                 columns = (batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), sids, sizes, signatures, bands)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        release_memory()
 
     return keyed.mapInArrow(run, SIGNED)
 
@@ -232,6 +233,7 @@ def _grouped(rows: DataFrame, key: str, schema: str, work: Callable[[pa.Table],
                 yield from flush()
         close()
         yield from flush()
+        release_memory()
 
     return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high", "upper", "sid").mapInArrow(run, schema)
 
@@ -296,9 +298,11 @@ def _verify_work(threshold: float) -> Callable[[pa.Table], dict[str, list]]:
         maybe = prune(signatures[lo], signatures[hi], need)
         if same:
             np.fill_diagonal(maybe, False)
-        if maybe.any():
-            common = intersections(sets[lo], sets[hi])
-            maybe &= common >= threshold * (sizes[lo][:, None] + sizes[hi][None, :] - common) - 1e-9
+        rows, columns = (np.flatnonzero(maybe.any(k)) for k in (1, 0))
+        if len(rows):  # only sets with a pair left are compared
+            left, right = rows, columns if same else columns + cut
+            common = intersections([sets[k] for k in left], [sets[k] for k in right])
+            maybe[np.ix_(rows, columns)] &= common >= threshold * (sizes[left][:, None] + sizes[right][None, :] - common) - 1e-9
         linked = maybe if same else _bipartite(maybe)
         links = linked.astype(np.float64) @ copies.astype(np.float64)
         root, has = forest(linked), linked.any(1)
@@ -316,6 +320,7 @@ def _set_rows(texts: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 packed = pa.array([s.astype("<u8").tobytes() for s in shingle_sets(part.column(4))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], packed], names=["sid", "copies", "label", "signature", "shingles"])
+        release_memory()
 
     chosen = texts.select("sid", "copies", "label", "signature", "text")
     return chosen.mapInArrow(run, "sid long, copies long, label long, signature binary, shingles binary")
@@ -324,7 +329,7 @@ def _set_rows(texts: DataFrame) -> DataFrame:
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class), n_links (documents of likeness at
     least ``threshold``, itself not counted), n_copies (documents with its set, itself counted)."""
-    return _join(docs, threshold).select(F.when(F.col("doc") != F.lit(NO_ID), F.col("doc")).alias("doc_id"), F.when(F.col("class_id") != F.lit(NO_ID), F.col("class_id")).alias("class_id"), "n_links", "n_copies")
+    return _join(docs, threshold).select(F.col("doc").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
 def _join(docs: DataFrame, threshold: float) -> DataFrame:
@@ -354,7 +359,7 @@ def _join(docs: DataFrame, threshold: float) -> DataFrame:
     per_set = linked.groupBy("sid").agg(F.sum("links").alias("links"))
     named = sets.join(classes, sets["sid"] == classes["node"], "left").join(per_set, "sid", "left")
     named = materialize(named.select("sid", "copies", "doc", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "named")
-    least = named.groupBy("label").agg(F.min("doc").alias("class_id"))
+    least = named.groupBy("label").agg(F.min(F.struct("doc")).alias("first")).select("label", F.col("first.doc").alias("class_id"))  # null is least
     named = named.join(least, "label").select("sid", "copies", "label", "class_id", "links")
     out = some.select("uid", "doc", "sid").join(named, "sid").select("uid", "doc", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     bare = signed.where("n = 0").select("uid", "doc", F.lit(None).cast("long").alias("label"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))

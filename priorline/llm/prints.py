@@ -12,20 +12,22 @@ _RNG = np.random.default_rng(20_240_229)
 _TABLES = _RNG.integers(0, 1 << 64, (2, 256), np.uint64)
 _BASES = tuple(int(x) | 1 for x in _RNG.integers(1 << 62, 1 << 63, 2, np.uint64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Stands for a null doc_id; log2 of the most rows of a broadcast table of marks.
-NO_ID, MARK_BITS = -(1 << 63), 20
+#: Powers that a worker keeps; log2 of the most rows of a broadcast table of marks.
+KEPT_POWERS, MARK_BITS = 1 << 19, 20
 
 
 def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of a base modulo 2**64 and of its inverse."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        both = []
-        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
-            steps = np.full(max(n, 1 << 16), b, np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
+    """At least ``n`` powers of a base modulo 2**64 and of its inverse. Longer ones than KEPT_POWERS aren't kept."""
+    if which in _powers and len(_powers[which][0]) >= n:
+        return _powers[which]
+    both = []
+    for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+        steps = np.full(max(n, KEPT_POWERS), b, np.uint64)
+        steps[0] = 1
+        both.append(np.multiply.accumulate(steps))
+    if n <= KEPT_POWERS:
         _powers[which] = (both[0], both[1])
-    return _powers[which]
+    return both[0], both[1]
 
 
 class Prints:
@@ -52,20 +54,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(uid, doc, text): ``uid`` is a hash of doc_id and text, so rows that repeat share it; null text is empty."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(uid().alias("uid"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text.alias("text"))
+    """(uid, doc, text): ``uid`` is a digest of doc_id and text, so rows that repeat share it; null text is empty."""
+    return docs.select(uid().alias("uid"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def uid(doc_id: str = "doc_id", text: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(doc_id, F.lit(NO_ID)), F.coalesce(text, F.lit("")))
+    """128 bits of doc_id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))))
 
 
 def marked(keyed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``keyed`` cut in two: rows whose uid is perhaps among those of ``rows``, and those where it
     surely is not. A table of at most 2**MARK_BITS hashed marks is broadcast, so only rows of the first
-    part need to be shuffled; a clash of marks costs a needless shuffle of one row."""
-    mark = F.col("uid").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")
+    part need to be shuffled; a clash of marks costs a needless shuffle of one row. With more ``rows`` than
+    some 2**MARK_BITS most marks are set, and most texts are shuffled once: the table is a saving, no need."""
+    mark = F.xxhash64("uid").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")
     marks = F.broadcast(materialize(rows.select(mark).distinct(), "marks"))
     tagged = keyed.withColumn("mark", mark)
     return tagged.join(marks, "mark", "left_semi").drop("mark"), tagged.join(marks, "mark", "left_anti").drop("mark")

@@ -3,19 +3,22 @@
 Which suffixes: every LENGTH-byte string has one anchor, the start of its GRAM-byte substring with the
 least hash (the leftmost of equals). The anchor depends on the string alone, so repeated strings have
 anchors with equal grams, and only suffixes that start at anchors need to be in the arrays, about
-2 of LENGTH - GRAM bytes. An entry is (fingerprint of the suffix's first GRAM bytes, how often); arrays
-are in the order of fingerprints, as only equality of long prefixes is asked.
+2 of LENGTH - GRAM. An entry is a suffix's head (its first GRAM bytes) and its position (document, place);
+arrays are in the order of the heads' bytes, then of the positions.
 
-The family: documents come in batches. A batch's suffix array is merged into the scan of each level;
-entries that meet are long matches. Levels of equal size merge into one of twice that size, so there are
-at most log2(batches) + 1 levels, and an entry is rewritten as often at most.
+The family: documents come in batches. A batch's array is compared with each level: with a level of its own
+size it is merged into an array of twice that size, which meets the next level; with larger ones it is
+merge-joined. In a merged array, neighbours with equal heads are found by one scan. So there are at most
+log2(batches) + 1 levels, and an entry is rewritten as often at most. Levels are Parquet folders that a
+manifest names, and a family that is opened again goes on from them.
 
-From matches to bytes: an anchor with a matched gram stands for its strings, consecutive starts. Strings
+From matches to bytes: an anchor with a matched head stands for its strings, consecutive starts. Strings
 are judged in sets, first all of an anchor, then sixteen neighbours, then one by one. What a set's
 strings have in common is its core, what they cover together its span. With a span that repeats all
 strings repeat; with a core that doesn't, none. Where cores meet but spans differ, sets are cut into
-smaller ones, of each repeated span that shares the core one as a witness. The last fingerprints have
-128 bits. A removed run is a union of repeated strings.
+smaller ones, of each repeated span that shares the core one as a witness. Spans and strings are held to be
+equal where their BLAKE2 digests of 128 bits are; cores that clash only cost work. A removed run is a union
+of repeated strings.
 
 Only documents that take part in matches have their texts shuffled (see ``marked``).
 
@@ -28,41 +31,70 @@ rows; further columns are ignored by ``dedup`` and kept by ``apply_dedup``.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm.common import set_aside
-from priorline.llm.prints import NO_ID, Prints, keyed_texts, marked, mix, uid
-from priorline.session import materialize
+from priorline.llm.common import release_memory, set_aside
+from priorline.llm.prints import Prints, keyed_texts, marked, mix, uid
+from priorline.session import materialize, work_dir
 
-LENGTH, GRAM = 400, 128
+LENGTH, GRAM = 400, 64
 #: Neighbouring strings in a set of the second kind.
 SET = 16
 BATCHES = 4
 #: Bytes that are hashed at once, and bits for a place among them.
-CHUNK, POSITION_BITS = 1_000_000, 22
+CHUNK, POSITION_BITS = 500_000, 22
 
-ANCHORS = "core long, span long, uid long, at int, n int, place int, batch int"
-BLOCKS = "core long, span long, uid long, at int, n int, place int, asked boolean"
-WINDOWS = "h1 long, h2 long, uid long, at int, asked boolean"
+ANCHORS = "head binary, span binary, uid binary, at int, n int, place int"
+BLOCKS = "core long, span binary, uid binary, at int, n int, place int, asked boolean"
+STRINGS = "string binary, uid binary, at int, asked boolean"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+LEVEL, MANIFEST = ("head", "uid", "place"), "version long, size long, path string"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, salts: list[bytes] | None = None) -> pa.Array:
+    """BLAKE2 digests of data[begin:end], each with its salt."""
+    view, new = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    bounds = zip(begins.tolist(), ends.tolist(), strict=True)
+    if salts is None:
+        return pa.array([new(view[a:b], digest_size=16).digest() for a, b in bounds], pa.binary())
+    return pa.array([new(view[a:b], digest_size=16, salt=s).digest() for (a, b), s in zip(bounds, salts, strict=True)], pa.binary())
+
+
+def _salts(*columns: np.ndarray) -> list[bytes]:
+    """16 bytes for each row of at most four columns of small numbers."""
+    packed = np.zeros((len(columns[0]), 4), "<u4")
+    for k, c in enumerate(columns):
+        packed[:, k] = c
+    flat = packed.tobytes()
+    return [flat[k : k + 16] for k in range(0, len(flat), 16)]
+
+
+def _substrings(data: np.ndarray, begins: np.ndarray, length: int) -> pa.Array:
+    """data[begin:begin + length] of each begin as a binary column."""
+    flat = data[begins[:, None] + np.arange(length)]
+    offsets = np.arange(len(begins) + 1, dtype=np.int32) * np.int32(length)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """For the anchors of the documents data[starts[k]:ends[k]]: k, first string's start in the document,
-    number of strings, anchor's place in the document, fingerprint of the gram, and of the span with the
-    anchor's place in it."""
+    number of strings, anchor's place in the document, anchor's place in data, first string's start in data."""
     sizes = np.maximum(ends - starts - (LENGTH - 1), 0)
     if not sizes.sum():
         empty = np.empty(0, np.int64)
         return empty, empty, empty, empty, empty, empty
-    prints = Prints(data, 0)
-    grams = mix(prints.all(GRAM))
+    grams = mix(Prints(data, 0).all(GRAM))
     mask = np.uint64((1 << POSITION_BITS) - 1)
     least = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     width, have = LENGTH - GRAM + 1, 1
@@ -77,8 +109,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     place = (least[string] & mask).astype(np.int64)
     run = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     lo, hi, place, owner = string[run], string[np.r_[run[1:] - 1, len(string) - 1]], place[run], owner[run]
-    span = mix(Prints(data, 1).of(lo, hi + LENGTH) + mix((place - lo).astype(np.uint64)) + (hi - lo).astype(np.uint64))
-    return owner, lo - starts[owner], hi - lo + 1, place - starts[owner], grams[place].view(np.int64), span.view(np.int64)
+    return owner, lo - starts[owner], hi - lo + 1, place - starts[owner], place, lo
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,47 +134,87 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         row += 1
 
 
-def _anchor_rows(keyed: DataFrame, batches: int) -> DataFrame:
-    names = [x.split()[0] for x in ANCHORS.split(", ")]
-
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            uids = batch.column(0).to_numpy()
+def _anchor_rows(keyed: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for data, rows, starts, ends, places in _chunks(batch.column(2)):
-                owner, at, n, place, core, span = anchors(data, starts, ends)
+                owner, at, n, place, inside, lo = anchors(data, starts, ends)
                 row, before = rows[owner], places[owner]
-                small = [x.astype(np.int32) for x in (at + before, n, place + before, uids[row] % batches)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (core, span, uids[row], *small)], names=names)
+                small = [pa.array(x.astype(np.int32)) for x in (at + before, n, place + before)]
+                span = _digests(data, lo, lo + n + (LENGTH - 1), _salts(inside - lo, n))
+                yield pa.RecordBatch.from_arrays([_substrings(data, inside, GRAM), span, batch.column(0).take(pa.array(row)), *small], names=_names(ANCHORS))
+        release_memory()
 
     return keyed.mapInArrow(run, ANCHORS)
 
 
+def neighbours(array: DataFrame) -> DataFrame:
+    """Heads that stand more than once in a written array: one scan in order, piece of a file by piece. What is
+    equal across two pieces shows in the first and last heads of all pieces, a few rows for each of them."""
+    piece = F.concat_ws(":", F.input_file_name(), F.input_file_block_start())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_head, last_piece = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads, pieces = batch.column(0), batch.column(1)
+            again = np.zeros(batch.num_rows, bool)
+            fresh = np.zeros(batch.num_rows, bool)
+            again[1:] = pc.equal(heads[1:], heads[:-1]).to_numpy(zero_copy_only=False)
+            fresh[1:] = pc.not_equal(pieces[1:], pieces[:-1]).to_numpy(zero_copy_only=False)
+            again[0], fresh[0] = heads[0].as_py() == last_head, pieces[0].as_py() != last_piece
+            edge = fresh.copy()
+            edge[:-1] |= fresh[1:]
+            edge[-1] = True  # perhaps the piece's last
+            again &= ~fresh
+            shown = np.flatnonzero(again | edge)
+            yield pa.RecordBatch.from_arrays([heads.take(pa.array(shown)), pa.array(again[shown]), pieces.take(pa.array(shown))], names=["head", "again", "piece"])
+            last_head, last_piece = heads[-1].as_py(), pieces[-1].as_py()
+        release_memory()
+
+    seen = array.select("head", piece.alias("piece")).mapInArrow(run, "head binary, again boolean, piece string")
+    both = seen.groupBy("head").agg(F.max("again").alias("again"), F.count_distinct("piece").alias("pieces"))
+    return both.where("again or pieces > 1").select("head")
+
+
 class SuffixFamily:
-    """Levels of suffix arrays, each a table (core, n) sorted by core, with the number of batches in it."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
-        self._matched: list[DataFrame] = []
-
-    def add(self, suffixes: DataFrame) -> None:
-        """A batch's suffixes (core): its array is scanned against each level. Where the level is of the
-        array's size, the scan merges both into one array of twice the size, which meets the next level."""
-        size, array = 1, suffixes.select("core", F.lit(1).cast("long").alias("n"))
-        while self.levels and self.levels[-1][0] == size:
-            array = self.levels.pop()[1].unionByName(array)
+    """Levels of suffix arrays in ``folder``: tables (head, uid, place) in order, the sizes in batches, a manifest."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        """A new family, or with the ``folder`` of one the family as it was left."""
+        self._spark, self._version = spark, 0
+        self._stored: list[tuple[int, str]] = []  # (batches, path), the largest first
+        self.folder = folder or f"{work_dir(spark)}/family-{uuid.uuid4().hex}"
+        if folder:
+            rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+            self._version = rows.agg(F.max("version")).head()[0]
+            now = rows.where(F.col("version") == self._version).collect()  # a row for each level
+            self._stored = sorted(((r["size"], r["path"]) for r in now), reverse=True)
+
+    @property
+    def levels(self) -> list[tuple[int, DataFrame]]:
+        return [(size, self._spark.read.parquet(path)) for size, path in self._stored]
+
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """A batch's suffixes (head, uid, place). Gives the heads that are in the batch and anywhere else, in the
+        batch itself or in those before (with them, where levels merged, heads that met before)."""
+        size, array = 1, suffixes.select(*LEVEL)
+        while self._stored and self._stored[-1][0] == size:
+            array = self._spark.read.parquet(self._stored.pop()[1]).unionByName(array)
             size *= 2
-        array = materialize(array.groupBy("core").agg(F.sum("n").alias("n")).sortWithinPartitions("core"), "level")
-        self._matched.append(array.where("n > 1").select("core"))
+        path = f"{self.folder}/level-{size}-{uuid.uuid4().hex}"
+        array.repartitionByRange(*LEVEL).sortWithinPartitions(*LEVEL).write.parquet(path)
+        array = self._spark.read.parquet(path)
+        found = neighbours(array)
+        mine = array.select("head").distinct()
         for _, level in self.levels:
-            self._matched.append(array.join(level, "core", "left_semi").select("core"))
-        self.levels.append((size, array))
-
-    def matches(self) -> DataFrame:
-        """Cores that occur more than once in all batches so far, each once."""
-        found = self._matched[0]
-        for more in self._matched[1:]:
-            found = found.unionByName(more)
-        return found.distinct()
+            found = found.unionByName(mine.join(level.select("head").distinct(), "head"))
+        self._stored.append((size, path))
+        self._version += 1
+        rows = self._spark.createDataFrame([(self._version, *x) for x in self._stored], MANIFEST)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        return found
 
 
 def _resolve(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -161,9 +232,9 @@ def _resolve(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return whole, spans.join(materialize(mixed, f"{name}-mixed"), "core").select("one.*", open_.alias("asked"))
 
 
-def _of_texts(texts: DataFrame, sets: DataFrame, schema: str, work: Callable[[np.ndarray, dict], list[np.ndarray]]) -> DataFrame:
+def _of_texts(texts: DataFrame, sets: DataFrame, schema: str, work: Callable[[np.ndarray, dict], list[pa.Array]]) -> DataFrame:
     """Runs ``work`` (a text's bytes, a set) for each of ``sets``; the columns it gives stand around uid."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = _names(schema)
     per_doc = sets.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("at", "n", "place", "asked"))).alias("sets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +243,16 @@ def _of_texts(texts: DataFrame, sets: DataFrame, schema: str, work: Callable[[np
                 data, own = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8), batch.column(2)[i].as_py()
                 for a in range(0, len(own), 64):
                     done = [work(data, x) for x in own[a : a + 64]]
-                    columns = [np.concatenate(c) for c in zip(*done, strict=True)]
-                    columns.insert(2, np.full(len(columns[0]), batch.column(0)[i].as_py()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    columns = [pa.concat_arrays(c) for c in zip(*done, strict=True)]
+                    columns.insert(names.index("uid"), pa.array([batch.column(0)[i].as_py()] * len(columns[0]), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        release_memory()
 
     # Rows that repeat share a uid and so their sets.
     return texts.select("uid", "text").join(per_doc, "uid").select("uid", "text", "sets").mapInArrow(run, schema)
 
 
-def _cut_set(data: np.ndarray, x: dict) -> list[np.ndarray]:
+def _cut_set(data: np.ndarray, x: dict) -> list[pa.Array]:
     """An anchor's strings in sets of SET neighbours, by their distance from the anchor."""
     at, last, place = x["at"], x["at"] + x["n"] - 1, x["place"]
     lo, part = max(0, at - SET), data[max(0, at - SET) : last + LENGTH + SET]
@@ -188,34 +260,37 @@ def _cut_set(data: np.ndarray, x: dict) -> list[np.ndarray]:
     final = place - SET * k  # the last start of a whole set, the start of its core
     begin, end = np.maximum(final - SET + 1, at), np.minimum(final, last)
     core = mix(Prints(part, 0).of(final - lo, final - lo + LENGTH - SET + 1) + mix(k.astype(np.uint64)))
-    shape = mix((final - begin).astype(np.uint64)) + (end - begin).astype(np.uint64)
-    span = mix(Prints(part, 1).of(begin - lo, end - lo + LENGTH) + shape)
-    small = [c.astype(np.int32) for c in (begin, end - begin + 1, begin)]
-    return [core.view(np.int64), span.view(np.int64), *small, np.full(len(k), x["asked"])]
+    span = _digests(part, begin - lo, end - lo + LENGTH, _salts(final - begin, end - begin, k & 0xFFFFFFFF))
+    small = [pa.array(c.astype(np.int32)) for c in (begin, end - begin + 1, begin)]
+    return [pa.array(core.view(np.int64)), span, *small, pa.array(np.full(len(k), x["asked"]))]
 
 
-def _one_by_one(data: np.ndarray, x: dict) -> list[np.ndarray]:
+def _one_by_one(data: np.ndarray, x: dict) -> list[pa.Array]:
     at, n = x["at"], x["n"]
-    part = data[at : at + n - 1 + LENGTH]
-    h1, h2 = (mix(Prints(part, k).all(LENGTH)).view(np.int64) for k in (0, 1))
-    return [h1, h2, np.arange(at, at + n, dtype=np.int32), np.full(n, x["asked"])]
+    begins = np.arange(at, at + n)
+    return [_digests(data, begins, begins + LENGTH), pa.array(begins.astype(np.int32)), pa.array(np.full(n, x["asked"]))]
 
 
 def repeated_intervals(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(uid, start, end): byte ranges that repeated strings cover, overlapping ones among them."""
-    entries = materialize(_anchor_rows(keyed, batches), "anchors")
-    family = SuffixFamily()
-    for b in range(batches):
-        family.add(entries.where(F.col("batch") == b).select("core"))
-    matched = materialize(entries.join(materialize(family.matches(), "matches"), "core").drop("batch").withColumn("asked", F.lit(True)), "matched")
+    numbered = _anchor_rows(keyed).withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int"))
+    entries = materialize(numbered, "anchors", ("batch",))
+    family = SuffixFamily(keyed.sparkSession)
+    found = [materialize(family.add(entries.where(F.col("batch") == b)), "met") for b in range(batches)]
+    heads = found[0]
+    for more in found[1:]:
+        heads = heads.unionByName(more)
+    heads = materialize(heads.distinct(), "matches")
+    matched = entries.join(heads, "head").select(F.xxhash64("head").alias("core"), *_names(ANCHORS)[1:], F.lit(True).alias("asked"))
+    matched = materialize(matched, "matched")
     whole, mixed = _resolve(matched, "spans")
     mixed = materialize(mixed, "mixed")
     sets = materialize(_of_texts(marked(keyed, mixed)[0], mixed, BLOCKS, _cut_set), "sets")
     whole_sets, mixed_sets = _resolve(sets, "set-spans")
     mixed_sets = materialize(mixed_sets, "mixed-sets")
-    strings = materialize(_of_texts(marked(keyed, mixed_sets)[0], mixed_sets, WINDOWS, _one_by_one), "strings")
-    repeated = materialize(strings.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2"), "repeated")
-    single = strings.where("asked").join(repeated, ["h1", "h2"])
+    strings = materialize(_of_texts(marked(keyed, mixed_sets)[0], mixed_sets, STRINGS, _one_by_one), "strings")
+    repeated = materialize(strings.groupBy("string").agg(F.count("*").alias("copies")).where("copies > 1").select("string"), "repeated")
+    single = strings.where("asked").join(repeated, "string")
     return whole.unionByName(whole_sets).unionByName(single.select("uid", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")))
 
 
@@ -251,9 +326,9 @@ def _ranges(batch: pa.RecordBatch, i: int, start: int, end: int) -> tuple[np.nda
 
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    keyed = keyed_texts(docs).withColumn("doc_id", F.when(F.col("doc") != F.lit(NO_ID), F.col("doc")))
-    touched, clean = _with_intervals(keyed, batches)
-    names = [x.split()[0] for x in RESULT.split(", ")]
+    keyed = keyed_texts(docs).withColumnRenamed("doc", "doc_id")
+    touched, clean = _with_intervals(keyed.select("uid", "doc_id", "text"), batches)
+    names = _names(RESULT)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:

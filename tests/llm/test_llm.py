@@ -86,12 +86,30 @@ def test_suffix_dedup_equals_brute_force(docs, rows, batches):
     assert sorted((tuple(r) for r in got), key=str) == brute_removal(rows)
 
 
-def test_levels_merge_geometrically(spark):
-    family = suffix_dedup.SuffixFamily()
-    for b in range(6):
-        family.add(spark.createDataFrame([(b,), (100 + b // 2,), (7,)], "core long"))
-    assert [size for size, _ in family.levels] == [4, 2]
-    assert {r.core for r in family.matches().collect()} >= {7, 100, 101, 102}
+def test_levels_merge_geometrically_and_persist(spark):
+    rng = random.Random(5)
+    family, said, seen = suffix_dedup.SuffixFamily(spark), [], []
+    for b in range(7):
+        heads = [bytes([7]) * 64, bytes([b]) * 64, bytes([100 + b // 2]) * 64, *(rng.randbytes(64) for _ in range(50))]
+        if b == 3:
+            heads.append(heads[-1])
+        found = {bytes(r.head) for r in family.add(spark.createDataFrame([(h, b"u", b * 100 + k) for k, h in enumerate(heads)], "head binary, uid binary, place int")).collect()}
+        want = {h for h in heads if heads.count(h) > 1 or h in said}
+        assert want <= found <= want | set(seen)
+        said += heads
+        seen += want
+        assert [size for size, _ in family.levels] == {0: [1], 1: [2], 2: [2, 1], 3: [4], 4: [4, 1], 5: [4, 2], 6: [4, 2, 1]}[b]
+        family = suffix_dedup.SuffixFamily(spark, family.folder)  # as another session would go on
+    for _, level in family.levels:
+        parts = [[bytes(r.head) for r in p] for p in level.select("head").rdd.glom().collect()]
+        assert all(p == sorted(p) for p in parts)
+
+
+def test_neighbours_are_found_across_files(spark, tmp_path):
+    heads = [b"a"] * 3 + [b"b"] + [b"c"] * 2 + [b"d", b"e"]
+    rows = [(h, b"u", k) for k, h in enumerate(heads)]
+    spark.createDataFrame(rows, "head binary, uid binary, place int").repartitionByRange(8, "place").write.parquet(f"{tmp_path}/array")
+    assert {bytes(r.head) for r in suffix_dedup.neighbours(spark.read.parquet(f"{tmp_path}/array")).collect()} == {b"a", b"c"}
 
 
 def test_anchors_depend_on_the_string_alone():
@@ -100,9 +118,9 @@ def test_anchors_depend_on_the_string_alone():
     seen = []
     for lead in (0, 37, 801):
         data = np.r_[rng.integers(0, 4, lead).astype(np.uint8), common]
-        _, at, n, place, core, _ = suffix_dedup.anchors(data, np.array([0]), np.array([len(data)]))
+        _, _, n, place, _, _ = suffix_dedup.anchors(data, np.array([0]), np.array([len(data)]))
         inside = (place >= lead + suffix_dedup.LENGTH) & (place < lead + 900 - suffix_dedup.LENGTH)
-        seen.append(sorted(zip((place[inside] - lead).tolist(), core[inside].tolist())))
+        seen.append(sorted((place[inside] - lead).tolist()))
         assert sum(n) == len(data) - suffix_dedup.LENGTH + 1
     assert seen[0] == seen[1] == seen[2]
 
