@@ -31,13 +31,21 @@ def load_features(rows: DataFrame, *, by: list[str], day: str, away: str) -> Dat
     })
 
 
+def last_rows(by: list[str], day: str, order: str, n: int = LAST):
+    """The ``n`` rows before, of whatever date; ``of_day`` makes of them those of earlier dates."""
+    return Window.partitionBy(*by).orderBy(day, order).rowsBetween(-n, -1)
+
+
+def of_day(rows: DataFrame, name: str, by: list[str], day: str, order: str) -> DataFrame:
+    """Column ``name`` of a date's first row on all rows of the date: what it knows are the rows before it, which are
+    all of earlier dates. Rows lie by ``by`` already, so nothing is shuffled again."""
+    return rows.withColumn(name, F.first(name).over(Window.partitionBy(*by, day).orderBy(order)))
+
+
 def form_features(rows: DataFrame, *, by: list[str], day: str, order: str, won: str, margin: str) -> DataFrame:
-    """Means of the last LAST results before the row's date, 0.5 and 0 where there is none. Results are first
-    gathered by date, so that a row's frame can end before its own date."""
-    daily = rows.groupBy(*by, day).agg(F.sort_array(F.collect_list(F.struct(order, won, margin))).alias("_day"))
-    earlier = Window.partitionBy(*by).orderBy(day).rowsBetween(-LAST, -1)
-    held = F.flatten(F.collect_list("_day").over(earlier))
-    daily = daily.select(*by, day, F.slice(held, F.greatest(F.size(held) - (LAST - 1), F.lit(1)), LAST).alias("_last"))
-    n = F.size("_last")
-    mean = lambda f, empty: F.when(n > 0, F.aggregate(F.transform("_last", lambda x: x[f].cast("double")), F.lit(0.0), lambda a, x: a + x) / n).otherwise(F.lit(empty))
-    return rows.join(daily, [*by, day]).select(*rows.columns, n.cast("long").alias("n_last"), mean(won, 0.5).alias("win_rate"), mean(margin, 0.0).alias("mean_margin"))
+    """Means of the last LAST results before the row's date, 0.5 and 0 where there is none."""
+    ten = last_rows(by, day, order)
+    out = rows.withColumns({"n_last": F.count(F.lit(1)).over(ten), "_won": F.avg(F.col(won).cast("double")).over(ten), "_margin": F.avg(F.col(margin).cast("double")).over(ten)})
+    for name in ("n_last", "_won", "_margin"):
+        out = of_day(out, name, by, day, order)
+    return out.select(*rows.columns, "n_last", F.coalesce("_won", F.lit(0.5)).alias("win_rate"), F.coalesce("_margin", F.lit(0.0)).alias("mean_margin"))

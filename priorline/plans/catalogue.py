@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,26 +130,26 @@ def feature_pivot(spark, sf_dir):
 
 
 @query
-def asof_report(spark, sf_dir, whole=False):
+def asof_report(spark, sf_dir):
     """The team's last report an hour before tipoff, or earlier."""
-    t = views.tips(spark, sf_dir, whole).withColumn("cutoff", F.col("tipoff") - F.expr("interval 60 minutes"))
+    t = views.tips(spark, sf_dir).withColumn("cutoff", F.col("tipoff") - F.expr("interval 60 minutes"))
     found = asof.asof_join(t, views.reports(spark, sf_dir), by=["team"], left_time="cutoff", right_time="report_time", take=["event_id", "status"], tie=["event_id"])
     return found.select("tip_id", "team", "event_id", "status")
 
 
 @query
-def asof_containing(spark, sf_dir, whole=False):
+def asof_containing(spark, sf_dir):
     """The last report before the cutoff that lists the player."""
-    t = views.tips(spark, sf_dir, whole).withColumn("cutoff", F.col("tipoff") - F.expr("interval 60 minutes"))
+    t = views.tips(spark, sf_dir).withColumn("cutoff", F.col("tipoff") - F.expr("interval 60 minutes"))
     found = asof.asof_join(t, views.reports(spark, sf_dir), by=["team", "player"], left_time="cutoff", right_time="report_time", take=["event_id", "status"], tie=["event_id"])
     return found.select("tip_id", "player", "event_id", "status")
 
 
 @query
-def asof_horizons(spark, sf_dir, whole=False):
+def asof_horizons(spark, sf_dir):
     """Four horizons before each tipoff, and how many have a report of the player in the week before."""
     hours = F.explode(F.array(*[F.lit(m) for m in (360, 120, 60, 15)])).alias("horizon")
-    t = views.tips(spark, sf_dir, whole).select("*", hours).withColumn("cutoff", F.timestamp_micros(F.unix_micros("tipoff") - F.col("horizon").cast("long") * 60_000_000))
+    t = views.tips(spark, sf_dir).select("*", hours).withColumn("cutoff", F.timestamp_micros(F.unix_micros("tipoff") - F.col("horizon").cast("long") * 60_000_000))
     found = asof.asof_join(t, views.reports(spark, sf_dir), by=["player"], left_time="cutoff", right_time="report_time", take=["event_id"], tie=["event_id"])
     fresh = F.unix_micros("report_time") >= F.unix_micros("cutoff") - 7 * 86_400_000_000
     return found.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.count_if(fresh).alias("fresh"), F.count_if(F.col("event_id").isNull()).alias("missing"), F.sum("event_id").alias("ids"))
@@ -331,28 +330,35 @@ def travel_miles(spark, sf_dir):
 
 @query
 def net_rating(spark, sf_dir):
-    """Points over the last ten games before, per hundred scored by both."""
-    w = Window.partitionBy("season", "team").orderBy("game_date", "game_id").rowsBetween(-10, -1)
+    """Points over the last ten games of earlier dates, per hundred scored by both."""
     t = views.team_games(spark, sf_dir)
-    rate = F.sum(F.col("pf") - F.col("pa")).over(w) * 100.0 / F.sum(F.col("pf") + F.col("pa")).over(w)
-    return t.select("game_id", "team", F.round(F.coalesce(rate, F.lit(0.0)), DIGITS).alias("net"))
+    ten = rolling.last_rows(["season", "team"], "game_date", "game_id")
+    rate = F.sum(F.col("pf") - F.col("pa")).over(ten) * 100.0 / F.sum(F.col("pf") + F.col("pa")).over(ten)
+    net = rolling.of_day(t.withColumn("net", rate), "net", ["season", "team"], "game_date", "game_id")
+    return net.select("game_id", "team", F.round(F.coalesce("net", F.lit(0.0)), DIGITS).alias("net"))
 
 
 @query
 def lineup_continuity(spark, sf_dir):
-    """How many players of an order's supplier's lines were in the order before it, by customer."""
+    """How many players the two games before a date share, by home team: nothing of the game itself is known."""
     li = views.lines(spark, sf_dir).groupBy("game_id").agg(F.array_sort(F.collect_set("player")).alias("players"))
     g = views.games(spark, sf_dir).select("game_id", "home", "game_date", "season").join(li, "game_id")
     w = Window.partitionBy("season", "home").orderBy("game_date", "game_id")
-    return g.select("game_id", F.coalesce(F.size(F.array_intersect("players", F.lag("players").over(w))), F.lit(0)).cast("long").alias("shared"), F.size("players").cast("long").alias("players"))
+    both = F.size(F.array_intersect(F.lag("players", 1).over(w), F.lag("players", 2).over(w))).cast("long")
+    shared = g.withColumns({"shared": both, "last": F.size(F.lag("players", 1).over(w)).cast("long")})
+    for name in ("shared", "last"):
+        shared = rolling.of_day(shared, name, ["season", "home"], "game_date", "game_id")
+    return shared.select("game_id", *[F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long").alias(c) for c in ("shared", "last")])
 
 
 @query
 def player_rolling(spark, sf_dir):
-    """A player's minutes-weighted plus-minus over the last ten games before."""
+    """A player's minutes-weighted plus-minus over the last ten games of earlier dates."""
     ln = views.lines(spark, sf_dir).join(views.games(spark, sf_dir).select("game_id", "game_date"), "game_id")
-    w = Window.partitionBy("player").orderBy("game_date", "game_id").rowsBetween(-10, -1)
-    return ln.select("game_id", "player", F.round(F.coalesce(F.sum("plus_minus").over(w) * 100.0 / F.sum("minutes").over(w), F.lit(0.0)), DIGITS).alias("value"))
+    ten = rolling.last_rows(["player"], "game_date", "game_id")
+    ln = ln.withColumn("value", F.sum("plus_minus").over(ten) * 100.0 / F.sum("minutes").over(ten))
+    found = rolling.of_day(ln, "value", ["player"], "game_date", "game_id")
+    return found.select("game_id", "player", F.round(F.coalesce("value", F.lit(0.0)), DIGITS).alias("value"))
 
 
 @query
@@ -397,9 +403,9 @@ def stated_probability(spark, sf_dir):
 
 
 @query
-def prompt_text(spark, sf_dir, whole=False):
+def prompt_text(spark, sf_dir):
     """Fixed-format prompts and a digest of each."""
-    f = views.forecasts(spark, sf_dir).where(F.lit(whole) | (F.col("game_id") % 17 != 0))
+    f = views.forecasts(spark, sf_dir)
     prompt = F.format_string("Team %02d at team %02d, margin %+d, prior %.4f", "away", "home", F.col("hs") - F.col("as_"), "base_p")
     return f.select("game_id", F.sha2(prompt, 256).alias("digest"))
 
@@ -408,10 +414,9 @@ def prompt_text(spark, sf_dir, whole=False):
 
 
 @query
-def arm_mixture(spark, sf_dir, whole=False):
-    """Softmax weights over the values of a vector, or its first five: the least and largest weight by label."""
-    arms = F.col("embedding") if whole else F.slice("embedding", 1, 5)
-    e = views.table(spark, sf_dir, "embeddings").select("label", probability.softmax(F.transform(arms, lambda x: x.cast("double") * 10)).alias("w"))
+def arm_mixture(spark, sf_dir):
+    """Softmax weights over the values of a vector: the least and largest weight by label."""
+    e = views.table(spark, sf_dir, "embeddings").select("label", probability.softmax(F.transform("embedding", lambda x: x.cast("double") * 10)).alias("w"))
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.array_max("w")), 5).alias("top"), F.round(F.avg(F.array_min("w")), 5).alias("least"))
 
 
@@ -556,10 +561,10 @@ def artifact_contract(spark, sf_dir):
 
 
 @query
-def tips_in_week(spark, sf_dir, whole=False):
+def tips_in_week(spark, sf_dir):
     """A team's tipoffs in the seven days before each, to the microsecond."""
     week = Window.partitionBy("team").orderBy(F.unix_micros("tipoff")).rangeBetween(-7 * 86_400_000_000, -1)
-    return views.tips(spark, sf_dir, whole).select("tip_id", "team", F.count(F.lit(1)).over(week).alias("n"))
+    return views.tips(spark, sf_dir).select("tip_id", "team", F.count(F.lit(1)).over(week).alias("n"))
 
 
 @query
@@ -571,12 +576,13 @@ def upsert_by_day(spark, sf_dir):
 
 
 @query
-def due_work(spark, sf_dir, whole=False):
+def due_work(spark, sf_dir):
     """The twenty tipoffs due first after the middle of the month, by cutoff: a top-k report."""
-    t = views.tips(spark, sf_dir, whole).where(F.col("tipoff") >= F.lit("2024-01-15").cast("timestamp"))
+    t = views.tips(spark, sf_dir).where(F.col("tipoff") >= F.lit("2024-01-15").cast("timestamp"))
     return t.orderBy("tipoff", "tip_id").limit(20).select("tip_id", "team")
 
 
-#: Queries whose SQL takes a part of the tips, games or arms. The same over all of them is NAME_whole, without SQL.
-PARTIAL = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
-QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in PARTIAL}
+#: Names that these queries had while the plain ones took a part of their rows.
+WHOLE = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
+QUERIES |= {f"{name}_whole": QUERIES[name] for name in WHOLE}
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in WHOLE}

@@ -142,15 +142,20 @@ ORACLE_SQL = {
            places as (select season, team, (25 + a % 6 * 4)::double lat_a, (-120 + a % 10 * 5)::double lon_a, (25 + b % 6 * 4)::double lat_b, (-120 + b % 10 * 5)::double lon_b from legs)""",
     ),
     "net_rating": _sql("""
-        select game_id, team, round(coalesce(sum(pf - pa) over w * 100.0::double / sum(pf + pa) over w, 0), 6) net from team_games
-        window w as (partition by season, team order by game_date, game_id rows between 10 preceding and 1 preceding)"""),
+        select game_id, team, round(coalesce(first_value(x) over (partition by season, team, game_date order by game_id), 0), 6) net from (
+          select *, sum(pf - pa) over w * 100.0::double / sum(pf + pa) over w x from team_games
+          window w as (partition by season, team order by game_date, game_id rows between 10 preceding and 1 preceding))"""),
     "lineup_continuity": _sql(
-        "select game_id, coalesce(len(list_intersect(players, lag(players) over (partition by season, home order by game_date, game_id))), 0) shared, len(players) players from g",
+        """select game_id, first_value(both_) over w shared, first_value(n) over w as "last" from (
+             select *, coalesce(len(list_intersect(lag(players, 1) over w, lag(players, 2) over w)), 0)::bigint both_, coalesce(len(lag(players, 1) over w), 0)::bigint n
+             from g window w as (partition by season, home order by game_date, game_id))
+           window w as (partition by season, home, game_date order by game_id)""",
         "g as (select game_id, any_value(home) home, any_value(game_date) game_date, any_value(season) season, list(distinct player) players from lines join games using (game_id) group by 1)",
     ),
     "player_rolling": _sql("""
-        select game_id, player, round(coalesce(sum(plus_minus) over w * 100.0::double / sum(minutes) over w, 0), 6) as value from lines join games using (game_id)
-        window w as (partition by player order by game_date, game_id rows between 10 preceding and 1 preceding)"""),
+        select game_id, player, round(coalesce(first_value(x) over (partition by player, game_date order by game_id), 0), 6) as value from (
+          select *, sum(plus_minus) over w * 100.0::double / sum(minutes) over w x from lines join games using (game_id)
+          window w as (partition by player order by game_date, game_id rows between 10 preceding and 1 preceding))"""),
     "expected_minutes": _sql("""
         select player, count(*) n, median(minutes)::double as minutes from (
           select *, row_number() over (partition by player order by game_date desc, game_id desc) k from lines join games using (game_id)) where k <= 10 group by 1"""),
@@ -164,10 +169,10 @@ ORACLE_SQL = {
           select conv_id, turn, list_intersect(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')), ['the', 'est', 'die', 'por', 'injury', 'ankle']) t from conversations)""",
     "stated_probability": _sql("select game_id, printf('%.4f', p)::double stated from forecasts"),
     "prompt_text": _sql("""
-        select game_id, sha256(printf('Team %02d at team %02d, margin %+d, prior %.4f', away, home, hs - as_, base_p)) digest from forecasts where game_id % 17 <> 0"""),
+        select game_id, sha256(printf('Team %02d at team %02d, margin %+d, prior %.4f', away, home, hs - as_, base_p)) digest from forecasts"""),
     "arm_mixture": """
         select label, count(*) n, round(avg(list_max(w)), 5) top, round(avg(list_min(w)), 5) least from (
-          select label, [x / list_sum(e) for x in e] w from (select label, [exp(x::double * 10) for x in embedding[1:5]] e from embeddings)) group by 1""",
+          select label, [x / list_sum(e) for x in e] w from (select label, [exp(x::double * 10) for x in embedding] e from embeddings)) group by 1""",
     "hash_chain_audit": None,
     "block_digests": """
         select block, count(*) n, sha256(string_agg(d, '' order by event_id)) digest from (

@@ -54,10 +54,10 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("ts").cast("timestamp").alias("report_time"), F.col("user_id").alias("player"), (F.col("user_id") % TEAMS).cast("int").alias("team"), status.alias("status"), F.col("value").alias("minutes"))
 
 
-def tips(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """A report's team plays six hours later: of each report if ``whole``, else of every seventh, as in SQL."""
-    r = reports(spark, sf_dir) if whole else reports(spark, sf_dir).where("event_id % 7 = 0")
-    return r.select(F.col("event_id").alias("tip_id"), "team", "player", (F.col("report_time") + F.expr("interval 6 hours")).alias("tipoff"))
+def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's team plays six hours later."""
+    tipoff = (F.col("report_time") + F.expr("interval 6 hours")).alias("tipoff")
+    return reports(spark, sf_dir).select(F.col("event_id").alias("tip_id"), "team", "player", tipoff)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ reports as (
   select event_id, ts report_time, user_id player, cast(user_id % 30 as int) team, value as minutes,
          case event_type when 'view' then 'Available' when 'click' then 'Probable' when 'signup' then 'Questionable' when 'purchase' then 'Doubtful' when 'error' then 'Out' end status
   from events),
-tips as (select event_id tip_id, team, player, report_time + interval 6 hour tipoff from reports where event_id % 7 = 0),
+tips as (select event_id tip_id, team, player, report_time + interval 6 hour tipoff from reports),
 lines as (
   select l_orderkey game_id, l_suppkey player, sum(l_quantity::bigint)::bigint as minutes,
          sum((round(l_discount * 100) - round(l_tax * 100))::bigint)::bigint plus_minus
