@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorline.session import materialize
+
 
 def positional_join(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str]) -> tuple[DataFrame, DataFrame]:
     """The k-th left row of a key with its k-th right row, where both sides have as many; and a note for each
@@ -32,6 +34,15 @@ def priority_lookup(rows: DataFrame, tables: list[tuple[DataFrame, list[str]]],
     return out.withColumn(value, F.coalesce(*[F.col(f"_{k}") for k in range(len(tables))])).drop(*[f"_{k}" for k in range(len(tables))])
 
 
+def numbered(rows: DataFrame, key: str, name: str = "k", ranges: int = 64) -> DataFrame:
+    """``rows`` with dense numbers from 1 in the order of ``key``: sorted ranges are numbered by themselves, after the
+    count of all ranges before, one row for each. Rows of one key may lie in two ranges, in any order."""
+    placed = materialize(rows.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered")
+    own = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_least"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(own.select("_range", "_least", before.alias("_before"))), "_range").withColumn(name, F.col("_before") + F.col("_row") - F.col("_least") + 1).drop("_range", "_row", "_least", "_before")
+
+
 def divides(rows: DataFrame, group: str, member: str, required: DataFrame) -> DataFrame:
     """Relational division: per group how many of the required members it has, and whether all."""
     wanted = required.agg(F.count_distinct(member).alias("n_required"))

@@ -11,6 +11,8 @@ from priorline.functions import geo, probability, text
 from priorline.functions.calendar import utc_offset_hours
 from priorline.operators import asof, fits, folds, joins, ledger, rolling, scoring
 from priorline.plans import views
+from priorline.plans.checks import CHECKS
+from priorline.plans.history import HISTORY
 from priorline.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from priorline.streaming import capture, pending
 
@@ -473,14 +475,6 @@ def ridge_team_ratings(spark, sf_dir):
     return fits.ridge_ratings(g, "home", "away", "margin", "w").select("team", rounded("rating"), rounded("home_advantage"))
 
 
-@query
-def hash_chain_audit(spark, sf_dir):
-    """A chain of each user's events, then the audit of all chains."""
-    e = views.table(spark, sf_dir, "events")
-    links = ledger.chain(e, "user_id", ["ts", "event_id"], F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props"))
-    return ledger.audit(links, "user_id")
-
-
 @query
 def block_digests(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
@@ -586,3 +580,6 @@ def due_work(spark, sf_dir):
 WHOLE = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
 QUERIES |= {f"{name}_whole": QUERIES[name] for name in WHOLE}
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in WHOLE}
+for part in (HISTORY, CHECKS):
+    QUERIES |= part.queries
+    ORACLE_SQL |= part.sql

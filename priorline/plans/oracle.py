@@ -173,7 +173,6 @@ ORACLE_SQL = {
     "arm_mixture": """
         select label, count(*) n, round(avg(list_max(w)), 5) top, round(avg(list_min(w)), 5) least from (
           select label, [x / list_sum(e) for x in e] w from (select label, [exp(x::double * 10) for x in embedding] e from embeddings)) group by 1""",
-    "hash_chain_audit": None,
     "block_digests": """
         select block, count(*) n, sha256(string_agg(d, '' order by event_id)) digest from (
           select event_id // 1000 block, event_id, sha256(concat_ws('|', event_id::varchar, event_type, props)) d from events) group by 1""",
@@ -207,4 +206,3 @@ ORACLE_SQL = {
     "due_work": _sql("select tip_id, team from tips where tipoff >= timestamp '2024-01-15' order by tipoff, tip_id limit 20"),
     "stream_window_counts": "select date_trunc('hour', ts) as start, event_type, count(*) n from events group by 1, 2",
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
