@@ -25,9 +25,12 @@ def build_session(app: str = "priorline", **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of
+    its own; on a cluster, whose executors would each write to their own disk, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="priorline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,11 +38,20 @@ def work_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, so a
-    lost executor costs the reader nothing."""
+    lost executor costs the reader nothing. ``remove`` takes it away again."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     # Shuffle files go when the driver collects the plans that made them; long jobs of many steps would
     # otherwise hold the disk until it happens to.
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Takes a written folder away, once nothing reads it any more; only within the shared folder."""
+    if not path.startswith(work_dir(spark) + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
