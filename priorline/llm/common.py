@@ -11,20 +11,37 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priorline.session import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int) -> Column:
-    """A column that numbers ranges of the integer ``key``, 0 upwards, null in range 0. Only the keys
-    are read to place the bounds; at most ``buckets`` - 1 of them come to the driver."""
-    row = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("b")).head()
-    bounds = sorted(set(row.b or []))
-    if not bounds:
-        return F.lit(0)
-    each = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.size(F.filter(each, lambda b: b <= F.col(key))), F.lit(0))
+#: Bounds that stand in a plan as a literal; more ranges are told in two steps.
+LITERAL_BOUNDS = 512
+
+
+def range_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` with the column range, which numbers ranges of the integer ``key``, about ``buckets`` of them: upwards,
+    in steps of more than one where there are many, -1 for null. Only the keys are read to place the bounds. Beyond
+    LITERAL_BOUNDS, coarse ranges are told first, and the bounds within each are broadcast, 8 bytes for each range."""
+    wide = max(1, min(buckets, LITERAL_BOUNDS))
+    row = df.select(F.percentile_approx(key, [i / wide for i in range(1, wide)] or [0.5], 20 * wide).alias("b")).head()
+    coarse = _over(F.array(*[F.lit(b).cast("long") for b in sorted(set(row.b or []))]), F.col(key))
+    if buckets <= LITERAL_BOUNDS:
+        return df.withColumn("range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(coarse).cast("long"))
+    fine = -(-buckets // wide)
+    share = [i / fine for i in range(1, fine)]
+    keyed = df.select(F.col(key).alias("_key"), coarse.alias("_coarse")).where("_key is not null")
+    bounds = materialize(keyed.groupBy("_coarse").agg(F.array_distinct(F.percentile_approx("_key", share, 20 * fine)).alias("_bounds")), "bounds")
+    found = df.withColumn("_coarse", coarse).join(F.broadcast(bounds), "_coarse", "left")
+    number = F.col("_coarse") * (fine + 1) + F.coalesce(_over(F.col("_bounds"), F.col(key)), F.lit(0))
+    return found.withColumn("range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(number).cast("long")).drop("_coarse", "_bounds")
+
+
+def _over(bounds: Column, key: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b <= key))
 
 
 def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:

@@ -29,8 +29,8 @@ K, S = 5, 2
 SKETCH = None
 WHITE, CUT = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 LOW = 0xFFFFFFFF
-#: Ranges of doc_id for each shuffle partition, and the most of them.
-RANGES_A_PARTITION, MOST_RANGES = 4, 2_000
+#: Ranges of doc_id: so many for each shuffle partition, and more where one would hold more bytes of text.
+RANGES_A_PARTITION, RANGE_BYTES = 4, 64_000_000
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -75,7 +75,7 @@ def _successors(base: DataFrame) -> DataFrame:
     range that has any, after the lowest that of the highest. One row for each range."""
     tops = materialize(base.groupBy("range").agg(F.max("doc_id").alias("top")), "tops")
     same = base["range"].eqNullSafe(tops["range"]) & base["doc_id"].eqNullSafe(tops["top"])
-    firsts = base.join(F.broadcast(tops), same, "left_semi").groupBy("range").agg(F.min("text").alias("text"))  # at most MOST_RANGES rows are broadcast
+    firsts = base.join(F.broadcast(tops), same, "left_semi").groupBy("range").agg(F.min("text").alias("text"))  # a row for each range is broadcast
     downward = Window.orderBy(F.col("range").desc())
     whole = downward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follows = F.coalesce(F.lead("range").over(downward), F.first("range").over(whole)).alias("follows")
@@ -88,8 +88,9 @@ def edited(docs: DataFrame) -> DataFrame:
     """Per document the anchors and fingerprints of its text and of its edited text, whose last third is replaced by as
     much of the next document's start (by descending doc_id), and both likenesses."""
     spark = docs.sparkSession
-    ranges = min(MOST_RANGES, RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), range_bucket(docs, "doc_id", ranges).alias("range"))
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    ranges = max(RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    base = range_bucket(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "doc_id", ranges)
     after = _successors(base).select(F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(1).alias("extra"))
     order = ["extra", F.col("doc_id").desc_nulls_last(), "text"]
     # Anchors are found after the shuffle, so that only texts are moved.

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from priorline.llm.common import release_memory, set_aside
 from priorline.llm.prints import Prints, keyed_texts, marked, mix, uid
-from priorline.session import materialize, work_dir
+from priorline.session import materialize, remove, work_dir
 
 LENGTH, GRAM = 400, 64
 #: Neighbouring strings in a set of the second kind.
@@ -199,21 +199,26 @@ class SuffixFamily:
     def add(self, suffixes: DataFrame) -> DataFrame:
         """A batch's suffixes (head, uid, place). Gives the heads that are in the batch and anywhere else, in the
         batch itself or in those before (with them, where levels merged, heads that met before)."""
-        size, array = 1, suffixes.select(*LEVEL)
+        size, array, merged = 1, suffixes.select(*LEVEL), []
         while self._stored and self._stored[-1][0] == size:
-            array = self._spark.read.parquet(self._stored.pop()[1]).unionByName(array)
+            merged.append(self._stored.pop()[1])
+            array = self._spark.read.parquet(merged[-1]).unionByName(array)
             size *= 2
         path = f"{self.folder}/level-{size}-{uuid.uuid4().hex}"
-        array.repartitionByRange(*LEVEL).sortWithinPartitions(*LEVEL).write.parquet(path)
+        array.repartitionByRange(*LEVEL).sortWithinPartitions(*LEVEL).write.option("compression", "zstd").parquet(path)
         array = self._spark.read.parquet(path)
         found = neighbours(array)
         mine = array.select("head").distinct()
         for _, level in self.levels:
             found = found.unionByName(mine.join(level.select("head").distinct(), "head"))
+        found = materialize(found, "met")
         self._stored.append((size, path))
         self._version += 1
         rows = self._spark.createDataFrame([(self._version, *x) for x in self._stored], MANIFEST)
         rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        for old in merged:  # the manifest no longer names them
+            if old.startswith(work_dir(self._spark) + "/"):
+                remove(self._spark, old)
         return found
 
 
@@ -276,7 +281,7 @@ def repeated_intervals(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
     numbered = _anchor_rows(keyed).withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int"))
     entries = materialize(numbered, "anchors", ("batch",))
     family = SuffixFamily(keyed.sparkSession)
-    found = [materialize(family.add(entries.where(F.col("batch") == b)), "met") for b in range(batches)]
+    found = [family.add(entries.where(F.col("batch") == b)) for b in range(batches)]
     heads = found[0]
     for more in found[1:]:
         heads = heads.unionByName(more)

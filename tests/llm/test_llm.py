@@ -181,6 +181,29 @@ def test_fingerprints_equal_brute_force(docs, rows):
         assert any(a == pytest.approx(brute_likeness(brute_sketch(x), brute_sketch(edited))) and b == pytest.approx(brute_likeness(brute_sketch(x), brute_sketch(after))) for a, b in near)
 
 
+def test_ranges_in_two_steps(spark, monkeypatch):
+    from priorline.llm import common
+
+    rows = [(k * k,) for k in range(2000)] + [(None,), (5 * 5,)]
+    monkeypatch.setattr(common, "LITERAL_BOUNDS", 8)
+    got = sorted((r.k, r.range) for r in common.range_bucket(spark.createDataFrame(rows, "k long"), "k", 100).where("k is not null").collect())
+    assert [b for _, b in got] == sorted(b for _, b in got)
+    sizes = {}
+    for _, b in got:
+        sizes[b] = sizes.get(b, 0) + 1
+    assert len(sizes) > 60 and max(sizes.values()) < 100
+
+
+def test_fingerprints_over_many_ranges(docs, rows, monkeypatch):
+    from priorline.llm import common
+
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.fingerprint, r.edited_sha256)
+    want = sorted(fingerprints.edited(docs).collect(), key=key)
+    monkeypatch.setattr(common, "LITERAL_BOUNDS", 4)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 400)
+    assert sorted(fingerprints.edited(docs).collect(), key=key) == want
+
+
 def test_all_anchors_of_long_texts_count(spark):
     rng = random.Random(8)
     a = words(rng, 3000, "abcdefghijklmnop").split()
