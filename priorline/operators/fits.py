@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorline.functions.probability import sigmoid
+from priorline.session import materialize
 
 PASSES, SETTLED = 12, 1e-10
 
@@ -20,7 +19,7 @@ def offset_logistic(rows: DataFrame, features: list[str], label: str, offset: st
     Newton step takes one aggregate over the rows, of a size set by the number of features alone, and a
     handful of steps reaches the optimum that gradient descent approaches."""
     names = [*features, *(["intercept"] if intercept else [])]
-    held = rows.select(F.col(label).cast("double").alias("_y"), (F.col(offset) if offset else F.lit(0.0)).alias("_o"), *[F.col(f).cast("double").alias(f) for f in features])
+    held = materialize(rows.select(F.col(label).cast("double").alias("_y"), (F.col(offset) if offset else F.lit(0.0)).alias("_o"), *[F.col(f).cast("double").alias(f) for f in features]), "fit")
     x: list[Column] = [F.col(f) for f in features] + ([F.lit(1.0)] if intercept else [])
     w = np.zeros(len(x))
     for _ in range(PASSES):
@@ -45,20 +44,19 @@ def rms_scales(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.agg(*[F.when(c == 0, F.lit(1.0)).otherwise(c).alias(f) for f, c in rms.items()])
 
 
-def block_bootstrap(blocks: DataFrame, by: str, total: str = "total", n: str = "n", *, draws: int = 10_000, alpha: float = 0.05, seed: int = 20260716) -> DataFrame:
-    """Per season the one-sided lower bound of the mean: blocks are drawn with replacement, and the bound is
-    the order statistic ceil(alpha * draws). A season has a block for each week."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("week")
-        key = int(frame[by].iloc[0])
-        rng, m = random.Random(seed + key), len(frame)
-        pick = np.array([rng.randrange(m) for _ in range(m * draws)]).reshape(draws, m)
-        means = np.sort(frame[total].to_numpy()[pick].sum(1) / frame[n].to_numpy()[pick].sum(1))
-        low = float(means[math.ceil(alpha * draws) - 1])
-        return pd.DataFrame({by: [key], "n_blocks": [m], "mean": [float(frame[total].sum() / frame[n].sum())], "lower_bound": [low], "passes": [low > 0]})
-
-    return blocks.groupBy(by).applyInPandas(run, f"{by} int, n_blocks long, mean double, lower_bound double, passes boolean")
+def block_bootstrap(blocks: DataFrame, by: str, total: str = "total", n: str = "n", *, draws: int = 10_000, alpha: float = 0.05) -> DataFrame:
+    """Per season the one-sided lower bound of the mean: blocks are drawn with replacement, and the bound is the order
+    statistic ceil(alpha * draws) of the draws' means. A draw's j-th block is told by a digest of (season, draw, j), so
+    that reruns agree. A season has a block for each week; its means, one for each draw, are sorted as one array."""
+    of = Window.partitionBy(by)
+    held = materialize(blocks.withColumns({"_k": F.row_number().over(of.orderBy("week")) - 1, "_m": F.count(F.lit(1)).over(of)}), "blocks")
+    drawn = held.select(by, "_k", "_m", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+    digest = F.substring(F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col("_draw").cast("string"), F.col("_k").cast("string"))), 1, 8)
+    picked = drawn.select(by, "_draw", (F.conv(digest, 16, 10).cast("long") % F.col("_m")).alias("_k"))
+    means = picked.join(held.select(by, F.col("_k").cast("long").alias("_k"), total, n), [by, "_k"]).groupBy(by, "_draw").agg((F.sum(total) / F.sum(n)).alias("_mean"))
+    bounds = means.groupBy(by).agg(F.element_at(F.array_sort(F.collect_list("_mean")), math.ceil(alpha * draws)).alias("lower_bound"))
+    whole = held.groupBy(by).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(n).alias("games"), (F.sum(total) / F.sum(n)).alias("mean"))
+    return whole.join(bounds, by).select(by, "n_blocks", "games", "mean", "lower_bound", (F.col("lower_bound") > 0).alias("passes"))
 
 
 def ridge_ratings(rows: DataFrame, plus: str, minus: str, value: str, weight: str, *, l2: float = 1.0) -> DataFrame:
@@ -67,7 +65,7 @@ def ridge_ratings(rows: DataFrame, plus: str, minus: str, value: str, weight: st
     spark = rows.sparkSession
     w, v = F.col(weight), F.col(value)
     pairs = rows.groupBy(F.col(plus).alias("i"), F.col(minus).alias("j")).agg(F.sum(w).alias("w"), F.sum(w * v).alias("wv"))
-    table = pairs.toPandas()  # a row for each pair of teams
+    table = pairs.toPandas()  # a row for each pair of teams that met: the square of the league's size at most
     names = sorted(set(table.i) | set(table.j))
     at = {x: k for k, x in enumerate(names)}
     m = len(names) + 1

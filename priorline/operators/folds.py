@@ -7,47 +7,69 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def ordered_fold(rows: DataFrame, *, by: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple], schema: str) -> DataFrame:
     """Folds each key's rows in order: ``step(state, row)`` changes the state and gives an output row. Keys lie
-    in sorted partitions; a key's rows needn't fit in memory, its state must."""
+    in sorted partitions; a key's rows needn't fit in memory, its state must. A key is a sequence, which no number of
+    machines shortens: work grows with the longest one."""
     names = [x.split()[0] for x in schema.split(", ")]
     at = [rows.columns.index(c) for c in by]
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = tuple(row[k] for k in at)
                 if key != last:
                     last, state = key, start()
                 out.append(step(state, row))
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(k).type) for k, c in enumerate(zip(*out, strict=True))], names=names)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
-def margin_elo(games: DataFrame, *, base: float = 1500.0, home: float = 60.0, k: float = 20.0) -> DataFrame:
-    """Elo with the margin of victory, each season from ``base``: pregame ratings and home probability of
-    every game, results in order of (game_date, game_id). games: season, game_date, game_id, home, away, hs, as_."""
+def margin_elo(
+    games: DataFrame, *, base: float = 1500.0, home: float = 60.0, k: float = 20.0, by: str = "season", carry: float | None = None, neutral: str | None = None, upcoming: str | None = None
+) -> DataFrame:
+    """Elo with the margin of victory: pregame ratings and home probability of every game, results in order of
+    (season, game_date, game_id). Ratings start from ``base`` for each key ``by``; with ``carry`` a new season of the
+    key keeps that part of their distance from it. Games that are ``neutral`` have no home edge, those ``upcoming`` read
+    ratings and change none; another game without a winner is an error. games: season, game_date, game_id, home, away, hs, as_."""
 
-    def step(ratings: dict, row: tuple) -> tuple:
-        season, _, game, h, a, hs, as_ = row
+    def start() -> dict:
+        return {"season": None, "ratings": {}}
+
+    def step(state: dict, row: tuple) -> tuple:
+        key, season, _, game, h, a, hs, as_, on_neutral, later = row
+        if carry is not None and state["season"] not in (None, season):
+            state["ratings"] = {t: base + carry * (r - base) for t, r in state["ratings"].items()}
+        state["season"], ratings = season, state["ratings"]
         rh, ra = ratings.get(h, base), ratings.get(a, base)
-        edge = rh + home - ra
+        edge = rh + (0.0 if on_neutral else home) - ra
         p = 1.0 / (1.0 + 10.0 ** (-edge / 400.0))
-        won = hs > as_
-        lead = edge if won else -edge
-        shift = k * math.log(abs(hs - as_) + 1.0) * 2.2 / (0.001 * lead + 2.2) * ((1.0 if won else 0.0) - p)
-        ratings[h], ratings[a] = rh + shift, ra - shift
-        return season, game, rh, ra, p
-
-    chosen = games.select("season", "game_date", "game_id", "home", "away", "hs", "as_")
-    return ordered_fold(chosen, by=["season"], order=["game_date", "game_id"], start=dict, step=step, schema="season int, game_id long, home_rating double, away_rating double, home_p double")
+        if not later:
+            if hs == as_:
+                raise ValueError(f"game {game} has no winner")
+            won = hs > as_
+            lead = edge if won else -edge
+            shift = k * math.log(abs(hs - as_) + 1.0) * 2.2 / (0.001 * lead + 2.2) * ((1.0 if won else 0.0) - p)
+            ratings[h], ratings[a] = rh + shift, ra - shift
+        return (game, season, rh, ra, p) if by == "season" else (key, game, season, rh, ra, p)
+
+    flag = lambda c: (F.col(c) if c else F.lit(False)).cast("boolean")
+    columns = [F.col(by).alias("_by"), "season", "game_date", "game_id", "home", "away", "hs", "as_", flag(neutral).alias("_neutral"), flag(upcoming).alias("_upcoming")]
+    own = "" if by == "season" else f"{by} {games.schema[by].dataType.simpleString()}, "
+    schema = f"{own}game_id long, season int, home_rating double, away_rating double, home_p double"
+    return ordered_fold(games.select(*columns), by=["_by"], order=["season", "game_date", "game_id"], start=start, step=step, schema=schema)
 
 
 def batched_elo(rows: DataFrame, *, base: float = 1500.0, k: float = 20.0) -> DataFrame:

@@ -13,6 +13,7 @@ from priorline.operators import asof, fits, folds, joins, ledger, rolling, scori
 from priorline.plans import views
 from priorline.plans.checks import CHECKS
 from priorline.plans.history import HISTORY
+from priorline.plans.learning import LEARNING
 from priorline.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from priorline.streaming import capture, pending
 
@@ -425,56 +426,6 @@ def arm_mixture(spark, sf_dir):
 # Folds, fits, chains.
 
 
-@query
-def elo_margin_replay(spark, sf_dir):
-    out = folds.margin_elo(views.games(spark, sf_dir))
-    return out.select("season", "game_id", rounded("home_rating"), rounded("away_rating"), rounded("home_p"))
-
-
-@query
-def elo_batched_states(spark, sf_dir):
-    """Elo whose results count a day after their game at the earliest, frozen by date."""
-    g = views.games(spark, sf_dir)
-    day = F.datediff("game_date", F.lit("1970-01-01").cast("date")).cast("long")
-    out = folds.batched_elo(g.select("season", day.alias("cutoff"), (day + 1 + F.col("game_id") % 3).alias("resolved_at"), "game_id", F.col("home").alias("team"), F.col("away").alias("opp"), (F.col("hs") > F.col("as_")).alias("won")))
-    return out.select("season", "game_id", rounded("team_rating"), rounded("opp_rating"), rounded("team_p"))
-
-
-@query
-def player_kalman(spark, sf_dir):
-    ln = views.lines(spark, sf_dir).join(views.games(spark, sf_dir).select("game_id", "game_date"), "game_id")
-    day = F.datediff("game_date", F.lit("1970-01-01").cast("date")).cast("long")
-    out = folds.scalar_kalman(ln.select("player", day.alias("day"), F.col("game_id").alias("seq"), F.col("plus_minus").cast("double").alias("value"), F.col("minutes").cast("double").alias("weight")))
-    return out.select("player", "seq", rounded("estimate"), rounded("variance"))
-
-
-@query
-def offset_logistic_fit(spark, sf_dir):
-    """Weights of two features beside a baseline's logit."""
-    f = views.forecasts(spark, sf_dir).select("won", probability.logit(F.col("base_p")).alias("o"), ((F.col("home") - F.col("away")) / 30.0).alias("gap"), (probability.logit(F.col("p")) - probability.logit(F.col("base_p"))).alias("nudge"))
-    w = fits.offset_logistic(f, ["gap", "nudge"], "won", "o")
-    return spark.createDataFrame([(k, round(v, 8)) for k, v in w.items()], "feature string, weight double")
-
-
-@query
-def logit_recalibration(spark, sf_dir):
-    f = views.forecasts(spark, sf_dir).where("season < 2000").select("won", probability.logit(F.col("base_p")).alias("slope"))
-    w = fits.offset_logistic(f, ["slope"], "won", l2=0.0, intercept=True)
-    return spark.createDataFrame([(k, round(v, 8)) for k, v in w.items()], "feature string, weight double")
-
-
-@query
-def bootstrap_gate(spark, sf_dir):
-    blocks = scoring.calendar_blocks(_relative(views.forecasts(spark, sf_dir)), F.col("gain"), "season", "game_date")
-    return fits.block_bootstrap(blocks, "season").select("season", "n_blocks", rounded("mean"), rounded("lower_bound"), "passes")
-
-
-@query
-def ridge_team_ratings(spark, sf_dir):
-    g = views.games(spark, sf_dir).select("home", "away", (F.col("hs") - F.col("as_")).cast("double").alias("margin"), F.lit(1.0).alias("w"))
-    return fits.ridge_ratings(g, "home", "away", "margin", "w").select("team", rounded("rating"), rounded("home_advantage"))
-
-
 @query
 def block_digests(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
@@ -580,6 +531,6 @@ def due_work(spark, sf_dir):
 WHOLE = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
 QUERIES |= {f"{name}_whole": QUERIES[name] for name in WHOLE}
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in WHOLE}
-for part in (HISTORY, CHECKS):
+for part in (HISTORY, CHECKS, LEARNING):
     QUERIES |= part.queries
     ORACLE_SQL |= part.sql
