@@ -14,6 +14,7 @@ from priorline.plans import views
 from priorline.plans.checks import CHECKS
 from priorline.plans.history import HISTORY
 from priorline.plans.learning import LEARNING
+from priorline.plans.records import RECORDS
 from priorline.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from priorline.streaming import capture, pending
 
@@ -450,10 +451,9 @@ def stream_running_totals(spark, sf_dir):
 
 @query
 def stream_window_counts(spark, sf_dir):
-    """Hourly counts in complete mode; the last batch has them all."""
-    out = pending.run_available(pending.windowed_counts(_event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), "windows", "complete")
-    latest = Window.partitionBy("start", "event_type").orderBy(F.col("batch").desc())
-    return out.withColumn("k", F.row_number().over(latest)).where("k = 1").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    """Hourly counts in append mode: of windows that ended two hours before the last event or earlier."""
+    out = pending.run_available(pending.windowed_counts(_event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), "windows", "append")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query
@@ -531,6 +531,6 @@ def due_work(spark, sf_dir):
 WHOLE = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
 QUERIES |= {f"{name}_whole": QUERIES[name] for name in WHOLE}
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in WHOLE}
-for part in (HISTORY, CHECKS, LEARNING):
+for part in (HISTORY, CHECKS, LEARNING, RECORDS):
     QUERIES |= part.queries
     ORACLE_SQL |= part.sql

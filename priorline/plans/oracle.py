@@ -204,5 +204,11 @@ ORACLE_SQL = {
         select team, report_time::date as_of, max_by(event_id, (report_time, event_id)) event_id, max_by(minutes, (report_time, event_id)) as minutes, count(*) versions
         from reports group by 1, 2"""),
     "due_work": _sql("select tip_id, team from tips where tipoff >= timestamp '2024-01-15' order by tipoff, tip_id limit 20"),
-    "stream_window_counts": "select date_trunc('hour', ts) as start, event_type, count(*) n from events group by 1, 2",
+    "stream_window_counts": """
+        select date_trunc('hour', ts) as start, event_type, count(*) n from events
+        where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 2 hour group by 1, 2""",
+    "zone_offsets": _sql("""
+        select day, min(east) east, max(west) west, max(east - west) change from (
+          select report_time::date as day, epoch(timezone('America/New_York', timezone('UTC', report_time)) - report_time) / 3600.0::double east,
+                 epoch(timezone('America/Los_Angeles', timezone('UTC', report_time)) - report_time) / 3600.0::double west from reports) group by 1"""),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,3 +37,36 @@ def verified_files(spark: SparkSession, path: str, expected: DataFrame) -> DataF
 def scoreboard_events(raw: DataFrame, column: str, schema: str) -> DataFrame:
     """Nested JSON payloads to one row for each event in them."""
     return raw.select(F.explode(F.from_json(column, schema)["events"]).alias("e")).select("e.*")
+
+
+def struct(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
+
+
+def write_csv(df: DataFrame, path: str, schema: str) -> None:
+    """Writes a new folder of CSV files under the header that ``schema`` tells, its columns cast and in its order."""
+    df.select(*[F.col(f.name).cast(f.dataType) for f in struct(schema)]).write.mode("errorifexists").csv(path, header=True)
+
+
+def read_archive(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """JSON lines of all files that a glob finds, with the file's path: it tells the snapshot."""
+    return spark.read.schema(schema).json(pattern).withColumn("_path", F.col("_metadata.file_path"))
+
+
+def strict_verdict(line: Column, kinds: dict[str, str]) -> Column:
+    """What is wrong with a JSON object that should have exactly the keys of ``kinds``, of kind string or number:
+    no object, a repeated key, a number that isn't finite, other keys, a wrong type; ok if nothing is."""
+    names = F.regexp_extract_all(line, F.lit(r'"([^"\\\\]*)"\s*:'), F.lit(1))
+    keys = F.json_object_keys(line)
+    value = F.try_parse_json(line)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
+    fits = {"string": lambda c: c == "STRING", "number": lambda c: c.rlike("BIGINT|DECIMAL|DOUBLE")}
+    right = [F.coalesce(fits[k](kind(name)), F.lit(False)) for name, k in kinds.items()]
+    return (
+        F.when(F.size(names) != F.size(F.array_distinct(names)), "repeated key")
+        .when(line.rlike(r":\s*-?(NaN|Infinity)"), "not finite")
+        .when(keys.isNull(), "no object")
+        .when(F.array_sort(keys) != F.array(*[F.lit(k) for k in sorted(kinds)]), "other keys")
+        .when(~F.forall(F.array(*right), lambda x: x), "wrong type")
+        .otherwise("ok")
+    )

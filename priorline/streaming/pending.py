@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from priorline.session import work_dir
 
-STATE = "n long, total double, latest long"
-RUNNING = "user_id long, n_events long, total_value double, last_event long"
-
-
-def _running(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, total, latest = state.get if state.exists else (0, 0.0, -1)
-    for batch in batches:
-        n += len(batch)
-        total += float(batch["value"].sum())
-        latest = max(latest, int(batch["event_id"].max()))
-    state.update((n, total, latest))
-    yield pd.DataFrame({"user_id": [int(key[0])], "n_events": [n], "total_value": [total], "last_event": [latest]})
-
-
 def running_totals(events: DataFrame) -> DataFrame:
-    """Per user the running count, total and last event, from state kept between micro-batches."""
-    return events.groupBy("user_id").applyInPandasWithState(_running, RUNNING, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Per user the running count, total and last event: a streaming aggregate, whose state has a row for each user."""
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total_value"), F.max("event_id").alias("last_event"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts by tumbling window and type; a window is final once the watermark has passed it."""
+    """Counts by tumbling window and type. In append mode a window comes out once, when the watermark has passed its
+    end, and its state goes."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
