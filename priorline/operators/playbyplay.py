@@ -6,12 +6,13 @@ clock (M:SS left), home_text, away_text, score ('away - home'), and three (playe
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorline.functions.calendar import clock_seconds
+from priorline.operators.folds import ordered_fold
+from priorline.session import materialize
+
 REGULAR, OVERTIME, ON_COURT, SLACK = 720, 300, 5, 5
 STINTS = (
     "game_id long, reason string, kind string, stint int, team string, players array<long>, opponents array<long>, player long, "
@@ -35,133 +36,114 @@ def team_totals(events: DataFrame) -> DataFrame:
     return totals.withColumn("possessions", F.col("fga") + 0.44 * F.col("fta") - F.col("oreb") + F.col("tov"))
 
 
-def _seconds(clock: str) -> int:
-    minutes, seconds = clock.strip().split(":")
-    return 60 * int(minutes) + int(seconds)
-
-
-class _Court:
-    """One game's lineups, scores and open intervals."""
-
-    def __init__(self, game: int, home: str, away: str) -> None:
-        self.game, self.sides = game, (home, away)
-        self.on: dict[str, set[int]] = {home: set(), away: set()}
-        self.since: dict[int, int] = {}
-        self.seconds: Counter = Counter()
-        self.plus: Counter = Counter()
-        self.team: dict[int, str] = {}
-        self.score = {home: 0, away: 0}
-        self.stints: list[tuple] = []
-        self.used: Counter = Counter()
-        self.lost = ""
-
-    def open(self, left: int) -> None:
-        self.began, self.start_score, self.used = left, dict(self.score), Counter()
-
-    def close(self, left: int) -> None:
-        if self.began > left:
-            gained = {t: self.score[t] - self.start_score[t] for t in self.sides}
-            self.stints.append((self.began - left, {t: sorted(self.on[t]) for t in self.sides}, gained, {t: self.used[t] for t in self.sides}))
-
-    def rest(self, player: int, left: int) -> None:
-        if player in self.since:
-            self.seconds[player] += self.since.pop(player) - left
-
-    def start_period(self, rows: pd.DataFrame, length: int) -> None:
-        """Five a side: whoever acts before coming in, less the least likely, or filled up from the last lineup."""
-        first: dict[int, str] = {}
-        acts: Counter = Counter()
-        seen: dict[str, set[int]] = {t: set() for t in self.sides}
-        for r in rows.itertuples(index=False):
-            if r.kind == 8:
-                first.setdefault(int(r.p1), "out")
-                first.setdefault(int(r.p2), "in")
-            for p, t in ((r.p1, r.t1), (r.p2, r.t2), (r.p3, r.t3)):
-                if p and t in seen:
-                    seen[t].add(int(p))
-                    acts[int(p)] += 1
-                    self.team.setdefault(int(p), t)
-        for t in self.sides:
-            five = sorted((p for p in seen[t] if first.get(p) != "in"), key=lambda p: (first.get(p) != "out", acts[p], p))
-            five = set(five[max(0, len(five) - ON_COURT) :]) if len(five) > ON_COURT else set(five)
-            spare = sorted(p for p in self.on[t] - five if first.get(p) != "in")
-            five |= set(spare[: ON_COURT - len(five)])
-            if len(five) != ON_COURT:
-                raise ValueError(f"{t} has {len(five)} players at the start of a period")
-            self.on[t] = five
-        self.acts = acts
-        self.since = {p: length for t in self.sides for p in self.on[t]}
-        self.open(length)
-
-    def substitute(self, team: str, out: int, into: int, left: int) -> None:
-        self.close(left)
-        on = self.on[team]
-        if out not in on and len(on) >= ON_COURT:  # someone left unseen: the one who did least
-            ghost = min(on, key=lambda p: (self.acts[p], p))
-            self.rest(ghost, left)
-            on.discard(ghost)
-        self.rest(out, left)
-        on.discard(out)
-        on.add(into)
-        self.rest(into, left)
-        self.since[into], self.team[into] = left, team
-        self.open(left)
-
-    def act(self, r) -> None:
-        home, away = self.sides
-        miss = r.kind == 2 or (r.kind == 3 and "MISS" in f"{r.home_text} {r.away_text}")
-        if r.t1 in self.on:
-            self.used[r.t1] += {1: 1.0, 2: 1.0, 3: 0.44, 5: 1.0}.get(r.kind, 0.0)
-            if r.kind == 4 and self.lost == r.t1:
-                self.used[r.t1] -= 1.0
-        self.lost = r.t1 if miss else "" if r.kind in (1, 4) else self.lost
-        if r.score and r.score.strip():
-            a, h = (int(x) for x in r.score.split("-"))
-            for team, other, now in ((away, home, a), (home, away, h)):
-                gain, self.score[team] = now - self.score[team], now
-                for p in self.on[team]:
-                    self.plus[p] += gain
-                for p in self.on[other]:
-                    self.plus[p] -= gain
-
-
-def _one_game(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("num").reset_index(drop=True)
-    game = int(frame.game_id.iloc[0])
-    columns = [x.split()[0] for x in STINTS.split(", ")]
-    try:
-        named = frame[frame.t1 != ""]
-        votes = {s: Counter(named[named[s].fillna("").str.strip() != ""].t1) for s in ("home_text", "away_text")}
-        if not votes["home_text"] or not votes["away_text"]:
-            raise ValueError("a side is unknown")
-        court = _Court(game, votes["home_text"].most_common(1)[0][0], votes["away_text"].most_common(1)[0][0])
-        for period, rows in frame.groupby("period", sort=True):
-            length = REGULAR if period <= 4 else OVERTIME
-            court.start_period(rows, length)
-            for r in rows.itertuples(index=False):
-                if r.kind == 8:
-                    court.substitute(r.t1, int(r.p1), int(r.p2), _seconds(r.clock))
-                else:
-                    court.act(r)
-            court.close(0)
-            for p in list(court.since):
-                court.rest(p, 0)
-        home, away = court.sides
-        if min(court.score.values()) <= 0 or court.score[home] == court.score[away]:
-            raise ValueError("the final score is no result")
-        due = ON_COURT * (4 * REGULAR + OVERTIME * max(0, int(frame.period.max()) - 4))
-        for t in court.sides:
-            if abs(sum(s for p, s in court.seconds.items() if court.team[p] == t) - due) > SLACK:
-                raise ValueError(f"{t} has other seconds than {due}")
-        out = [(game, None, "line", None, court.team[p], None, None, p, s, None, None, court.plus[p], None) for p, s in sorted(court.seconds.items())]
-        for k, (seconds, on, gained, used) in enumerate(court.stints):
-            out += [(game, None, "stint", k, t, on[t], on[o], None, seconds, gained[t], gained[o], None, used[t]) for t, o in ((home, away), (away, home))]
-    except (ValueError, KeyError) as e:
-        out = [(game, str(e), "reject", *[None] * 10)]
-    return pd.DataFrame(out, columns=columns)
+def sides(events: DataFrame) -> DataFrame:
+    """Each game's home and away team: the team that acts in most events with a text of that side, the earlier of equals."""
+    found = []
+    for side in ("home", "away"):
+        votes = events.where((F.col("t1") != "") & (F.trim(F.coalesce(f"{side}_text", F.lit(""))) != "")).groupBy("game_id", "t1")
+        counted = votes.agg(F.count(F.lit(1)).alias("n"), F.min("num").alias("first"))
+        found.append(counted.groupBy("game_id").agg(F.max_by("t1", F.struct("n", -F.col("first"))).alias(side)))
+    return found[0].join(found[1], "game_id")
+
+
+def period_starters(events: DataFrame) -> DataFrame:
+    """Per game, period and team: ``likely``, the players who may have begun it, the likeliest first, ``came``, those
+    whom a substitution brought in first, and ``acts``, how often each player acts."""
+    pairs = F.explode(F.array(*[F.struct(F.col(f"p{k}").alias("player"), F.col(f"t{k}").alias("team")) for k in (1, 2, 3)])).alias("x")
+    acts = events.select("game_id", "period", pairs).select("game_id", "period", "x.*").where("player <> 0 and team <> ''").groupBy("game_id", "period", "team", "player").agg(F.count(F.lit(1)).alias("n"))
+    ways = F.explode(F.array(F.struct(F.col("p1").alias("player"), F.lit("out").alias("way")), F.struct(F.col("p2").alias("player"), F.lit("in").alias("way")))).alias("x")
+    marks = events.where("kind = 8").select("game_id", "period", "num", ways).select("game_id", "period", "num", "x.*").groupBy("game_id", "period", "player").agg(F.min_by("way", "num").alias("way"))
+    rank = F.struct((F.coalesce("way", F.lit("")) != "out").alias("stays"), "n", "player")
+    joined = acts.join(marks, ["game_id", "period", "player"], "left").withColumn("came", F.coalesce(F.col("way") == "in", F.lit(False)))
+    per = joined.groupBy("game_id", "period", "team").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("came"), rank)), asc=False).alias("likely"),
+        F.collect_list(F.when(F.col("came"), F.col("player"))).alias("came"),
+        F.map_from_entries(F.collect_list(F.struct("player", F.col("n").cast("long")))).alias("acts"),
+    )
+    return per.withColumn("likely", F.transform("likely", lambda x: x["player"]))
+
+
+def lineups(events: DataFrame) -> DataFrame:
+    """(game_id, team, period, num, players): a team's five from the event ``num`` on, -1 for the start of a period. What is
+    folded is one row for each period and substitution; all else is derived from these rows by windows and joins."""
+    none = {"likely": "array<long>", "came": "array<long>", "acts": "map<long,long>"}
+    subs = events.where("kind = 8").select("game_id", F.col("t1").alias("team"), "period", "num", F.col("p1").alias("leaves"), F.col("p2").alias("enters"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    starts = period_starters(events).select("game_id", "team", "period", F.lit(-1).cast("long").alias("num"), F.lit(None).cast("long").alias("leaves"), F.lit(None).cast("long").alias("enters"), *none)
+
+    def step(five: dict, row: tuple) -> tuple:
+        game, team, period, num, leaves, enters, likely, came, acts = row
+        now = five.get("now", [])
+        if num < 0:
+            five["acts"] = dict(acts)
+            new = set(likely[:ON_COURT])
+            new |= set([p for p in now if p not in new and p not in came][: ON_COURT - len(new)])
+        else:
+            unseen = leaves not in now and len(now) >= ON_COURT
+            quietest = min(now, key=lambda p: (five["acts"].get(p, 0), p)) if unseen else leaves
+            new = {p for p in now if p != quietest} | {enters}
+        five["now"] = sorted(new)
+        return game, team, period, num, five["now"]
+
+    return ordered_fold(starts.unionByName(subs), by=["game_id", "team"], order=["period", "num"], start=dict, step=step, schema="game_id long, team string, period int, num long, players array<long>")
+
+
+def spells(events: DataFrame, named: DataFrame) -> DataFrame:
+    """Constant lineups in order: game_id, period, num, seconds, both fives, and what each side scored and used meanwhile."""
+    left = F.when(F.col("period") <= 4, REGULAR).otherwise(OVERTIME)
+    at = events.where("kind = 8").select("game_id", "num", clock_seconds(F.trim("clock")).alias("left"))
+    changes = lineups(events).join(named, "game_id").join(at, ["game_id", "num"], "left").withColumn("left", F.coalesce("left", left))
+    ordered = Window.partitionBy("game_id", "period").orderBy("num", "team")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    five = lambda side: F.last(F.when(F.col("team") == F.col(side), F.col("players")), ignorenulls=True).over(so_far).alias(f"{side}_five")
+    both = changes.select("*", five("home"), five("away"), (F.lead("num").over(ordered) == F.col("num")).alias("half"))
+    both = both.where("not coalesce(half, false)").withColumn("seconds", F.col("left") - F.coalesce(F.lead("left").over(ordered), F.lit(0)))
+    text = F.concat_ws(" ", "home_text", "away_text")
+    missed = (F.col("kind") == 2) | ((F.col("kind") == 3) & text.contains("MISS"))
+    mark = F.when(missed, F.col("t1")).when(F.col("kind").isin(1, 4), F.lit(""))
+    game = Window.partitionBy("game_id").orderBy("num")
+    scores = F.when(F.trim(F.coalesce("score", F.lit(""))) != "", F.split("score", "-"))
+    e = events.select("*", F.last(mark, ignorenulls=True).over(game.rowsBetween(Window.unboundedPreceding, -1)).alias("open"), scores[1].cast("int").alias("h"), scores[0].cast("int").alias("a"))
+    gain = lambda c: F.coalesce(F.col(c) - F.coalesce(F.last(c, ignorenulls=True).over(game.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
+    own = F.when((F.col("kind") == 4) & (F.col("open") == F.col("t1")), -1.0).when(F.col("kind").isin(1, 2, 5), 1.0).when(F.col("kind") == 3, 0.44).otherwise(0.0)
+    e = e.where("kind <> 8").select("game_id", "period", "num", gain("h").alias("home_points"), gain("a").alias("away_points"), "t1", own.alias("used"))
+    starts = both.select("game_id", "period", "num", F.col("num").alias("spell"))
+    placed = starts.unionByName(e, allowMissingColumns=True).withColumn("spell", F.last("spell", ignorenulls=True).over(Window.partitionBy("game_id", "period").orderBy("num")))
+    told = placed.where("t1 is not null").join(named, "game_id").groupBy("game_id", "period", "spell").agg(
+        F.sum("home_points").alias("home_points"), F.sum("away_points").alias("away_points"),
+        *[F.sum(F.when(F.col("t1") == F.col(side), F.col("used"))).alias(f"{side}_used") for side in ("home", "away")],
+    )
+    kept = both.select("game_id", "home", "away", "period", F.col("num").alias("spell"), "seconds", "home_five", "away_five")
+    return kept.join(told, ["game_id", "period", "spell"], "left").fillna(0, ["home_points", "away_points", "home_used", "away_used"])
+
+
+def _sides(s: DataFrame, *more: Column) -> DataFrame:
+    """Two rows for each spell, one a side: team, players, opponents, points, against, used."""
+    side = lambda a, b: F.struct(F.col(a).alias("team"), F.col(f"{a}_five").alias("players"), F.col(f"{b}_five").alias("opponents"), F.col(f"{a}_points").alias("points"), F.col(f"{b}_points").alias("against"), F.col(f"{a}_used").alias("possessions"))
+    return s.select("game_id", "period", "spell", "seconds", *more, F.explode(F.array(side("home", "away"), side("away", "home"))).alias("x")).select("game_id", "period", "spell", "seconds", *more, "x.*")
+
+
+def rejected(events: DataFrame, named: DataFrame, s: DataFrame) -> DataFrame:
+    """(game_id, reason) of games that don't add up: a side unknown, a lineup that isn't five, no result, other seconds."""
+    each = _sides(s)
+    short = each.where((F.col("spell") < 0) & ((F.size("players") != ON_COURT) | F.col("players").isNull())).select("game_id", F.lit("2 not five players at the start of a period").alias("reason"))
+    unknown = events.select("game_id").distinct().join(named, "game_id", "left_anti").select("game_id", F.lit("1 a side is unknown").alias("reason"))
+    totals = each.groupBy("game_id", "team").agg(F.sum("points").alias("points"), F.sum(F.col("seconds") * F.size("players")).alias("seconds"), F.max("period").alias("periods"))
+    final = totals.groupBy("game_id").agg(F.min("points").alias("least"), F.max("points").alias("most")).where("least <= 0 or least = most")
+    due = ON_COURT * (4 * REGULAR + OVERTIME * F.greatest(F.lit(0), F.col("periods") - 4))
+    odd = totals.where(F.abs(F.col("seconds") - due) > SLACK)
+    reasons = unknown.unionByName(short).unionByName(final.select("game_id", F.lit("3 the final score is no result").alias("reason"))).unionByName(odd.select("game_id", F.lit("4 other seconds than a game has").alias("reason")))
+    return reasons.groupBy("game_id").agg(F.substring(F.min("reason"), 3, 80).alias("reason"))
 
 
 def lines_and_stints(events: DataFrame) -> DataFrame:
-    """Lines (seconds, plus-minus), stints (lineups, points, possessions) and rejected games with the reason.
-    A group is one game, a few hundred events."""
-    return events.groupBy("game_id").applyInPandas(_one_game, STINTS)
+    """Lines (seconds, plus-minus), stints (lineups, points, possessions) and rejected games with the reason."""
+    named = materialize(sides(events), "sides")
+    s = materialize(spells(events, named), "spells")
+    bad = materialize(rejected(events, named, s), "rejected")
+    good = _sides(s.join(bad, "game_id", "left_anti"))
+    lines = good.withColumn("player", F.explode("players")).groupBy("game_id", "player", "team").agg(F.sum("seconds").cast("int").alias("seconds"), F.sum(F.col("points") - F.col("against")).cast("int").alias("plus_minus"))
+    number = F.dense_rank().over(Window.partitionBy("game_id").orderBy("period", "spell")) - 1
+    stints = good.where("seconds > 0").withColumn("stint", number.cast("int")).select("game_id", "stint", "team", "players", "opponents", "seconds", F.col("points").cast("int").alias("points"), F.col("against").cast("int").alias("against"), "possessions")
+    parts = [lines.withColumn("kind", F.lit("line")), stints.withColumn("kind", F.lit("stint")), bad.withColumn("kind", F.lit("reject"))]
+    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return every.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in STINTS.split(", ")])

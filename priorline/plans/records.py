@@ -43,15 +43,15 @@ def split_publication(spark, sf_dir):
 
 @query(
     """select folder, count(*) n, count(distinct snapshot) snapshots, min(report_time) as "first", max(report_time) as "last", sum(minutes_)::bigint as total from (
-         select report_time::date::varchar folder, report_time::date::varchar || '/' || lpad(hour(report_time)::varchar, 2, '0') snapshot, report_time, (minutes * 100)::bigint minutes_ from reports) group by 1""",
+         select report_time::date::varchar folder, report_time::date::varchar || '/' || (hour(report_time) // 6)::varchar snapshot, report_time, (minutes * 100)::bigint minutes_ from reports) group by 1""",
 )
 def snapshot_archive(spark, sf_dir):
-    """Reports in an archive of folders by day and hour, read by glob; the file's path tells the snapshot."""
+    """Reports in an archive of folders by day and quarter of a day, read by glob; the file's path tells the snapshot."""
     path = _new_path(spark, "archive")
-    r = views.reports(spark, sf_dir).select("report_time", (F.col("minutes") * 100).cast("decimal(20,6)").alias("m"), F.to_date("report_time").cast("string").alias("day"), F.lpad(F.hour("report_time").cast("string"), 2, "0").alias("hour"))
-    r.select(F.unix_micros("report_time").alias("at"), F.round("m").cast("long").alias("minutes_"), "day", "hour").repartition("day").write.partitionBy("day", "hour").json(path)
+    r = views.reports(spark, sf_dir).select("report_time", (F.col("minutes") * 100).cast("decimal(20,6)").alias("m"), F.to_date("report_time").cast("string").alias("day"), F.floor(F.hour("report_time") / 6).cast("string").alias("slot"))
+    r.select(F.unix_micros("report_time").alias("at"), F.round("m").cast("long").alias("minutes_"), "day", "slot").repartition("day").write.partitionBy("day", "slot").json(path)
     found = files.read_archive(spark, f"{path}/*/*", "at long, minutes_ long").withColumn("folder", F.regexp_extract("_path", r"day=([0-9-]+)", 1))
-    snapshot = F.concat_ws("/", "folder", F.regexp_extract("_path", r"hour=(\d+)", 1))
+    snapshot = F.concat_ws("/", "folder", F.regexp_extract("_path", r"slot=(\d+)", 1))
     moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return found.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(snapshot).alias("snapshots"), moment(F.min("at")).alias("first"), moment(F.max("at")).alias("last"), F.sum("minutes_").alias("total"))
 
