@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ from priorline.llm.prints import Prints, keyed_texts, marked, mix, uid
 from priorline.session import materialize, remove, work_dir
 
 LENGTH, GRAM = 400, 64
+#: The pipeline cuts repeats from so many bytes on: over 50 words of any of the languages have more.
+PASSAGE = 256
 #: Neighbouring strings in a set of the second kind.
 SET = 16
 BATCHES = 4
@@ -87,17 +90,17 @@ def _substrings(data: np.ndarray, begins: np.ndarray, length: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """For the anchors of the documents data[starts[k]:ends[k]]: k, first string's start in the document,
     number of strings, anchor's place in the document, anchor's place in data, first string's start in data."""
-    sizes = np.maximum(ends - starts - (LENGTH - 1), 0)
+    sizes = np.maximum(ends - starts - (length - 1), 0)
     if not sizes.sum():
         empty = np.empty(0, np.int64)
         return empty, empty, empty, empty, empty, empty
     grams = mix(Prints(data, 0).all(GRAM))
     mask = np.uint64((1 << POSITION_BITS) - 1)
     least = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
-    width, have = LENGTH - GRAM + 1, 1
+    width, have = length - GRAM + 1, 1
     while 2 * have <= width:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
@@ -112,9 +115,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return owner, lo - starts[owner], hi - lo + 1, place - starts[owner], place, lo
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes of some rows with the rows' numbers, starts, ends, and places in their texts; a text over
-    CHUNK bytes comes in parts that overlap by LENGTH - 1."""
+    CHUNK bytes comes in parts that overlap by length - 1."""
     texts = pc.fill_null(texts, "")
     if not len(texts):
         return
@@ -128,20 +131,20 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             yield data[bounds[0] : bounds[-1]], np.arange(row, stop), bounds[:-1] - bounds[0], bounds[1:] - bounds[0], np.zeros(stop - row, np.int64)
             row = stop
             continue
-        for at in range(int(offsets[row]), int(offsets[row + 1]) - LENGTH + 1, CHUNK):
-            part = data[at : min(at + CHUNK + LENGTH - 1, int(offsets[row + 1]))]
+        for at in range(int(offsets[row]), int(offsets[row + 1]) - length + 1, CHUNK):
+            part = data[at : min(at + CHUNK + length - 1, int(offsets[row + 1]))]
             yield part, np.array([row]), np.array([0]), np.array([len(part)]), np.array([at - int(offsets[row])])
         row += 1
 
 
-def _anchor_rows(keyed: DataFrame) -> DataFrame:
+def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, rows, starts, ends, places in _chunks(batch.column(2)):
-                owner, at, n, place, inside, lo = anchors(data, starts, ends)
+            for data, rows, starts, ends, places in _chunks(batch.column(2), length):
+                owner, at, n, place, inside, lo = anchors(data, starts, ends, length)
                 row, before = rows[owner], places[owner]
                 small = [pa.array(x.astype(np.int32)) for x in (at + before, n, place + before)]
-                span = _digests(data, lo, lo + n + (LENGTH - 1), _salts(inside - lo, n))
+                span = _digests(data, lo, lo + n + (length - 1), _salts(inside - lo, n))
                 yield pa.RecordBatch.from_arrays([_substrings(data, inside, GRAM), span, batch.column(0).take(pa.array(row)), *small], names=_names(ANCHORS))
         release_memory()
 
@@ -222,7 +225,7 @@ class SuffixFamily:
         return found
 
 
-def _resolve(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _resolve(sets: DataFrame, name: str, length: int) -> tuple[DataFrame, DataFrame]:
     """Sets of strings (core, span, uid, at, n, place, asked) to (uid, start, end) of those of which all
     strings repeat, and to the sets that have to be cut (uid, at, n, place, asked): with cores that meet
     and spans that differ. Each span goes on once; one that repeats is asked no more and bears witness."""
@@ -231,7 +234,7 @@ def _resolve(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     # What is joined is written first, so that both sides come straight from exchanges and Spark may split hot cores.
     copied = materialize(spans.where("copies > 1 and asked").select("core", "span"), f"{name}-copied")
     repeated = sets.where("asked").join(copied, ["core", "span"])
-    whole = repeated.select("uid", F.col("at").alias("start"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("end"))
+    whole = repeated.select("uid", F.col("at").alias("start"), (F.col("at") + F.col("n") + (length - 1)).alias("end"))
     open_ = (F.col("copies") == 1) & F.col("asked")
     mixed = spans.groupBy("core").agg(F.count("*").alias("spans"), F.max(open_).alias("any")).where("spans > 1 and any").select("core")
     return whole, spans.join(materialize(mixed, f"{name}-mixed"), "core").select("one.*", open_.alias("asked"))
@@ -257,28 +260,28 @@ def _of_texts(texts: DataFrame, sets: DataFrame, schema: str, work: Callable[[np
     return texts.select("uid", "text").join(per_doc, "uid").select("uid", "text", "sets").mapInArrow(run, schema)
 
 
-def _cut_set(data: np.ndarray, x: dict) -> list[pa.Array]:
+def _cut_set(data: np.ndarray, x: dict, length: int) -> list[pa.Array]:
     """An anchor's strings in sets of SET neighbours, by their distance from the anchor."""
     at, last, place = x["at"], x["at"] + x["n"] - 1, x["place"]
-    lo, part = max(0, at - SET), data[max(0, at - SET) : last + LENGTH + SET]
+    lo, part = max(0, at - SET), data[max(0, at - SET) : last + length + SET]
     k = np.arange((place - last) // SET, (place - at) // SET + 1)
     final = place - SET * k  # the last start of a whole set, the start of its core
     begin, end = np.maximum(final - SET + 1, at), np.minimum(final, last)
-    core = mix(Prints(part, 0).of(final - lo, final - lo + LENGTH - SET + 1) + mix(k.astype(np.uint64)))
-    span = _digests(part, begin - lo, end - lo + LENGTH, _salts(final - begin, end - begin, k & 0xFFFFFFFF))
+    core = mix(Prints(part, 0).of(final - lo, final - lo + length - SET + 1) + mix(k.astype(np.uint64)))
+    span = _digests(part, begin - lo, end - lo + length, _salts(final - begin, end - begin, k & 0xFFFFFFFF))
     small = [pa.array(c.astype(np.int32)) for c in (begin, end - begin + 1, begin)]
     return [pa.array(core.view(np.int64)), span, *small, pa.array(np.full(len(k), x["asked"]))]
 
 
-def _one_by_one(data: np.ndarray, x: dict) -> list[pa.Array]:
+def _one_by_one(data: np.ndarray, x: dict, length: int) -> list[pa.Array]:
     at, n = x["at"], x["n"]
     begins = np.arange(at, at + n)
-    return [_digests(data, begins, begins + LENGTH), pa.array(begins.astype(np.int32)), pa.array(np.full(n, x["asked"]))]
+    return [_digests(data, begins, begins + length), pa.array(begins.astype(np.int32)), pa.array(np.full(n, x["asked"]))]
 
 
-def repeated_intervals(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_intervals(keyed: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
     """(uid, start, end): byte ranges that repeated strings cover, overlapping ones among them."""
-    numbered = _anchor_rows(keyed).withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int"))
+    numbered = _anchor_rows(keyed, length).withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int"))
     entries = materialize(numbered, "anchors", ("batch",))
     family = SuffixFamily(keyed.sparkSession)
     found = [family.add(entries.where(F.col("batch") == b)) for b in range(batches)]
@@ -288,15 +291,15 @@ def repeated_intervals(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
     heads = materialize(heads.distinct(), "matches")
     matched = entries.join(heads, "head").select(F.xxhash64("head").alias("core"), *_names(ANCHORS)[1:], F.lit(True).alias("asked"))
     matched = materialize(matched, "matched")
-    whole, mixed = _resolve(matched, "spans")
+    whole, mixed = _resolve(matched, "spans", length)
     mixed = materialize(mixed, "mixed")
-    sets = materialize(_of_texts(marked(keyed, mixed)[0], mixed, BLOCKS, _cut_set), "sets")
-    whole_sets, mixed_sets = _resolve(sets, "set-spans")
+    sets = materialize(_of_texts(marked(keyed, mixed)[0], mixed, BLOCKS, partial(_cut_set, length=length)), "sets")
+    whole_sets, mixed_sets = _resolve(sets, "set-spans", length)
     mixed_sets = materialize(mixed_sets, "mixed-sets")
-    strings = materialize(_of_texts(marked(keyed, mixed_sets)[0], mixed_sets, STRINGS, _one_by_one), "strings")
+    strings = materialize(_of_texts(marked(keyed, mixed_sets)[0], mixed_sets, STRINGS, partial(_one_by_one, length=length)), "strings")
     repeated = materialize(strings.groupBy("string").agg(F.count("*").alias("copies")).where("copies > 1").select("string"), "repeated")
     single = strings.where("asked").join(repeated, "string")
-    return whole.unionByName(whole_sets).unionByName(single.select("uid", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")))
+    return whole.unionByName(whole_sets).unionByName(single.select("uid", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
 
 
 def merge_intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,9 +318,9 @@ def _cut(text: pa.Scalar, start: np.ndarray, end: np.ndarray) -> tuple[bytes, in
     return kept, len(data) - len(kept), len(a)
 
 
-def _with_intervals(keyed: DataFrame, batches: int) -> tuple[DataFrame, DataFrame]:
+def _with_intervals(keyed: DataFrame, batches: int, length: int) -> tuple[DataFrame, DataFrame]:
     """Documents that may lose bytes, with their ranges (null where a clash of marks brought them), and the others."""
-    intervals = materialize(repeated_intervals(keyed, batches).distinct(), "intervals")
+    intervals = materialize(repeated_intervals(keyed, batches, length).distinct(), "intervals")
     touched, clean = marked(keyed, intervals)
     per_doc = intervals.groupBy("uid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     return touched.join(per_doc, "uid", "left").select(*keyed.columns, "start", "end"), clean
@@ -329,10 +332,10 @@ def _ranges(batch: pa.RecordBatch, i: int, start: int, end: int) -> tuple[np.nda
     return tuple(batch.column(k)[i].values.to_numpy().astype(np.int64) for k in (start, end))
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     keyed = keyed_texts(docs).withColumnRenamed("doc", "doc_id")
-    touched, clean = _with_intervals(keyed.select("uid", "doc_id", "text"), batches)
+    touched, clean = _with_intervals(keyed.select("uid", "doc_id", "text"), batches, length)
     names = _names(RESULT)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,12 +356,12 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return cut.unionByName(same)
 
 
-def apply_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def apply_dedup(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
     """The documents with repeated bytes cut out of their texts; bytes of a character that a cut divides go
     too. Documents that had text and have none left go; n_chars, where there is one, is counted anew."""
     aside, place, back = set_aside(docs)
     keyed = aside.withColumn("uid", uid(place["doc_id"], place["text"]))
-    intervals = materialize(repeated_intervals(keyed_texts(docs), batches).distinct(), "intervals")
+    intervals = materialize(repeated_intervals(keyed_texts(docs), batches, length).distinct(), "intervals")
     touched, clean = marked(keyed, intervals)
     per_doc = intervals.groupBy("uid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     own = aside.columns

@@ -64,6 +64,11 @@ def test_every_operator_takes_an_empty_table(spark, empty):
 
 
 def brute_removal(rows, n=suffix_dedup.LENGTH):
+    return sorted(((i, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()) for i, b, gone, runs, kept in brute_cuts(rows, n)), key=str)
+
+
+def brute_cuts(rows, n):
+    """Per row: id, bytes, which of them go, in how many runs, what stays."""
     seen = {}
     data = [(i, (x or "").encode()) for i, x, *_ in rows]
     for _, b in data:
@@ -76,14 +81,14 @@ def brute_removal(rows, n=suffix_dedup.LENGTH):
             if seen[b[k : k + n]] > 1:
                 gone[k : k + n] = b"\1" * n
         runs = sum(1 for j in range(len(b)) if gone[j] and (not j or not gone[j - 1]))
-        out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
-    return sorted(out, key=str)
+        out.append((i, b, gone, runs, bytes(c for c, g in zip(b, gone) if not g)))
+    return out
 
 
-@pytest.mark.parametrize("batches", [1, 5])
-def test_suffix_dedup_equals_brute_force(docs, rows, batches):
-    got = suffix_dedup.dedup(docs, batches=batches).collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute_removal(rows)
+@pytest.mark.parametrize("batches, length", [(1, 400), (5, suffix_dedup.PASSAGE)])
+def test_suffix_dedup_equals_brute_force(docs, rows, batches, length):
+    got = suffix_dedup.dedup(docs, batches=batches, length=length).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_removal(rows, length)
 
 
 def test_levels_merge_geometrically_and_persist(spark):
@@ -704,6 +709,53 @@ def test_columns_that_clash_come_back(docs):
     assert {r["size"] for r in mixing.mix(more).collect()} > {0}
 
 
+def test_pipeline_equals_brute_force(spark, docs, tmp_path):
+    import duckdb
+
+    import corpus_pipeline
+
+    table = docs.dropDuplicates(["doc_id"])
+    told = [tuple(r) for r in table.collect()]
+    seen = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        table = spark.read.parquet(f"{tmp_path}/{k}")
+        seen.append([tuple(r) for r in table.collect()])
+    by_id = lambda rows: sorted(((r[0], r[1]) for r in rows), key=str)
+    # Language: what has a letter stays. Near copies: the first of each class stays.
+    told = [r for r in told if any(c.isalpha() for c in r[1] or "")]
+    assert by_id(seen[0]) == by_id(told)
+    first = {c for _, c, _ in brute_classes(told)}
+    told = [r for r in told if r[0] in first]
+    assert by_id(seen[1]) == by_id(told)
+    # Repeated text: cut, and gone where nothing is left.
+    cuts = {i: kept.decode("utf-8", "ignore") if runs else None for i, _, _, runs, kept in brute_cuts(told, suffix_dedup.PASSAGE)}
+    told = [(r[0], r[1] if cuts[r[0]] is None else cuts[r[0]], *r[2:]) for r in told if cuts[r[0]] is None or cuts[r[0]].strip()]
+    assert by_id(seen[2]) == by_id(told)
+    # Mixing: the words that the operator's SQL takes.
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/2/*.parquet'")
+    mixed = []
+    for doc_id, _, size, _, _, taken in con.execute(mixing.ORACLE).fetchall():
+        text = next(r[1] for r in told if r[0] == doc_id)
+        words = re.findall(mixing.WORD, text)
+        if taken:
+            mixed.append((doc_id, "\n".join([text] * (taken // size) + ([" ".join(words[: taken % size])] if taken % size else []))))
+    assert by_id(seen[3]) == by_id(mixed)
+    # Packing: all pieces of all documents, gapless in sequences.
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for doc_id, text in mixed:
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        want += [(doc_id, j, a, n, zlib.crc32(ids[a : a + n].tobytes())) for j, (a, n) in enumerate(packing.cut(len(ids)))]
+    assert sorted((r[:5] for r in seen[4]), key=str) == sorted(want, key=str)
+    at = {}
+    for r in sorted(seen[4], key=lambda r: (r[5], r[6])):
+        assert r[6] == at.get(r[5], 0)
+        at[r[5]] = r[6] + r[3]
+    assert max(at.values()) <= packing.CAPACITY
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
