@@ -23,7 +23,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are cut out of all documents; documents that were nothing else go."""
-    return suffix_dedup.apply_dedup(docs)
+    return suffix_dedup.apply_dedup(docs, length=suffix_dedup.PASSAGE)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
