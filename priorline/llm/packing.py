@@ -47,8 +47,9 @@ def cut(n_ids: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n_ids, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for each piece of each document."""
+def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) for each piece of each document. Without ``keep_words`` a task leaves
+    no tokenizer in its worker, which stages of other kinds go on to use: less memory for some time to load it again."""
     names = [x.split()[0] for x in PIECES.split(", ")]
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -64,6 +65,9 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
                         rows.append((doc_id, k, start, n, zlib.crc32(packed[4 * start : 4 * (start + n)])))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        if not keep_words:
+            del encode
+            encoder.cache_clear()
         release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
@@ -221,6 +225,6 @@ def pack_pieces(cut_pieces: DataFrame, capacity: int = CAPACITY, group_pieces: i
     return once.where(F.col("fill") >= capacity - UNDERFULL).unionByName(packed_again).drop("fill")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(materialize(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack_pieces(materialize(token_pieces(docs, tokenizer, end_id, capacity, keep_words), "pieces"), capacity)
