@@ -18,7 +18,7 @@ from tokenizers import Tokenizer  # noqa: E402
 # The white space of Unicode, as a class of a regular expression.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words that one Python worker remembers; further ones are encoded each time they come. Bytes of text at once.
-MOST_KNOWN, AT_ONCE = 300_000, 2_000_000
+MOST_KNOWN, AT_ONCE = 150_000, 1_000_000
 #: Letters that keep their bytes under NFC; a word of these is one piece to the BPE model.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Marks a text's first word, which has no space before it.
