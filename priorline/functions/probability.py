@@ -40,6 +40,15 @@ def log_loss(p: Column, won: Column) -> Column:
     return -F.ln(F.greatest(F.when(won, p).otherwise(1.0 - p), F.lit(FLOOR)))
 
 
+def multiclass_brier(p: Column, outcome: Column) -> Column:
+    """The sum of squared gaps of an array of probabilities to the outcome, which is told by its place from 0."""
+    return F.aggregate(F.transform(p, lambda x, i: F.pow(x - (i == outcome).cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
+
+
+def multiclass_log_loss(p: Column, outcome: Column) -> Column:
+    return -F.ln(F.greatest(F.get(p, outcome), F.lit(FLOOR)))
+
+
 def implied_probability(money_line: Column) -> Column:
     """American odds to the probability they imply, the margin included."""
     return F.when(money_line < 0, -money_line / (-money_line + 100.0)).otherwise(100.0 / (money_line + 100.0))

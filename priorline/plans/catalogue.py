@@ -15,6 +15,7 @@ from priorline.plans.checks import CHECKS
 from priorline.plans.history import HISTORY
 from priorline.plans.learning import LEARNING
 from priorline.plans.records import RECORDS
+from priorline.plans.shapes import SHAPES
 from priorline.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from priorline.streaming import capture, pending
 
@@ -531,6 +532,6 @@ def due_work(spark, sf_dir):
 WHOLE = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
 QUERIES |= {f"{name}_whole": QUERIES[name] for name in WHOLE}
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in WHOLE}
-for part in (HISTORY, CHECKS, LEARNING, RECORDS):
+for part in (HISTORY, CHECKS, LEARNING, RECORDS, SHAPES):
     QUERIES |= part.queries
     ORACLE_SQL |= part.sql
