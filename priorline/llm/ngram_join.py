@@ -74,9 +74,10 @@ def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> list[np.ndarray]:
     hashes = mix(Prints(data, 0).of(begin, end) + (end - begin).astype(np.uint64))
     bounds = np.searchsorted(begin, offsets)
     found = []
-    whole = np.zeros(max(0, len(hashes) - n_words + 1), np.uint64)
+    n = max(0, len(hashes) - n_words + 1)
+    whole = np.zeros(n, np.uint64)
     for k in range(n_words):
-        whole += hashes[k : len(hashes) - n_words + 1 + k] * _MULTIPLIERS[k]
+        whole += hashes[k : k + n] * _MULTIPLIERS[k]
     whole = mix(whole)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= n_words:
