@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Seconds from one release of finished shuffles to the next.
+RELEASE_SECONDS = 5.0
+
 
 def build_session(app: str = "priorline", **conf: str) -> SparkSession:
     """A session with DEFAULTS, then ``conf`` (dots written as double underscores)."""
@@ -42,12 +46,22 @@ def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...]
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    # Shuffle files go when the driver collects the plans that made them; long jobs of many steps would
-    # otherwise hold the disk until it happens to.
-    spark.sparkContext._jvm.System.gc()
+    _release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_released = [0.0]
+
+
+def _release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the plans that made them. Long jobs of many steps would otherwise hold
+    the disk until it happens to, so it is asked to, but not again within RELEASE_SECONDS."""
+    now = time.monotonic()
+    if now - _released[0] > RELEASE_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = now
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Takes a written folder away, once nothing reads it any more; only within the shared folder."""
     if not path.startswith(work_dir(spark) + "/"):
