@@ -288,7 +288,7 @@ def player_kalman(spark, sf_dir):
 
 
 @query(
-    "select i team, round(r - avg(r) over (), 6) rating, round(h, 6) home_advantage from solved where k = 300",
+    "select i team, round(r - avg(r) over (), 6) rating, round(h, 6) home_advantage from solved where k = 1500",
     """met as (select home i, away j, count(*)::double w, sum(hs - as_)::double v from games group by 1, 2),
        cells as (select i, j, sum(w) w from (select i, j, w from met union all select j, i, w from met) group by 1, 2),
        sides as (select i, sum(w) n, sum(v) b, sum(s) lean from (select i, w, v, w s from met union all select j, w, -v, -w from met) group by 1),
@@ -297,7 +297,7 @@ def player_kalman(spark, sf_dir):
          select 0 k, i, 0.0::double r, 0.0::double h from sides
          union all
          select p.k + 1, s.i, (s.b - s.lean * any_value(p.h) + sum(coalesce(c.w, 0) * p.r)) / (s.n + 1), (any_value(l.v) - sum(q.lean * p.r)) / any_value(l.n)
-         from solved p join sides q on q.i = p.i cross join sides s cross join league l left join cells c on c.i = s.i and c.j = p.i where p.k < 300 group by p.k, s.i, s.b, s.lean, s.n)""",
+         from solved p join sides q on q.i = p.i cross join sides s cross join league l left join cells c on c.i = s.i and c.j = p.i where p.k < 1500 group by p.k, s.i, s.b, s.lean, s.n)""",
 )
 def ridge_team_ratings(spark, sf_dir):
     g = views.games(spark, sf_dir).select("home", "away", (F.col("hs") - F.col("as_")).cast("double").alias("margin"), F.lit(1.0).alias("w"))
