@@ -6,26 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_time: str, right_time: str, take: list[str], tie: list[str], bucket_seconds: int = 86_400) -> DataFrame:
+def asof_join(
+    left: DataFrame, right: DataFrame, *, by: list[str], left_time: str, right_time: str, take: list[str], tie: list[str], bucket_seconds: int = 86_400
+) -> DataFrame:
     """``left`` with the columns ``take`` of the last row of ``right`` with equal ``by`` and a time at most the left
-    row's; of equal times the largest by ``tie``. Rows are cut by key and time bucket, so that a hot key is many
+    row's; of equal times the largest by ``tie``. Rows are dealt once by key and time bucket, so that a hot key is many
     tasks: a window within buckets, then the last row of each bucket carried over to later ones."""
-    kind = F.struct(F.col("_time"), F.col("_order"))
-    moment, payload = F.struct(*tie), F.struct(F.col(right_time), *take)
-    r = right.select(*by, F.unix_micros(right_time).alias("_time"), F.struct(F.lit(0).alias("side"), moment.alias("tie")).alias("_order"), payload.alias("_right"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_left"))
-    none_tie = F.lit(None).cast(right.select(moment.alias("x")).schema[0].dataType)
-    l = left.select(*by, F.unix_micros(left_time).alias("_time"), F.struct(F.lit(1).alias("side"), none_tie.alias("tie")).alias("_order"), F.lit(None).cast(right.select(payload.alias("x")).schema[0].dataType).alias("_right"), F.struct("*").alias("_left"))
-    both = r.unionByName(l).withColumn("_bucket", F.floor(F.col("_time") / (bucket_seconds * 1_000_000)))
-    within = Window.partitionBy(*by, "_bucket").orderBy(kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("_near", F.last("_right", ignorenulls=True).over(within))
-    ends = r.withColumn("_bucket", F.floor(F.col("_time") / (bucket_seconds * 1_000_000))).groupBy(*by, "_bucket").agg(F.max_by("_right", kind).alias("_end"))
-    wanted = l.select(*by, F.floor(F.col("_time") / (bucket_seconds * 1_000_000)).alias("_bucket")).distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
-    over = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    each = ends.unionByName(wanted).groupBy(*by, "_bucket").agg(F.max("_end").alias("_end"))
-    carried = each.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(over).alias("_before"))
-    rows = seen.where("_left is not null").join(carried, [*by, "_bucket"], "left")
+    wanted = list(dict.fromkeys([right_time, *take]))
+    payload, tie_of = F.struct(*wanted), F.struct(*tie)
+    kinds = right.select(payload.alias("payload"), tie_of.alias("tie")).schema
+    none = {name: F.lit(None).cast(kinds[name].dataType) for name in ("payload", "tie")}
+    whole = left.select(F.struct("*").alias("row")).schema["row"].dataType
+
+    def side(rows: DataFrame, time: str, number: int, tie_column: Column, found: Column, row: Column) -> DataFrame:
+        columns = {"_time": F.unix_micros(time), "_side": F.lit(number), "_tie": tie_column, "_right": found, "_left": row}
+        return rows.select(*by, *[c.alias(name) for name, c in columns.items()])
+
+    known = side(right, right_time, 0, tie_of, payload, F.lit(None).cast(whole))
+    asking = side(left, left_time, 1, none["tie"], none["payload"], F.struct("*"))
+    both = known.unionByName(asking).withColumn("_bucket", F.floor(F.col("_time") / (bucket_seconds * 1_000_000)))
+    # Both what follows within buckets and the buckets' ends start from this one exchange.
+    dealt = both.repartition(*by, "_bucket")
+    order = F.struct("_time", "_side", "_tie")
+    within = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.withColumn("_near", F.last("_right", ignorenulls=True).over(within)).where("_left is not null")
+    last = F.max_by("_right", F.when(F.col("_side") == 0, order)).alias("_end")
+    ends = dealt.groupBy(*by, "_bucket").agg(last)
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
     found = F.coalesce("_near", "_before")
-    return rows.select("_left.*", *[found[c].alias(c) for c in dict.fromkeys([right_time, *take])])
+    return seen.join(carried, [*by, "_bucket"], "left").select("_left.*", *[found[c].alias(c) for c in wanted])
 
 
 def latest_unambiguous(rows: DataFrame, *, by: list[str], clocks: list[str], pick: Column) -> DataFrame:
