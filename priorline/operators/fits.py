@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,15 +63,33 @@ def block_bootstrap(blocks: DataFrame, by: str, total: str = "total", n: str = "
 def ridge_ratings(rows: DataFrame, plus: str, minus: str, value: str, weight: str, *, l2: float = 1.0) -> DataFrame:
     """Ridge ratings from weighted rows value = rating[plus] - rating[minus] + home, by normal equations:
     Spark sums one entry for each pair that met, so what the driver solves has the size of the league."""
-    spark = rows.sparkSession
+    table = _pairs(rows, plus, minus, value, weight).toPandas()  # a row for each pair of teams that met
+    return rows.sparkSession.createDataFrame(_solve(table, l2), "team int, rating double, home_advantage double")
+
+
+def causal_ridge_ratings(rows: DataFrame, season: str, plus: str, minus: str, value: str, weight: str, *, seasons: int = 3, l2: float = 1.0) -> DataFrame:
+    """For each season that has ``seasons`` seasons before it, ridge ratings from those alone."""
+    table = _pairs(rows, plus, minus, value, weight, season).toPandas()  # a row for each season and pair of teams
+    first, found = int(table[season].min()), []
+    for now in sorted(set(table[season].tolist())):
+        if now - seasons >= first:
+            earlier = table[(table[season] < now) & (table[season] >= now - seasons)]
+            pairs = earlier.groupby(["i", "j"], as_index=False)[["w", "wv"]].sum()
+            found += [(int(now), *r) for r in _solve(pairs, l2)]
+    return rows.sparkSession.createDataFrame(found, "season int, team int, rating double, home_advantage double")
+
+
+def _pairs(rows: DataFrame, plus: str, minus: str, value: str, weight: str, *by: str) -> DataFrame:
     w, v = F.col(weight), F.col(value)
-    pairs = rows.groupBy(F.col(plus).alias("i"), F.col(minus).alias("j")).agg(F.sum(w).alias("w"), F.sum(w * v).alias("wv"))
-    table = pairs.toPandas()  # a row for each pair of teams that met: the square of the league's size at most
+    return rows.groupBy(*by, F.col(plus).alias("i"), F.col(minus).alias("j")).agg(F.sum(w).alias("w"), F.sum(w * v).alias("wv"))
+
+
+def _solve(table: pd.DataFrame, l2: float) -> list[tuple[int, float, float]]:
     names = sorted(set(table.i) | set(table.j))
     at = {x: k for k, x in enumerate(names)}
     m = len(names) + 1
     a, b = np.zeros((m, m)), np.zeros(m)
-    for i, j, ww, wv in table.itertuples(index=False):
+    for i, j, ww, wv in table[["i", "j", "w", "wv"]].itertuples(index=False):
         x = np.zeros(m)
         x[at[i]] += 1
         x[at[j]] -= 1
@@ -79,4 +98,4 @@ def ridge_ratings(rows: DataFrame, plus: str, minus: str, value: str, weight: st
         b += wv * x
     a[np.arange(m - 1), np.arange(m - 1)] += l2
     rating = np.linalg.lstsq(a, b, rcond=None)[0]
-    return spark.createDataFrame([(int(x), float(rating[at[x]]), float(rating[-1])) for x in names], "team int, rating double, home_advantage double")
+    return [(int(x), float(rating[at[x]]), float(rating[-1])) for x in names]

@@ -288,7 +288,7 @@ def player_kalman(spark, sf_dir):
 
 
 @query(
-    "select i team, round(r - avg(r) over (), 6) rating, round(h, 6) home_advantage from solved where k = 1500",
+    "select i team, round(r - avg(r) over (), 6) rating, round(h, 6) home_advantage from solved where k = 200",
     """met as (select home i, away j, count(*)::double w, sum(hs - as_)::double v from games group by 1, 2),
        cells as (select i, j, sum(w) w from (select i, j, w from met union all select j, i, w from met) group by 1, 2),
        sides as (select i, sum(w) n, sum(v) b, sum(s) lean from (select i, w, v, w s from met union all select j, w, -v, -w from met) group by 1),
@@ -296,10 +296,32 @@ def player_kalman(spark, sf_dir):
        solved as (
          select 0 k, i, 0.0::double r, 0.0::double h from sides
          union all
-         select p.k + 1, s.i, (s.b - s.lean * any_value(p.h) + sum(coalesce(c.w, 0) * p.r)) / (s.n + 1), (any_value(l.v) - sum(q.lean * p.r)) / any_value(l.n)
-         from solved p join sides q on q.i = p.i cross join sides s cross join league l left join cells c on c.i = s.i and c.j = p.i where p.k < 1500 group by p.k, s.i, s.b, s.lean, s.n)""",
+         select k, i, r - avg(r) over (), h from (
+         select p.k + 1 k, s.i, (s.b - s.lean * any_value(p.h) + sum(coalesce(c.w, 0) * p.r)) / (s.n + 1) r, (any_value(l.v) - sum(q.lean * p.r)) / any_value(l.n) h
+         from solved p join sides q on q.i = p.i cross join sides s cross join league l left join cells c on c.i = s.i and c.j = p.i where p.k < 200 group by p.k, s.i, s.b, s.lean, s.n))""",
 )
 def ridge_team_ratings(spark, sf_dir):
     g = views.games(spark, sf_dir).select("home", "away", (F.col("hs") - F.col("as_")).cast("double").alias("margin"), F.lit(1.0).alias("w"))
     return fits.ridge_ratings(g, "home", "away", "margin", "w").select("team", rounded("rating"), rounded("home_advantage"))
 
+
+
+@query(
+    "select target season, i team, round(r - avg(r) over (partition by target), 6) rating, round(h, 6) home_advantage from solved where k = 200",
+    """targets as (select distinct season target from games where season - 3 >= (select min(season) from games)),
+       met as (select target, home i, away j, count(*)::double w, sum(hs - as_)::double v from games join targets on season between target - 3 and target - 1 group by 1, 2, 3),
+       cells as (select target, i, j, sum(w) w from (select target, i, j, w from met union all select target, j, i, w from met) group by 1, 2, 3),
+       sides as (select target, i, sum(w) n, sum(v) b, sum(s) lean from (select target, i, w, v, w s from met union all select target, j, w, -v, -w from met) group by 1, 2),
+       league as (select target, sum(w) n, sum(v) v from met group by 1),
+       solved as (
+         select 0 k, target, i, 0.0::double r, 0.0::double h from sides
+         union all
+         select k, target, i, r - avg(r) over (partition by target), h from (
+         select p.k + 1 k, s.target, s.i, (s.b - s.lean * any_value(p.h) + sum(coalesce(c.w, 0) * p.r)) / (s.n + 1) r, (any_value(l.v) - sum(q.lean * p.r)) / any_value(l.n) h
+         from solved p join sides q on q.target = p.target and q.i = p.i join sides s on s.target = p.target join league l on l.target = p.target
+           left join cells c on c.target = s.target and c.i = s.i and c.j = p.i where p.k < 200 group by p.k, s.target, s.i, s.b, s.lean, s.n))""",
+)
+def causal_ratings(spark, sf_dir):
+    """Ridge ratings of each season from the three seasons before it."""
+    g = views.games(spark, sf_dir).select("season", "home", "away", (F.col("hs") - F.col("as_")).cast("double").alias("margin"), F.lit(1.0).alias("w"))
+    return fits.causal_ridge_ratings(g, "season", "home", "away", "margin", "w").select("season", "team", rounded("rating"), rounded("home_advantage"))
