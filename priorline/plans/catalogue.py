@@ -459,10 +459,10 @@ def stream_window_counts(spark, sf_dir):
 
 @query
 def stream_due_captures(spark, sf_dir):
-    """Every event polls its user's evening start; the first poll near each timer captures."""
+    """Every event polls its user's evening start; the first poll within half an hour of each timer captures, as polls are sparse here."""
     s = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     polls = s.select(F.col("user_id").alias("key"), F.col("event_id").alias("poll_id"), F.unix_micros("ts").alias("polled"), (F.unix_micros(F.date_trunc("day", "ts")) + 20 * 3_600_000_000).alias("starts"))
-    out = pending.run_available(capture.due_captures(polls), "captures", "append")
+    out = pending.run_available(capture.due_captures(polls, 30), "captures", "append")
     return out.select("key", "timer", "poll_id", F.timestamp_micros("starts").cast("date").alias("day"))
 
 
