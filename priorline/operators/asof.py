@@ -10,7 +10,7 @@ def asof_join(
     left: DataFrame, right: DataFrame, *, by: list[str], left_time: str, right_time: str, take: list[str], tie: list[str], bucket_seconds: int = 86_400
 ) -> DataFrame:
     """``left`` with the columns ``take`` of the last row of ``right`` with equal ``by`` and a time at most the left
-    row's; of equal times the largest by ``tie``. Rows are dealt once by key and time bucket, so that a hot key is many
+    row's; of equal times the largest by ``tie``. Rows are dealt by key and time bucket, so that a hot key is many
     tasks: a window within buckets, then the last row of each bucket carried over to later ones."""
     wanted = list(dict.fromkeys([right_time, *take]))
     payload, tie_of = F.struct(*wanted), F.struct(*tie)
@@ -25,13 +25,12 @@ def asof_join(
     known = side(right, right_time, 0, tie_of, payload, F.lit(None).cast(whole))
     asking = side(left, left_time, 1, none["tie"], none["payload"], F.struct("*"))
     both = known.unionByName(asking).withColumn("_bucket", F.floor(F.col("_time") / (bucket_seconds * 1_000_000)))
-    # Both what follows within buckets and the buckets' ends start from this one exchange.
-    dealt = both.repartition(*by, "_bucket")
     order = F.struct("_time", "_side", "_tie")
     within = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = dealt.withColumn("_near", F.last("_right", ignorenulls=True).over(within)).where("_left is not null")
+    seen = both.withColumn("_near", F.last("_right", ignorenulls=True).over(within)).where("_left is not null")
+    # The buckets' ends are aggregated before they are shuffled, and read no column of the left rows but key and time.
     last = F.max_by("_right", F.when(F.col("_side") == 0, order)).alias("_end")
-    ends = dealt.groupBy(*by, "_bucket").agg(last)
+    ends = both.groupBy(*by, "_bucket").agg(last)
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
     found = F.coalesce("_near", "_before")
