@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm.common import pieces, release_memory
-from priorline.llm.tokens import AT_ONCE, encoder
+from priorline.llm.tokens import AT_ONCE, FEW_KNOWN, MOST_KNOWN, encoder
 from priorline.session import materialize
 
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
@@ -54,9 +54,9 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, True, "<u4")
+        encode = encoder(tokenizer, True, "<u4", most_known=MOST_KNOWN if keep_words else FEW_KNOWN)
         for batch in batches:
-            for a, b in pieces(batch.column(1), AT_ONCE):
+            for a, b in pieces(batch.column(1), AT_ONCE if keep_words else AT_ONCE // 2):
                 ids, texts = batch.column(0).slice(a, b - a).to_pylist(), encode.many(batch.column(1).slice(a, b - a))
                 rows = []
                 for doc_id, packed in zip(ids, texts, strict=True):

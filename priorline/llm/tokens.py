@@ -17,8 +17,9 @@ from tokenizers import Tokenizer  # noqa: E402
 
 # The white space of Unicode, as a class of a regular expression.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Words that one Python worker remembers; further ones are encoded each time they come. Bytes of text at once.
-MOST_KNOWN, AT_ONCE = 150_000, 1_000_000
+#: Words that one Python worker remembers, some 270 bytes each; further ones are encoded each time they come. Where other
+#: stages need the memory too, so many. Bytes of text at once.
+MOST_KNOWN, FEW_KNOWN, AT_ONCE = 1_000_000, 150_000, 2_000_000
 #: Letters that keep their bytes under NFC; a word of these is one piece to the BPE model.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Marks a text's first word, which has no space before it.
@@ -52,7 +53,7 @@ class Encoder:
     white space are cut by a regular expression of the same rule.
     ``spaces`` tells whether white space makes tokens and capitals are kept."""
 
-    def __init__(self, name: str, spaces: bool, dtype: str, special: str) -> None:
+    def __init__(self, name: str, spaces: bool, dtype: str, special: str, most_known: int = MOST_KNOWN) -> None:
         self._tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
@@ -65,6 +66,7 @@ class Encoder:
         self._code = "I" if self._dtype.itemsize == 4 else "H"
         self._marks = {x: self._ids(x).tobytes() if x else b"" for x in ("", ".", ",", "\n")}
         self._known: dict[str, bytes] = {}
+        self._most_known = most_known
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self._dtype)
@@ -100,7 +102,7 @@ class Encoder:
             got = self._learn({keys[i]: self._unit(keys[i]) for i in gaps})
             for i in gaps:
                 ids[i] = got[keys[i]]
-            if len(self._known) < MOST_KNOWN:
+            if len(self._known) < self._most_known:
                 self._known |= got
         return ids
 
@@ -131,5 +133,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str, spaces: bool, dtype: str, special: str = "<|endoftext|>") -> Encoder:
-    return Encoder(name, spaces, dtype, special)
+def encoder(name: str, spaces: bool, dtype: str, special: str = "<|endoftext|>", most_known: int = MOST_KNOWN) -> Encoder:
+    return Encoder(name, spaces, dtype, special, most_known)
