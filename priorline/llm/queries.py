@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import chat_format, fingerprints, html_text, language, media, mixing, ngram_join, packing, repair_ids, suffix_dedup
+from priorline.llm import chat_format, divergence, fingerprints, html_text, language, media, mixing, ngram_join, packing, repair_ids, sentence_pieces, suffix_dedup, word_runs
 from priorline.llm.common import table
 from priorline.session import materialize
 
@@ -52,6 +52,18 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.collapse(table(spark, sf_dir, "documents"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_closed_syncmers": op2_closed_syncmers,
@@ -63,5 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_tag_path_ratios": op9_tag_path_ratios,
     "op10_mpeg_audio": op10_mpeg_audio,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_word_runs": op12_word_runs,
+    "op13_sentence_pieces": op13_sentence_pieces,
+}
+ORACLE_SQL = {
+    "op4_source_mixing": mixing.ORACLE.replace("select doc_id, source, size, source_size", "select doc_id, size, source_size"),
+    "op11_source_divergence": divergence.ORACLE,
 }
-ORACLE_SQL = {"op4_source_mixing": mixing.ORACLE.replace("select doc_id, source, size, source_size", "select doc_id, size, source_size")}
