@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,38 @@ def offset_logistic(rows: DataFrame, features: list[str], label: str, offset: st
     return dict(zip(names, w.tolist(), strict=True))
 
 
+def offset_logistic_by(rows: DataFrame, by: list[str], features: list[str], label: str, offset: str | None = None, *, l2: float = 0.01) -> DataFrame:
+    """``by`` and w, an array: the fit of ``offset_logistic`` for each key, all at once. A step is one grouped aggregate over
+    all rows, whatever the number of keys, joined with the keys' weights of the step before; the small systems, one a
+    key, are solved in the tasks that hold them. It ends when no key's weights move by more than SETTLED."""
+    n = len(features)
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    held = materialize(rows.select(*by, F.col(label).cast("double").alias("_y"), (F.col(offset) if offset else F.lit(0.0)).alias("_o"), x.alias("_x")), "fit")
+    weights = held.select(*by).distinct().withColumn("w", F.array(*[F.lit(0.0)] * n))
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(by) + 1 :]], 1)
+            w = batch.column(len(by)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            h = np.zeros((len(w), n, n))
+            for k, (i, j) in enumerate(upper):
+                h[:, i, j] = h[:, j, i] = got[:, n + k]
+            step = np.linalg.solve(h + l2 * np.eye(n), (got[:, :n] + l2 * w)[:, :, None])[:, :, 0]
+            lists = pa.array(list(w - step), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], lists, pa.array(np.abs(step).max(1))], names=[*by, "w", "_moved"])
+
+    schema = weights.withColumn("_moved", F.lit(0.0)).schema
+    for _ in range(PASSES):
+        scored = held.join(weights.select(*by, "w"), by).withColumn("_p", sigmoid(F.col("_o") + F.aggregate(F.zip_with("_x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
+        bend = F.col("_p") * (1 - F.col("_p"))
+        sums = [F.avg((F.col("_p") - F.col("_y")) * F.col("_x")[i]).alias(f"g{i}") for i in range(n)] + [F.avg(bend * F.col("_x")[i] * F.col("_x")[j]).alias(f"h{i}_{j}") for i, j in upper]
+        weights = materialize(scored.groupBy(*by).agg(F.first("w").alias("w"), *sums).mapInArrow(solve, schema), "weights")
+        if (weights.agg(F.max("_moved")).head()[0] or 0.0) < SETTLED:
+            break
+    return weights.select(*by, "w")
+
+
 def rms_scales(rows: DataFrame, features: list[str]) -> DataFrame:
     """Uncentred root mean squares, 1 for a column of zeros."""
     rms = {f: F.sqrt(F.avg(F.col(f) * F.col(f))) for f in features}

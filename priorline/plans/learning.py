@@ -99,10 +99,12 @@ def variant_grid(spark, sf_dir):
     """Variants of the features fitted on the early seasons and scored on each later one beside the baseline, with the
     mean of seasons weighted by their games."""
     f = _fit_rows(spark, sf_dir)
-    late, parts = f.where("season >= 1999"), []
-    for name, (features, _, _) in _VARIANTS.items():
-        w = fits.offset_logistic(f.where("season < 1999"), features, "won", "o")
-        parts.append(F.struct(F.lit(name).alias("variant"), probability.sigmoid(F.col("o") + sum(F.lit(v) * F.col(c) for c, v in w.items())).alias("q")))
+    names = ["gap", "nudge"]
+    sides = F.array(*[F.struct(F.lit(v).alias("variant"), *[(F.col(c) if c in used else F.lit(0.0)).alias(f"_{c}") for c in names]) for v, (used, _, _) in _VARIANTS.items()])
+    train = f.where("season < 1999").select("won", "o", F.explode(sides).alias("x")).select("won", "o", "x.*")
+    w = {r.variant: r.w for r in fits.offset_logistic_by(train, ["variant"], [f"_{c}" for c in names], "won", "o").collect()}  # a row for each variant
+    late, none = f.where("season >= 1999"), [0.0] * len(names)
+    parts = [F.struct(F.lit(v).alias("variant"), probability.sigmoid(F.col("o") + sum(F.lit(x) * F.col(c) for x, c in zip(w.get(v, none), names, strict=True))).alias("q")) for v in _VARIANTS]
     each = late.select("season", "won", "base_p", F.explode(F.array(*parts)).alias("x")).select("season", "won", "base_p", "x.*")
     loss = lambda p: F.round(F.avg(probability.log_loss(F.col(p), F.col("won"))), 6)
     grid = each.groupBy("variant", "season").agg(F.count(F.lit(1)).alias("n"), loss("q").alias("loss"), loss("base_p").alias("base"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.functions import probability
-from priorline.operators import mixture
+from priorline.operators import asof, fits, mixture
 from priorline.plans import views
 from priorline.plans.history import HISTORY
 from priorline.plans.registry import Registry
+from priorline.session import materialize
 
 MODELS = Registry()
 query = MODELS.query
@@ -83,3 +84,63 @@ def mixture_selector(spark, sf_dir):
     none = F.lit(None)
     losses = mixture.mixture_losses(late, found, "won").select(F.lit("loss"), "name", none.cast("string"), none.cast("long"), F.round("loss", 6))
     return out.union(losses).union(mixture.mean_weights(late, found, F.expr(_bucket("margin"))).select(F.lit("weights"), "bucket", "arm", "n", F.round("weight", 5)))
+
+
+HORIZONS, TRAINED_UNTIL = (360, 120, 60, 15), "2024-01-20"
+
+
+def _newton_by(key: str, rows: str, n: int, l2: float = 0.01, steps: int = 12) -> str:
+    """Newton steps for the weights w0 .. of columns x0 .. of ``rows`` for each ``key``, three at most, as a table fit."""
+    w, pairs = [f"w{i}" for i in range(n)], [(i, j) for i in range(n) for j in range(i, n)]
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    rest = lambda i: [k for k in range(3) if k != i]
+    cofactor = lambda i, j: f"{'-' if (i + j) % 2 else ''}({h(rest(i)[0], rest(j)[0])} * {h(rest(i)[1], rest(j)[1])} - {h(rest(i)[0], rest(j)[1])} * {h(rest(i)[1], rest(j)[0])})"
+    det = " + ".join(f"h0{j} * {cofactor(0, j)}" for j in range(3))
+    moved = ", ".join(f"w{i} - ({' + '.join(f'{cofactor(i, j)} * g{j}' for j in range(3))}) / ({det})" for i in range(3))
+    return f"""
+steps as (
+  select 0 k, {key}, {', '.join(f'0.0::double {x}' for x in w)} from (select distinct {key} from {rows})
+  union all
+  select k + 1, {key}, {moved} from (
+    select k, {key}, {', '.join(w)}, {', '.join(f'avg((q - y) * x{i}) + {l2} * w{i} g{i}' for i in range(n))}, {', '.join(f'avg(q * (1 - q) * x{i} * x{j}) + {l2 if i == j else 0} h{i}{j}' for i, j in pairs)}
+    from (select k, s.{key}, {', '.join(w)}, y, {', '.join(f'x{i}' for i in range(n))}, 1 / (1 + exp(-({' + '.join(f'w{i} * x{i}' for i in range(n))}))) q from steps s join {rows} r on r.{key} = s.{key} where k < {steps}) group by k, {key}, {', '.join(w)})),
+fit as (select * from steps where k = {steps})"""
+
+
+@query(
+    """select horizon, n_train, n_test, round(w0, 6) status_weight, round(w1, 6) minutes_weight, round(w2, 6) intercept, round(loss, 6) loss from
+         (select horizon, count(*) n_train from train group by 1) join fit using (horizon) join (
+         select horizon, count(*) n_test, avg(-ln(greatest(case when won then q else 1 - q end, 1e-15))) loss from (
+           select horizon, won, 1 / (1 + exp(-(w0 * status / s0 + w1 * minutes / s1 + w2))) q from rows_ join scale using (horizon) join fit using (horizon) where not early) group by 1) using (horizon)""",
+    f"""due as (select t.*, h.horizon, tipoff - h.horizon * interval 1 minute cutoff from tips t, (select unnest([{', '.join(map(str, (*HORIZONS, 0)))}])::int horizon) h),
+        found as (select d.tip_id, d.tipoff, d.horizon, max_by(r.status, (r.report_time, r.event_id)) status, max_by(r.minutes, (r.report_time, r.event_id)) as minutes
+                  from due d left join reports r on r.player = d.player and r.report_time <= d.cutoff group by 1, 2, 3),
+        rows_ as (select f.horizon, f.tipoff < timestamp '{TRAINED_UNTIL}' early, e.status = 'Available' won,
+                         coalesce(list_position(['Available', 'Probable', 'Questionable', 'Doubtful', 'Out'], f.status) - 1, 0) / 4.0::double status, coalesce(ln(1 + f.minutes), 0) as minutes
+                  from found f join found e on e.tip_id = f.tip_id and e.horizon = 0 where f.horizon > 0 and e.status is not null),
+        scale as (select horizon, case when sum(status * status) > 0 then sqrt(avg(status * status)) else 1 end s0, case when sum(minutes * minutes) > 0 then sqrt(avg(minutes * minutes)) else 1 end s1 from rows_ where early group by 1),
+        train as (select horizon, won::int::double y, status / s0 x0, minutes / s1 x1, 1.0::double x2 from rows_ join scale using (horizon) where early), """
+    + _newton_by("horizon", "train", 3),
+)
+def horizon_models(spark, sf_dir):
+    """A model for each horizon before the tip: the player's last status and minutes known then, divided by their training
+    scales, against the status at the tip; fitted on early tips, all horizons at once, and scored on later ones."""
+    due = views.tips(spark, sf_dir).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (*HORIZONS, 0)])))
+    due = due.withColumn("cutoff", F.expr("tipoff - make_interval(0, 0, 0, 0, 0, horizon)"))
+    known = asof.asof_join(due, views.reports(spark, sf_dir), by=["player"], left_time="cutoff", right_time="report_time", take=["status", "minutes"], tie=["event_id"])
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in views.STATUSES.values()]), F.col("status")) - 1, F.lit(0)) / 4.0
+    each = known.groupBy("tip_id", "tipoff").agg(  # one row a tip, with its horizons
+        F.max(F.when(F.col("horizon") == 0, F.col("status"))).alias("at_tip"),
+        F.collect_list(F.when(F.col("horizon") > 0, F.struct("horizon", rank.alias("status"), F.coalesce(F.log1p("minutes"), F.lit(0.0)).alias("minutes")))).alias("x"),
+    )
+    each = each.where("at_tip is not null").select((F.col("tipoff") < F.lit(TRAINED_UNTIL).cast("timestamp")).alias("early"), (F.col("at_tip") == "Available").alias("won"), F.explode("x").alias("x")).select("early", "won", "x.*", F.lit(1.0).alias("one"))
+    rows = materialize(each, "horizon_rows")
+    train = rows.where("early")
+    scale = train.groupBy("horizon").agg(*[F.when(F.sum(F.col(c) * F.col(c)) > 0, F.sqrt(F.avg(F.col(c) * F.col(c)))).otherwise(1.0).alias(s) for c, s in (("status", "s0"), ("minutes", "s1"))], F.count(F.lit(1)).alias("n_train"))
+    scaled = lambda df: df.join(scale, "horizon").withColumns({"status": F.col("status") / F.col("s0"), "minutes": F.col("minutes") / F.col("s1")})
+    names = ["status", "minutes", "one"]
+    w = fits.offset_logistic_by(scaled(train), ["horizon"], names, "won")
+    told = probability.sigmoid(sum((F.col("w")[k] * F.col(c) for k, c in enumerate(names)), F.lit(0.0)))
+    late = scaled(rows.where("not early")).join(w, "horizon").groupBy("horizon", "n_train", "w").agg(F.count(F.lit(1)).alias("n_test"), F.avg(probability.log_loss(told, F.col("won"))).alias("loss"))
+    shown = [F.round(F.col("w")[k], 6).alias(n) for k, n in enumerate(("status_weight", "minutes_weight", "intercept"))]
+    return late.select("horizon", "n_train", "n_test", *shown, F.round("loss", 6).alias("loss"))
