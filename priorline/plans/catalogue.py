@@ -14,6 +14,7 @@ from priorline.plans import views
 from priorline.plans.checks import CHECKS
 from priorline.plans.history import HISTORY
 from priorline.plans.learning import LEARNING
+from priorline.plans.lineups import LINEUPS
 from priorline.plans.models import MODELS
 from priorline.plans.records import RECORDS
 from priorline.plans.shapes import SHAPES
@@ -533,6 +534,6 @@ def due_work(spark, sf_dir):
 WHOLE = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
 QUERIES |= {f"{name}_whole": QUERIES[name] for name in WHOLE}
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in WHOLE}
-for part in (HISTORY, CHECKS, LEARNING, MODELS, RECORDS, SHAPES):
+for part in (HISTORY, CHECKS, LEARNING, LINEUPS, MODELS, RECORDS, SHAPES):
     QUERIES |= part.queries
     ORACLE_SQL |= part.sql
