@@ -157,21 +157,22 @@ entries as (
   select target, id, w, m, unnest(list_concat(list_transform(home, lambda p: {{'i': p, 's': 1.0::double}}), list_transform(away, lambda p: {{'i': p, 's': -1.0::double}}), [{{'i': -1::bigint, 's': 1.0::double}}])) e from (
     select t.target, row_number() over () id, s.* from stints s join (select distinct (game_id % {SEASONS} + 2000)::int target from good) t on s.season between t.target - 3 and t.target - 1)),
 rights as (select target, e.i i, sum(w * e.s * m) b from entries group by 1, 2),
-penalty as (select target, 0.01 * sum(w) / (select count(*) from rights r where r.target = d.target and r.i <> -1) l from (select distinct target, id, w from entries) d group by target),
+penalty as (select target, 1.0::double * sum(w) / (select count(*) from rights r where r.target = d.target and r.i <> -1) l from (select distinct target, id, w from entries) d group by target),
 cells as (
   select target, i, j, a + case when i = j and i <> -1 then l else 0 end a from (
     select x.target, x.e.i i, y.e.i j, sum(x.w * x.e.s * y.e.s) a from entries x join entries y on y.target = x.target and y.id = x.id group by 1, 2, 3) join penalty using (target)),
 solved as (
   select 0 k, target, i, a d, 0.0::double x, b r, b / a p, sum(b * b / a) over (partition by target) first_, sum(b * b / a) over (partition by target) left_ from rights join (select target, i, a from cells where i = j) using (target, i)
   union all
-  select k + 1, target, i, d, x + alpha * p, r - alpha * q, (r - alpha * q) / d + case when alpha > 0 then after_ / left_ * p else 0 end, first_, after_ from (
-    select *, case when alpha > 0 then greatest(left_ - 2 * alpha * rq + alpha * alpha * qq, 0) else 0 end after_ from (
-      select *, case when left_ > 1e-20 * first_ and pq > 0 then left_ / pq else 0 end alpha from (
-        select *, sum(p * q) over (partition by target) pq, sum(r * q / d) over (partition by target) rq, sum(q * q / d) over (partition by target) qq from (
-          select s.k, s.target, s.i, s.d, s.x, s.r, s.p, s.first_, s.left_, sum(c.a * o.p) q from solved s join cells c on c.target = s.target and c.i = s.i join solved o on o.target = c.target and o.i = c.j
-          where s.k < 200 group by all)))))""",
+  select k + 1, target, i, d, x + alpha * p, r2, case when alpha > 0 then r2 / d + after_ / left_ * p else p end, first_, after_ from (
+    select *, sum(r2 * r2 / d) over (partition by target) after_ from (
+      select *, r - alpha * q r2 from (
+        select *, case when left_ > 1e-20 * first_ and pq > 0 then left_ / pq else 0 end alpha from (
+          select *, sum(p * q) over (partition by target) pq from (
+            select s.k, s.target, s.i, s.d, s.x, s.r, s.p, s.first_, s.left_, sum(c.a * o.p) q from solved s join cells c on c.target = s.target and c.i = s.i join solved o on o.target = c.target and o.i = c.j
+            where s.k < 120 group by all))))))""",
 )
 def lineup_ridge(spark, sf_dir):
     """Players' ratings per 100 possessions for each season, from the stints of the three seasons before it alone."""
-    out = ridge.lineup_ratings(stints_by_season(spark, sf_dir), "season")
+    out = ridge.lineup_ratings(stints_by_season(spark, sf_dir), "season", l2=1.0)
     return out.select("season", "player", F.round("rating", 4).alias("rating"), F.round("home_advantage", 4).alias("home_advantage"))
