@@ -11,7 +11,8 @@ def asof_join(
 ) -> DataFrame:
     """``left`` with the columns ``take`` of the last row of ``right`` with equal ``by`` and a time at most the left
     row's; of equal times the largest by ``tie``. Rows are dealt by key and time bucket, so that a hot key is many
-    tasks: a window within buckets, then the last row of each bucket carried over to later ones."""
+    tasks: a window within buckets, then the last row of each bucket carried over to later ones. A left row with a null key
+    or time gets nulls; right rows with either are nothing that was known."""
     wanted = list(dict.fromkeys([right_time, *take]))
     payload, tie_of = F.struct(*wanted), F.struct(*tie)
     kinds = right.select(payload.alias("payload"), tie_of.alias("tie")).schema
@@ -22,8 +23,9 @@ def asof_join(
         columns = {"_time": F.unix_micros(time), "_side": F.lit(number), "_tie": tie_column, "_right": found, "_left": row}
         return rows.select(*by, *[c.alias(name) for name, c in columns.items()])
 
-    known = side(right, right_time, 0, tie_of, payload, F.lit(None).cast(whole))
-    asking = side(left, left_time, 1, none["tie"], none["payload"], F.struct("*"))
+    told = lambda time: F.col(time).isNotNull() & F.forall(F.array(*[F.col(c).isNotNull() for c in by]), lambda x: x)
+    known = side(right.where(told(right_time)), right_time, 0, tie_of, payload, F.lit(None).cast(whole))
+    asking = side(left.where(told(left_time)), left_time, 1, none["tie"], none["payload"], F.struct("*"))
     both = known.unionByName(asking).withColumn("_bucket", F.floor(F.col("_time") / (bucket_seconds * 1_000_000)))
     order = F.struct("_time", "_side", "_tie")
     within = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -34,7 +36,9 @@ def asof_join(
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
     found = F.coalesce("_near", "_before")
-    return seen.join(carried, [*by, "_bucket"], "left").select("_left.*", *[found[c].alias(c) for c in wanted])
+    matched = seen.join(carried, [*by, "_bucket"], "left").select("_left.*", *[found[c].alias(c) for c in wanted])
+    payload_kind = kinds["payload"].dataType
+    return matched.unionByName(left.where(~told(left_time)).select("*", *[F.lit(None).cast(payload_kind[c].dataType).alias(c) for c in wanted]))
 
 
 def latest_unambiguous(rows: DataFrame, *, by: list[str], clocks: list[str], pick: Column) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 from typing import Any
 
 import pyarrow as pa
@@ -74,30 +74,38 @@ def margin_elo(
 
 def batched_elo(rows: DataFrame, *, base: float = 1500.0, k: float = 20.0) -> DataFrame:
     """Elo whose games of one cutoff are frozen together: a result counts from the first cutoff at or after
-    the moment it is known. rows: season, cutoff (long), resolved_at (long), game_id, team, opp, won."""
+    the moment it is known; pending results lie in a heap by that moment. A result that never is (resolved_at null)
+    changes nothing. rows: season, cutoff (long), resolved_at (long), game_id, team, opp, won."""
 
     def start() -> dict:
-        return {"ratings": {}, "pending": deque()}
+        return {"ratings": {}, "pending": []}
 
     def step(state: dict, row: tuple) -> tuple:
         season, cutoff, resolved, game, team, opp, won = row
         ratings, pending = state["ratings"], state["pending"]
-        due = sorted(x for x in pending if x[0] <= cutoff)
-        if due:
-            state["pending"] = deque(x for x in pending if x[0] > cutoff)
-            for _, _, t, o, p, w in due:
-                shift = k * ((1.0 if w else 0.0) - p)
-                ratings[t] = ratings.get(t, base) + shift
-                ratings[o] = ratings.get(o, base) - shift
+        while pending and pending[0][0] <= cutoff:
+            _, _, t, o, p, w = heappop(pending)
+            shift = k * ((1.0 if w else 0.0) - p)
+            ratings[t] = ratings.get(t, base) + shift
+            ratings[o] = ratings.get(o, base) - shift
         rt, ro = ratings.get(team, base), ratings.get(opp, base)
         p = 1.0 / (1.0 + 10.0 ** (-(rt - ro) / 400.0))
-        state["pending"].append((resolved, game, team, opp, p, won))
+        if resolved is not None:
+            heappush(pending, (resolved, game, team, opp, p, won))
         return season, game, rt, ro, p
 
     chosen = rows.select("season", "cutoff", "resolved_at", "game_id", "team", "opp", "won")
     return ordered_fold(chosen, by=["season"], order=["cutoff", "game_id"], start=start, step=step, schema="season int, game_id long, team_rating double, opp_rating double, team_p double")
 
 
+def resolved_elo(games: DataFrame, snapshots: DataFrame, **settings: float) -> DataFrame:
+    """``batched_elo`` on the moments at which results became known: of a game's ``snapshots`` (game_id, taken, won) the
+    first taken at or after the game ended tells its result and when. games: season, cutoff, ended, game_id, team, opp."""
+    ended = games.select("game_id", "ended")
+    first = snapshots.join(ended, "game_id").where(F.col("taken") >= F.col("ended")).groupBy("game_id").agg(F.min("taken").alias("resolved_at"), F.min_by("won", "taken").alias("won"))
+    return batched_elo(games.join(first, "game_id", "left"), **settings)
+
+
 def scalar_kalman(rows: DataFrame, *, prior: float = 0.0, prior_var: float = 25.0, drift: float = 1.5, noise: float = 400.0) -> DataFrame:
     """A scalar Kalman filter for each player: the estimate before each observation. rows: player, day (long),
     seq (long), value, weight (observations' precision is weight / noise)."""

@@ -12,6 +12,7 @@ from priorline.functions.calendar import utc_offset_hours
 from priorline.operators import asof, fits, folds, joins, ledger, rolling, scoring
 from priorline.plans import views
 from priorline.plans.checks import CHECKS
+from priorline.plans.evidence import EVIDENCE
 from priorline.plans.history import HISTORY
 from priorline.plans.learning import LEARNING
 from priorline.plans.lineups import LINEUPS
@@ -534,6 +535,6 @@ def due_work(spark, sf_dir):
 WHOLE = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
 QUERIES |= {f"{name}_whole": QUERIES[name] for name in WHOLE}
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in WHOLE}
-for part in (HISTORY, CHECKS, LEARNING, LINEUPS, MODELS, RECORDS, SHAPES):
+for part in (HISTORY, CHECKS, EVIDENCE, LEARNING, LINEUPS, MODELS, RECORDS, SHAPES):
     QUERIES |= part.queries
     ORACLE_SQL |= part.sql

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from priorline.functions.canonical import repeats_key
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, columns: list[str] | None = None) -> DataFrame:
     """A CSV file with a header; a row that doesn't fit the schema fails the read. Only ``columns`` are parsed."""
@@ -53,19 +55,33 @@ def read_archive(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(pattern).withColumn("_path", F.col("_metadata.file_path"))
 
 
+def one_object(text: Column) -> Column:
+    """The variant of a JSON object that the text is and nothing else; null for anything more or less."""
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    second = F.try_variant_get(alone, "$[1]", "variant").isNotNull()
+    return F.when(F.trim(text).startswith("{") & ~second, F.try_variant_get(alone, "$[0]", "variant"))
+
+
+#: JSON strings.
+STRING = r'"(?:[^"\\]|\\.)*"'
+
+
 def strict_verdict(line: Column, kinds: dict[str, str]) -> Column:
-    """What is wrong with a JSON object that should have exactly the keys of ``kinds``, of kind string or number:
-    no object, a repeated key, a number that isn't finite, other keys, a wrong type; ok if nothing is."""
-    names = F.regexp_extract_all(line, F.lit(r'"([^"\\\\]*)"\s*:'), F.lit(1))
+    """What is wrong with a JSON object that should have exactly the keys of ``kinds``, of kind string or number: a
+    repeated key at any depth, a number that isn't finite, no object or something beside it, other keys, a wrong type; ok
+    if nothing is. What stands within strings is no structure."""
+    bare = F.regexp_replace(line, STRING, '""')
     keys = F.json_object_keys(line)
-    value = F.try_parse_json(line)
+    value = one_object(line)
     kind = lambda name: F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
-    fits = {"string": lambda c: c == "STRING", "number": lambda c: c.rlike("BIGINT|DECIMAL|DOUBLE")}
+    fits = {"string": lambda c: c == "STRING", "number": lambda c: c.rlike("^(BIGINT|DECIMAL.*|DOUBLE)$")}
     right = [F.coalesce(fits[k](kind(name)), F.lit(False)) for name, k in kinds.items()]
+    endless = [F.coalesce(F.abs(F.try_variant_get(value, f"$.{name}", "double")) == float("inf"), F.lit(False)) for name, k in kinds.items() if k == "number"]
     return (
-        F.when(F.size(names) != F.size(F.array_distinct(names)), "repeated key")
-        .when(line.rlike(r":\s*-?(NaN|Infinity)"), "not finite")
-        .when(keys.isNull(), "no object")
+        F.when(line.isNull(), "no object")
+        .when(repeats_key(line), "repeated key")
+        .when(bare.rlike("NaN|Infinity") | F.exists(F.array(*endless, F.lit(False)), lambda x: x), "not finite")
+        .when(value.isNull() | keys.isNull(), "no object")
         .when(F.array_sort(keys) != F.array(*[F.lit(k) for k in sorted(kinds)]), "other keys")
         .when(~F.forall(F.array(*right), lambda x: x), "wrong type")
         .otherwise("ok")
