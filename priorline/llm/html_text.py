@@ -9,8 +9,11 @@ LIKELY times: names tip the scales where lengths are near each other, but where
 is the text. Paths above a part of the scores' standard deviation are content. The smallest element that holds
 nearly all content is the article: its blocks are kept in page order, short ones as headings and list items
 too, but for unlikely paths below the threshold; so are content paths elsewhere that are as strong as the
-article's. What by its tag alone is no article text (scripts, styles, forms, nav, footer, aside) is dropped
-while the page is cut, as are hidden elements.
+article's. A path that names make unlikely never stands beside an article without such names, so comments go
+however long they are; where a page has one article or main element, nothing outside is as strong. Sections beside
+the article that open with a heading of its own kind and have text under it belong to it. What by its tag alone is no article
+text (scripts, styles, forms, nav, footer, aside) is dropped while the page is cut, as are hidden elements; a form around
+an article, or around most of the page, is not: only its controls go.
 
 Defined cases: null html is empty, and an empty page gives an empty text; markup that breaks off is
 dropped; tags that are never closed end with their parents; very long pages are read once from left to
@@ -52,7 +55,7 @@ NEVER = frozenset(
 )
 UNLIKELY_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs header masthead topbar footer footnav sidebar aside widget widgets related recommended recommendations cookie "
+    "breadcrumb breadcrumbs header masthead topbar foot footer footnav sidebar aside widget widgets related recommended recommendations cookie "
     "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing "
     "social comment comments commentlist disqus reply replies responses discussion form search pagination pager paging toolbar copyright "
     "skip hidden contentinfo complementary".split()
@@ -60,6 +63,8 @@ UNLIKELY_WORDS = frozenset(
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Kernel width in blocks; part of the standard deviation; share of content text in the article element.
 SIGMA, PART, SHARE = 1.0, 0.25, 0.9
+#: A form with this part of a page's length is around the page; so much of a section's text may be links.
+AROUND, LINKED = 0.5, 0.3
 #: What a path's ratio is multiplied by where a name on it tells of no article, and where the tags tell of one.
 UNLIKELY, LIKELY = 0.02, 4.0
 #: What counts as punctuation where a path has none; a path elsewhere is kept from this part of the best score on.
@@ -68,6 +73,8 @@ LEAST_MARKS, AS_STRONG = 0.1, 0.5
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ARTICLE = re.compile(r"<(?:article|main|h1)\b", re.I)
+_FORM_END = re.compile(r"</form\b", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
@@ -99,6 +106,13 @@ def _unlikely(names: tuple[str, ...]) -> bool:
     return False
 
 
+def _is_around(page: str, at: int) -> bool:
+    """Whether the form that starts before ``at`` is around an article, or around most of the page."""
+    end = _FORM_END.search(page, at)
+    stop = end.start() if end else len(page)
+    return stop - at >= AROUND * len(page) or _ARTICLE.search(page, at, stop) is not None
+
+
 class _Element:
     """An open element: its tag, number and names, and whether it or one around it is no article text, or unlikely to be."""
 
@@ -192,7 +206,8 @@ def blocks_of(page: str) -> list[_Block]:
             continue
         inside = bool(stack) and stack[-1].aside
         names = _names(attributes) if attributes else ()
-        aside = inside or tag in NEVER or bool(attributes and _is_hidden(attributes))
+        never = tag in NEVER and not (tag == "form" and not inside and _is_around(page, at))
+        aside = inside or never or bool(attributes and _is_hidden(attributes))
         if tag in HEADINGS and inside and any(x.tag == "article" for x in stack) and [x.tag for x in stack if x.tag in NEVER] == ["header"]:
             aside = False  # a heading in the header of an article
         if aside and not inside:
@@ -200,6 +215,7 @@ def blocks_of(page: str) -> list[_Block]:
         if not attributes.endswith("/") or tag in BLOCKS:
             number += 1
             whole = tag in ("html", "body", "main", "article")  # what these say of themselves concerns the page
+            whole = whole or (tag == "form" and not aside)
             unlikely = (bool(stack) and stack[-1].unlikely) or (not whole and _unlikely(names))
             stack.append(_Element(tag, number, names, aside, unlikely))
     close_block()
@@ -255,15 +271,61 @@ def main_text(page: str) -> str:
             weight[number] = weight.get(number, 0) + size
     inner = max((k for k, w in weight.items() if w >= SHARE * total), default=None)
     best = max((scores[b.path] for b in strong), default=0.0)
+    plain = any(b.weight >= 1 for b in strong)
+    alone = _only_article(blocks)
+    more = _sections_beside(blocks, inner) if inner is not None else set()
     kept = []
     for b in blocks:
         score = scores[b.path]
+        if alone is not None and alone not in b.chain:
+            continue
+        if inner is None and b.links >= len(b.text):  # no element holds the text: what is a link alone is a menu's
+            continue
         inside = inner is None or inner in b.chain
-        if (inside and (b.weight >= 1 or score >= threshold)) or (score > 0 and score >= AS_STRONG * best):
+        as_strong = score > 0 and score >= AS_STRONG * best
+        if b.weight >= 1:
+            if inside or as_strong or more.intersection(b.chain):
+                kept.append(b.text)
+        elif not plain and ((inside and score >= threshold) or as_strong):
             kept.append(b.text)
     return "\n\n".join(kept)
 
 
+def _only_article(blocks: list[_Block]) -> int | None:
+    """The page's only article element, or else its only main element, if it has text that no name makes unlikely."""
+    for tag in ("article", "main"):
+        found = {next(n for n, (t, _) in zip(b.chain, b.path, strict=True) if t == tag): b for b in blocks if any(t == tag for t, _ in b.path)}
+        if len(found) == 1:
+            number = next(iter(found))
+            if any(number in b.chain and b.weight >= 1 for b in blocks):
+                return number
+            return None
+        if found:
+            return None
+    return None
+
+
+def _sections_beside(blocks: list[_Block], inner: int) -> set[int]:
+    """Elements of the same parent as ``inner`` and of its kind that open with the same kind of heading and have text."""
+    within = [b for b in blocks if inner in b.chain]
+    depth = within[0].chain.index(inner)
+    kind, parent = within[0].path[depth][0], within[0].chain[:depth]
+    heading = within[0].path[-1][0]
+    if heading not in HEADINGS or not parent:
+        return set()
+    sections: dict[int, list[_Block]] = {}
+    for b in blocks:
+        if len(b.chain) > depth and b.chain[:depth] == parent and b.chain[depth] != inner and b.path[depth][0] == kind:
+            sections.setdefault(b.chain[depth], []).append(b)
+    out = set()
+    for number, own in sections.items():
+        text = sum(len(b.text) for b in own[1:])
+        marks = any(_PUNCTUATION.search(b.text) for b in own[1:])
+        if own[0].path[-1][0] == heading and all(b.weight >= 1 for b in own) and text and marks and sum(b.links for b in own[1:]) <= LINKED * text:
+            out.add(number)
+    return out
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
 

@@ -239,7 +239,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents whose language is told, with the columns of ``docs``; a missing lang becomes the prediction."""
+    """The documents whose language is told, with the columns of ``docs``; a missing lang becomes the prediction. Where no
+    document has both a lang and a letter nothing can be told, and all stay as they are."""
+    prototypes = learn(docs)
+    if not prototypes:
+        return docs
     aside, place, back = set_aside(docs)
-    out = predict(aside, learn(docs), place["text"]).where(F.col("lang_pred") != UNKNOWN)
+    out = predict(aside, prototypes, place["text"]).where(F.col("lang_pred") != UNKNOWN)
     return back(out.withColumn(place["lang"], F.coalesce(place["lang"], "lang_pred")))

@@ -496,6 +496,12 @@ def test_languages_of_one_script_are_told_apart(spark, pools):
     assert len(got) > 10 and all(r.lang_pred == f"l{r.doc_id % 2}" for r in got)
 
 
+def test_a_corpus_without_labels_stays_as_it_is(spark):
+    rows = [(1, "the cat sat on the mat", None, "s", 0), (2, "12", "en", "s", 0), (3, None, None, None, None)]
+    out = language.keep_known(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3] and out.columns == [x.split()[0] for x in DOCS.split(", ")]
+
+
 def test_products_are_forgotten_not_lost(monkeypatch):
     rng = np.random.default_rng(3)
     prototypes = {"a": rng.normal(size=language.DIMENSIONS), "b": rng.normal(size=language.DIMENSIONS)}
@@ -644,6 +650,27 @@ def test_article_is_found_by_its_ratios(scramble):
         assert html_text.main_text(page).split("\n\n") == article
 
 
+LONG = "A long sentence, with commas in it, goes on for some time and then it ends. "
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><form id=aspnetForm><input type=hidden><article><p>{LONG}</p></article></form></body>", [LONG]),
+        (f"<body><form id=f><div id=menu><a href=x>Home</a></div><div class=body><h2>T</h2><p>{LONG * 3}</p><label>Name</label></div></form></body>", ["T", LONG * 3]),
+        (f"<article><h1>T</h1><p>{LONG * 3}</p><form><p>Subscribe, please.</p><input></form></article>", ["T", LONG * 3]),
+        (f"<ul><li><a href=x>Home</a></li></ul><div class=body><h1>Brief</h1><p>Only this.</p></div><div class=foot><p>{LONG * 3}</p></div>", ["Brief", "Only this."]),
+        (f"<ul><li><a href=x>Home</a></li></ul><article><h1>Brief</h1><p>Only this.</p></article><div class=legal><p>{LONG * 3}</p></div>", ["Brief", "Only this."]),
+        (f"<article><h1>T</h1><p>{LONG * 4}</p><div class=comments>{f'<p>{LONG * 3}</p>' * 3}</div></article>", ["T", LONG * 4]),
+        (f"<div class=story><h1>T</h1>{f'<p>{LONG * 3}</p>' * 3}</div><div class=comments>{f'<div class=comment><p>{LONG * 4}</p></div>' * 8}</div>", ["T", *[LONG * 3] * 3]),
+        (f"<div class=story><h1>T</h1>{f'<p>abcd {LONG * 3}</p>' * 3}</div><div class=comments>{f'<div class=comment><p>{LONG * 4}</p></div>' * 8}</div>", ["T", *["abcd " + LONG * 3] * 3]),
+        (f"<div id=c><div class=sec><h2>A</h2><p>{LONG * 6}</p></div><div class=sec2><h2>B</h2><p>short one, ok.</p></div></div>", ["A", LONG * 6, "B", "short one, ok."]),
+    ],
+)
+def test_pages_of_other_shapes(page, text):
+    assert html_text.main_text(page) == "\n\n".join(x.strip() for x in text)
+
+
 def test_scores_decide():
     _, page = made_page(random.Random(22))
     blocks = html_text.blocks_of(page)
