@@ -15,6 +15,8 @@ from priorline.functions.probability import sigmoid
 from priorline.session import materialize
 
 PASSES, SETTLED = 12, 1e-10
+#: Draws that one task works on.
+AT_ONCE = 250
 
 
 def offset_logistic(rows: DataFrame, features: list[str], label: str, offset: str | None = None, *, l2: float = 0.01, intercept: bool = False) -> dict[str, float]:
@@ -83,14 +85,21 @@ def block_bootstrap(blocks: DataFrame, by: str, total: str = "total", n: str = "
     """Per season the one-sided lower bound of the mean: blocks are drawn with replacement, and the bound is the order
     statistic ceil(alpha * draws) of the draws' means. A draw's j-th block is told by a digest of (season, draw, j), so
     that reruns agree. A season has a block for each week; its means, one for each draw, are sorted as one array."""
-    of = Window.partitionBy(by)
-    held = materialize(blocks.withColumns({"_k": F.row_number().over(of.orderBy("week")) - 1, "_m": F.count(F.lit(1)).over(of)}), "blocks")
-    drawn = held.select(by, "_k", "_m", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+    ordered = F.array_sort(F.collect_list(F.struct("week", F.col(total).cast("double").alias("t"), F.col(n).cast("long").alias("n"))))
+    held = materialize(blocks.groupBy(by).agg(ordered.alias("_b")), "blocks")
+    # A season's blocks, one a week, lie on one row, which goes to as many tasks as there are parts of the draws.
+    parts = held.select(by, "_b", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // AT_ONCE))).alias("_part")).repartition(F.col(by), F.col("_part"))
+    last = F.least((F.col("_part") + 1) * AT_ONCE, F.lit(draws))
+    drawn = parts.select(by, "_b", F.explode(F.sequence(F.col("_part") * AT_ONCE + 1, last)).alias("_draw"))
+
+    picks = drawn.select(by, "_b", "_draw", F.explode(F.sequence(F.lit(0), F.size("_b") - 1)).alias("_k"))
     digest = F.substring(F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col("_draw").cast("string"), F.col("_k").cast("string"))), 1, 8)
-    picked = drawn.select(by, "_draw", (F.conv(digest, 16, 10).cast("long") % F.col("_m")).alias("_k"))
-    means = picked.join(held.select(by, F.col("_k").cast("long").alias("_k"), total, n), [by, "_k"]).groupBy(by, "_draw").agg((F.sum(total) / F.sum(n)).alias("_mean"))
+    picked = picks.select(by, "_draw", F.col("_b")[(F.conv(digest, 16, 10).cast("long") % F.size("_b")).cast("int")].alias("x"))
+    # All picks of a draw are in one task, so what is shuffled is a row for each draw.
+    means = picked.groupBy(by, "_draw").agg((F.sum("x.t") / F.sum("x.n")).alias("_mean"))
     bounds = means.groupBy(by).agg(F.element_at(F.array_sort(F.collect_list("_mean")), math.ceil(alpha * draws)).alias("lower_bound"))
-    whole = held.groupBy(by).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(n).alias("games"), (F.sum(total) / F.sum(n)).alias("mean"))
+    each = held.select(by, F.explode("_b").alias("b"))
+    whole = each.groupBy(by).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("b.n").alias("games"), (F.sum("b.t") / F.sum("b.n")).alias("mean"))
     return whole.join(bounds, by).select(by, "n_blocks", "games", "mean", "lower_bound", (F.col("lower_bound") > 0).alias("passes"))
 
 

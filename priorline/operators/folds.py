@@ -127,3 +127,22 @@ def scalar_kalman(rows: DataFrame, *, prior: float = 0.0, prior_var: float = 25.
 
     chosen = rows.select("player", "day", "seq", "value", "weight")
     return ordered_fold(chosen, by=["player"], order=["day", "seq"], start=start, step=step, schema="player long, day long, seq long, estimate double, variance double")
+
+
+def seasonal_kalman(rows: DataFrame, priors: DataFrame, *, no_prior: float = 0.0, no_prior_var: float = 100.0, prior_var: float = 25.0, drift: float = 1.5, noise: float = 400.0) -> DataFrame:
+    """``scalar_kalman`` that starts anew each season, from the player's prior of that season with variance ``prior_var``
+    or, where there is none, from ``no_prior`` with ``no_prior_var``. rows: season, player, day, seq, value, weight; priors:
+    season, player, prior, one row for each, from earlier seasons alone."""
+
+    def step(state: list, row: tuple) -> tuple:
+        season, player, day, seq, value, weight, prior = row
+        if not state:
+            state += [no_prior, no_prior_var] if prior is None else [prior, prior_var]
+        before, variance = state[0], state[1] + drift
+        gain = variance / (variance + noise / weight) if weight > 0 else 0.0
+        state[:] = [before + gain * (value - before), (1.0 - gain) * variance]
+        return season, player, seq, before, variance, prior is not None
+
+    chosen = rows.select("season", "player", "day", "seq", "value", "weight").join(priors.select("season", "player", "prior"), ["season", "player"], "left")
+    schema = "season int, player long, seq long, estimate double, variance double, had_prior boolean"
+    return ordered_fold(chosen.select("season", "player", "day", "seq", "value", "weight", "prior"), by=["season", "player"], order=["day", "seq"], start=list, step=step, schema=schema)

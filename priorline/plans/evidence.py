@@ -110,3 +110,26 @@ def artifact_lineage(spark, sf_dir):
     tampered = F.when((k == 13) & (F.col("i") == 6), F.sha2(F.lit("tampered"), 256)).otherwise(F.col("input_digest"))
     edges = used.select("path", named(F.col("i")).alias("input_path"), tampered.alias("input_digest"))
     return lineage.prove(a.select("path", "digest"), edges)
+
+
+@query(
+    "select season, player, game_id seq, round(estimate, 6) estimate, round(variance, 6) variance, had_prior from stepped where k > 0",
+    """seasonal as (select g.season, l.player, g.game_date, g.game_id, l.plus_minus::double v, l.minutes::double w from lines l join games g using (game_id)),
+       priors as (select season + 1 season, player, sum(v) / sum(w) * 10 prior from seasonal group by 1, 2 having count(*) >= 5 and sum(w) > 0),
+       ordered as (select s.*, p.prior, row_number() over (partition by season, player order by game_date, game_id) k from seasonal s left join priors p using (season, player)),
+       stepped as (
+         select season, player, 0::bigint k, null::bigint game_id, null::double estimate, null::double variance, prior is not null had_prior, coalesce(prior, 0.0::double) after, case when prior is null then 100.0::double else 25.0 end after_var from ordered where k = 1
+         union all
+         select o.season, o.player, o.k, o.game_id, s.after, s.after_var + 1.5, s.had_prior, case when o.w > 0 then s.after + (s.after_var + 1.5) / (s.after_var + 1.5 + 400.0 / o.w) * (o.v - s.after) else s.after end,
+                case when o.w > 0 then (1 - (s.after_var + 1.5) / (s.after_var + 1.5 + 400.0 / o.w)) * (s.after_var + 1.5) else s.after_var + 1.5 end
+         from stepped s join ordered o on o.season = s.season and o.player = s.player and o.k = s.k + 1)""",
+)
+def kalman_from_priors(spark, sf_dir):
+    """Players' filtered values, which start each season anew: from what the season before says of a player with five games in
+    it, or from nothing, four times as uncertain."""
+    g = views.games(spark, sf_dir).select("game_id", "season", F.datediff("game_date", F.lit("1970-01-01").cast("date")).cast("long").alias("day"))
+    ln = views.lines(spark, sf_dir).join(g, "game_id").select("season", "player", "day", F.col("game_id").alias("seq"), F.col("plus_minus").cast("double").alias("value"), F.col("minutes").cast("double").alias("weight"))
+    ln = materialize(ln, "seasonal")
+    before = ln.groupBy((F.col("season") + 1).alias("season"), "player").agg((F.sum("value") / F.sum("weight") * 10).alias("prior"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("n >= 5 and w > 0")
+    out = folds.seasonal_kalman(ln, before)
+    return out.select("season", "player", "seq", rounded("estimate"), rounded("variance"), "had_prior")

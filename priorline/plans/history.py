@@ -99,14 +99,20 @@ def previous_value(spark, sf_dir):
 def projected_rotation(spark, sf_dir):
     """Players in at least three of the team's last ten games: their values by median minutes, those out of the
     game left out of the sum but not of the weight. Each line goes on to the ten games that can see it."""
-    t = _team_lines(spark, sf_dir)
-    games = t.select("game_id", *TEAM, "game_date", "k").distinct()
-    first = games.withColumn("k", F.min("k").over(Window.partitionBy(*TEAM, "game_date")))
-    ahead = t.select(*TEAM, "player", "minutes", F.explode(F.sequence(F.col("k") + 1, F.col("k") + 10)).alias("k"))
-    pool = ahead.groupBy(*TEAM, "k", "player").agg(F.median("minutes").alias("m"), F.count(F.lit(1)).alias("n")).where("n >= 3")
-    pool = pool.withColumn("v", (F.col("player") * 37 % 200 - 100) / 10.0)
-    plays = F.when((F.col("player") + F.col("game_id")) % 5 != 0, F.col("m") * F.col("v"))
-    found = first.join(pool, [*TEAM, "k"]).groupBy("game_id").agg(F.count(F.lit(1)).alias("pool"), (F.coalesce(F.sum(plays), F.lit(0.0)) / F.sum("m")).alias("value"))
+    t = _team_lines(spark, sf_dir).groupBy(*TEAM, "game_date", "game_id", "k").agg(F.collect_list(F.struct("player", "minutes")).alias("played"))
+    # Games number a team's season without gaps, so ten numbers back are ten rows.
+    ten = Window.partitionBy(*TEAM).orderBy("k").rangeBetween(-10, -1)
+    seen = t.withColumn("lines", F.flatten(F.collect_list("played").over(ten)))
+    pool = rolling.of_day(seen.drop("played"), "lines", TEAM, "game_date", "game_id").select("game_id", "lines")
+    minutes = lambda p: F.array_sort(F.transform(F.filter("lines", lambda x: x["player"] == p), lambda x: x["minutes"]))
+    half = lambda m: (m[F.floor((F.size(m) - 1) / 2).cast("int")] + m[F.floor(F.size(m) / 2).cast("int")]) / 2.0
+    each = F.transform(F.array_distinct(F.transform("lines", lambda x: x["player"])), lambda p: F.struct(p.alias("player"), minutes(p).alias("m")))
+    regular = F.transform(F.filter(each, lambda x: F.size(x["m"]) >= 3), lambda x: F.struct(x["player"].alias("player"), half(x["m"]).alias("m")))
+    value = lambda x: (x["player"] * 37 % 200 - 100) / 10.0
+    plays = lambda x: F.when((x["player"] + F.col("game_id")) % 5 != 0, x["m"] * value(x)).otherwise(0.0)
+    added = lambda f: F.aggregate(F.transform("regular", f), F.lit(0.0), lambda s, v: s + v)
+    found = pool.select("game_id", regular.alias("regular")).where(F.size("regular") > 0)
+    found = found.select("game_id", F.size("regular").cast("long").alias("pool"), (added(plays) / added(lambda x: x["m"])).alias("value"))
     return found.select("game_id", "pool", F.round("value", 9).alias("value"))
 
 
