@@ -17,7 +17,7 @@ DEFAULTS = {
 }
 
 #: Seconds from one release of finished shuffles to the next.
-RELEASE_SECONDS = 5.0
+RELEASE_SECONDS = 2.0
 
 
 def build_session(app: str = "priorline", **conf: str) -> SparkSession:
