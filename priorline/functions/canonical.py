@@ -20,7 +20,7 @@ def _held(value: Column, use: Callable[[Column], Column]) -> Column:
 def shortest_decimal(number: Column) -> Column:
     """A double in the fewest digits that give it again: with an exponent of two digits at least below 1e-4 and from 1e16
     on, else plain and with a point. Minus zero and what isn't finite give null: they have no canonical form.
-    Of two numbers of 17 digits that read as the same double from 9e18 on, the one that Spark prints is taken."""
+    Of two numbers of 17 digits that read as the same double from 4e37 on, the one that Spark prints is taken."""
 
     def told(x: Column) -> Column:
         digits, point = x["digits"], x["point"]
@@ -40,11 +40,11 @@ def shortest_decimal(number: Column) -> Column:
         n = F.length(x["digits"])
 
         def rounded(k: Column) -> Column:
-            unit = F.pow(F.lit(10.0), n - k).cast("long")
-            q = F.floor((x["digits"].cast("decimal(20,0)") + F.floor(unit / 2)) / unit.cast("decimal(20,0)")).cast("string")
+            up = F.when(F.substring(x["digits"], k + 1, F.lit(1)) >= "5", 1).otherwise(0)
+            q = (F.substring(x["digits"], F.lit(1), k).cast("decimal(20,0)") + up).cast("string")
             return F.struct(q.alias("q"), (x["point"] + F.length(q) - k).alias("point"), F.concat(q, F.lit("E"), (x["point"] - k).cast("string")).cast("double").alias("d"))
 
-        fewer = F.get(F.filter(F.transform(F.sequence(F.lit(1), n), rounded), lambda r: r["d"] == x["d"]), F.lit(0))
+        fewer = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(17))), rounded), lambda r: r["d"] == x["d"]), F.lit(0))
         own = F.struct(x["digits"].alias("digits"), x["point"].alias("point"))
         other = _held(fewer, lambda r: F.struct(F.regexp_replace(r["q"], "0+$", "").alias("digits"), r["point"].alias("point")))
         return F.when((n <= 15) & (x["d"] > 2.3e-308), own).otherwise(other)
@@ -55,8 +55,11 @@ def shortest_decimal(number: Column) -> Column:
         return F.struct(F.regexp_replace(x["all"], "^0+|0+$", "").alias("digits"), (x["whole"] - lead + x["e"]).alias("point"), x["d"].alias("d"))
 
     def parted(said: Column) -> Column:
-        exact = (said["d"] >= 1e16) & (said["d"] < 9e18)  # a long has all digits of these
-        parts = F.split(F.when(exact, F.concat(said["d"].cast("long").cast("string"), F.lit("."))).otherwise(said["text"]), "[.E]")
+        # All digits of whole numbers up to 4e37: a long of 62 bits times a power of two.
+        shift = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(said["d"])) - 61, F.lit(0)))
+        whole = (said["d"] / shift).cast("long").cast("decimal(19,0)") * shift.cast("long").cast("decimal(19,0)")
+        exact = (said["d"] >= 1e16) & (said["d"] < 4e37)
+        parts = F.split(F.when(exact, F.concat(whole.cast("string"), F.lit("."))).otherwise(said["text"]), "[.E]")
         return F.struct(F.concat(parts[0], parts[1]).alias("all"), F.length(parts[0]).alias("whole"), F.coalesce(F.get(parts, F.lit(2)).cast("int"), F.lit(0)).alias("e"), said["d"].alias("d"))
 
     d = number.cast("double")

@@ -15,7 +15,7 @@ def test_numbers_equal_json(spark):
     rng = random.Random(1)
     numbers = [5e-324, 1e-323, 2.2250738585072014e-308, 1e22, 1e23, 1e16, 9999999999999998.0, 1e-4, 0.0001234, 1e-5, 0.0, 2e-3, 1.7976931348623157e308, 1e-07, -1.5, 100.0]
     numbers += [round(rng.uniform(-1000, 1000), rng.randrange(8)) for _ in range(3000)] + [float(rng.randrange(-(10**9), 10**9)) * 10.0 ** rng.randrange(-12, 9) for _ in range(3000)]
-    numbers += [x for x in (struct.unpack("d", rng.randbytes(8))[0] for _ in range(3000)) if math.isfinite(x) and not 9e18 < abs(x) < 1e40]
+    numbers += [x for x in (struct.unpack("d", rng.randbytes(8))[0] for _ in range(3000)) if math.isfinite(x) and abs(x) < 4e37]
     rows = spark.createDataFrame([(x,) for x in numbers if x or math.copysign(1, x) > 0], "d double").select("d", canonical.shortest_decimal(F.col("d")).alias("t")).collect()
     assert [(r.d, r.t) for r in rows if r.t != json.dumps(r.d)] == []
     odd = spark.createDataFrame([(-0.0,), (math.nan,), (math.inf,), (None,)], "d double").select(canonical.shortest_decimal(F.col("d")).alias("t")).collect()
