@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,11 +43,32 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, so a
-    lost executor costs the reader nothing. ``remove`` takes it away again."""
+#: The folders written within each open block of ``steps``, the innermost last.
+_open_steps: ContextVar[tuple[list[str], ...]] = ContextVar("open_steps", default=())
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[list[str]]:
+    """What ``materialize`` writes within the block goes when the block ends, by an error too; what is written with
+    ``outlives`` belongs to the block around it. Nothing that is computed later may read what goes."""
+    own: list[str] = []
+    token = _open_steps.set((*_open_steps.get(), own))
+    try:
+        yield own
+    finally:
+        _open_steps.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = (), outlives: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, so a lost executor costs the
+    reader nothing. A block of ``steps`` takes it away again, or ``remove``."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    owners = _open_steps.get()[: -1 if outlives else None]
+    if owners:
+        owners[-1].append(path)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     _release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)

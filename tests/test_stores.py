@@ -204,3 +204,31 @@ def test_strict_objects(spark, line, verdict):
     df = spark.createDataFrame([(line,)], "line string")
     assert df.select(files.strict_verdict(F.col("line"), {"name": "string", "value": "number"})).head()[0] == verdict
 
+
+
+def test_steps_go_with_their_block(spark, tmp_path):
+    from pathlib import Path
+
+    from priorline.session import materialize, steps
+
+    there = lambda df: all(Path(x.removeprefix("file://")).exists() for x in files[df])
+    files = {}
+
+    def written(n, **more):
+        df = materialize(spark.range(n), "kept", **more)
+        files[df] = df.inputFiles()
+        return df
+
+    with steps(spark):
+        outer = written(3)
+        with steps(spark):
+            inner, handed = written(4), written(5, outlives=True)
+        assert not there(inner) and there(handed) and there(outer) and handed.count() == 5
+        last = written(6, outlives=True)
+    assert not there(outer) and not there(handed) and there(last) and last.count() == 6
+    with pytest.raises(ZeroDivisionError):
+        with steps(spark):
+            lost = written(2)
+            raise ZeroDivisionError
+    assert not there(lost)
+    assert there(written(1))
