@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from priorline.llm.common import pieces, release_memory, set_aside
 from priorline.llm.components import components
 from priorline.llm.prints import Prints, keyed_texts, marked, mix, uid
-from priorline.session import materialize
+from priorline.session import materialize, steps
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 32, 1e-6
@@ -371,7 +371,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with the columns of ``docs``: the one with the least doc_id, of rows that
     share that id one. Documents without a shingle all stay."""
     aside, at, back = set_aside(docs)
-    found = materialize(_join(docs, threshold), "found")
+    with steps(docs.sparkSession):
+        found = materialize(_join(docs, threshold), "found", outlives=True)
     least = F.min(F.struct("doc", "uid")).alias("one")
     named = found.groupBy("label").agg(least, F.count("*").alias("size")).where("size > 1").select("label", F.col("one.uid").alias("stays"))
     gone = materialize(found.join(named, "label").select("uid", (F.col("uid") == F.col("stays")).alias("names")).distinct(), "gone")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from priorline.llm.common import release_memory, set_aside
 from priorline.llm.prints import Prints, keyed_texts, marked, mix, uid
-from priorline.session import materialize, remove, work_dir
+from priorline.session import materialize, remove, steps, work_dir
 
 LENGTH, GRAM = 400, 64
 #: The pipeline cuts repeats from so many bytes on: over 50 words of any of the languages have more.
@@ -279,27 +279,38 @@ def _one_by_one(data: np.ndarray, x: dict, length: int) -> list[pa.Array]:
     return [_digests(data, begins, begins + length), pa.array(begins.astype(np.int32)), pa.array(np.full(n, x["asked"]))]
 
 
+def _matched(keyed: DataFrame, batches: int, length: int) -> DataFrame:
+    """The sets of strings of anchors whose heads stand anywhere else; arrays and anchors go once these are written."""
+    spark = keyed.sparkSession
+    with steps(spark):
+        numbered = _anchor_rows(keyed, length).withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int"))
+        entries = materialize(numbered, "anchors", ("batch",))
+        with steps(spark) as arrays:
+            family = SuffixFamily(spark)
+            arrays.append(family.folder)
+            found = [family.add(entries.where(F.col("batch") == b)) for b in range(batches)]
+            heads = found[0]
+            for more in found[1:]:
+                heads = heads.unionByName(more)
+            heads = materialize(heads.distinct(), "matches", outlives=True)
+        sets = entries.join(heads, "head").select(F.xxhash64("head").alias("core"), *_names(ANCHORS)[1:], F.lit(True).alias("asked"))
+        return materialize(sets, "matched", outlives=True)
+
+
 def repeated_intervals(keyed: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
-    """(uid, start, end): byte ranges that repeated strings cover, overlapping ones among them."""
-    numbered = _anchor_rows(keyed, length).withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int"))
-    entries = materialize(numbered, "anchors", ("batch",))
-    family = SuffixFamily(keyed.sparkSession)
-    found = [family.add(entries.where(F.col("batch") == b)) for b in range(batches)]
-    heads = found[0]
-    for more in found[1:]:
-        heads = heads.unionByName(more)
-    heads = materialize(heads.distinct(), "matches")
-    matched = entries.join(heads, "head").select(F.xxhash64("head").alias("core"), *_names(ANCHORS)[1:], F.lit(True).alias("asked"))
-    matched = materialize(matched, "matched")
-    whole, mixed = _resolve(matched, "spans", length)
-    mixed = materialize(mixed, "mixed")
-    sets = materialize(_of_texts(marked(keyed, mixed)[0], mixed, BLOCKS, partial(_cut_set, length=length)), "sets")
-    whole_sets, mixed_sets = _resolve(sets, "set-spans", length)
-    mixed_sets = materialize(mixed_sets, "mixed-sets")
-    strings = materialize(_of_texts(marked(keyed, mixed_sets)[0], mixed_sets, STRINGS, partial(_one_by_one, length=length)), "strings")
-    repeated = materialize(strings.groupBy("string").agg(F.count("*").alias("copies")).where("copies > 1").select("string"), "repeated")
-    single = strings.where("asked").join(repeated, "string")
-    return whole.unionByName(whole_sets).unionByName(single.select("uid", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+    """(uid, start, end): byte ranges that repeated strings cover, overlapping ones among them, each once; a written table.
+    All other steps are gone from the shared folder by then."""
+    with steps(keyed.sparkSession):
+        matched = _matched(keyed, batches, length)
+        whole, mixed = _resolve(matched, "spans", length)
+        mixed = materialize(mixed, "mixed")
+        sets = materialize(_of_texts(marked(keyed, mixed)[0], mixed, BLOCKS, partial(_cut_set, length=length)), "sets")
+        whole_sets, mixed_sets = _resolve(sets, "set-spans", length)
+        mixed_sets = materialize(mixed_sets, "mixed-sets")
+        strings = materialize(_of_texts(marked(keyed, mixed_sets)[0], mixed_sets, STRINGS, partial(_one_by_one, length=length)), "strings")
+        repeated = materialize(strings.groupBy("string").agg(F.count("*").alias("copies")).where("copies > 1").select("string"), "repeated")
+        single = strings.where("asked").join(repeated, "string").select("uid", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+        return materialize(whole.unionByName(whole_sets).unionByName(single).distinct(), "intervals", outlives=True)
 
 
 def merge_intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +331,7 @@ def _cut(text: pa.Scalar, start: np.ndarray, end: np.ndarray) -> tuple[bytes, in
 
 def _with_intervals(keyed: DataFrame, batches: int, length: int) -> tuple[DataFrame, DataFrame]:
     """Documents that may lose bytes, with their ranges (null where a clash of marks brought them), and the others."""
-    intervals = materialize(repeated_intervals(keyed, batches, length).distinct(), "intervals")
+    intervals = repeated_intervals(keyed, batches, length)
     touched, clean = marked(keyed, intervals)
     per_doc = intervals.groupBy("uid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     return touched.join(per_doc, "uid", "left").select(*keyed.columns, "start", "end"), clean
@@ -361,7 +372,7 @@ def apply_dedup(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH) -
     too. Documents that had text and have none left go; n_chars, where there is one, is counted anew."""
     aside, place, back = set_aside(docs)
     keyed = aside.withColumn("uid", uid(place["doc_id"], place["text"]))
-    intervals = materialize(repeated_intervals(keyed_texts(docs), batches, length).distinct(), "intervals")
+    intervals = repeated_intervals(keyed_texts(docs), batches, length)
     touched, clean = marked(keyed, intervals)
     per_doc = intervals.groupBy("uid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     own = aside.columns
