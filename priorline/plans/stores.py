@@ -1,7 +1,8 @@
-"""Ledgers that are appended to, tables published together, archives as sources and timers in state."""
+"""Ledgers that are appended to, tables published together, packs of snapshots, archives as sources and timers in state."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.operators import ledger
@@ -9,7 +10,7 @@ from priorline.plans import views
 from priorline.plans.checks import _CHAIN_SQL
 from priorline.plans.records import _new_path
 from priorline.plans.registry import Registry
-from priorline.sources import archive, store
+from priorline.sources import archive, packs, store
 from priorline.streaming import pending, timers
 
 STORES = Registry()
@@ -89,3 +90,74 @@ def stream_timers(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return out.select("user_id", F.col("day").cast("date").alias("day"), "timer", "poll_id")
+
+
+#: Snapshots that never reach the pack, and those whose payload changes in it.
+_LOST, _CHANGED = "event_id % 89 = 5", "event_id % 97 = 3"
+
+
+def _evidence_pack(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each report a snapshot, in a pack that was tampered with, and the records that were bound to the snapshots as they
+    came: one for each report, five hours after it, on that report and the one of the next number."""
+    path, written = _new_path(spark, "pack"), _new_path(spark, "evidence")
+    cents = F.round((F.col("minutes") * 100).cast("decimal(20,6)")).cast("long").cast("string")
+    r = views.reports(spark, sf_dir).withColumn("body", F.concat_ws("|", F.col("event_id").cast("string"), "status", cents))
+    r = r.select("event_id", F.concat(F.lit("team "), F.col("team").cast("string")).alias("source"), F.col("event_id").cast("string").alias("version"), F.col("report_time").alias("taken"), F.col("body").cast("binary").alias("payload"))
+    packs.write_pack(r.where(f"not ({_LOST})"), path)
+    # The tampered copy of the pack: the payload of some lines is replaced, their digests stay.
+    tampered = _new_path(spark, "tampered-pack")
+    line = F.col("value")
+    number = F.get_json_object(line, "$.version").cast("long")
+    other = F.regexp_replace(line, '"payload":"[^"]*"', '"payload":"b3RoZXI="')
+    spark.read.text(path).select(F.when(number % 97 == 3, other).otherwise(line).alias("value")).write.text(tampered)
+    own = r.select("event_id", F.struct("source", "version", F.sha2("payload", 256).alias("sha256")).alias("ref"), "taken")
+    after = own.select((F.col("event_id") - 1).alias("event_id"), F.col("ref").alias("ref_2"))
+    both = own.join(after, "event_id", "left")
+    refs = F.filter(F.array("ref", "ref_2"), lambda x: x.isNotNull()).alias("evidence")
+    packs.write_evidence(both.select("event_id", F.unix_micros(F.col("taken") + F.expr("interval 5 hours")).alias("cutoff_us"), refs), written)
+    read = spark.read.schema("event_id long, cutoff_us long, evidence array<struct<source string, version string, sha256 string>>").json(written)
+    return packs.read_pack(spark, tampered), read.withColumn("cutoff", F.timestamp_micros("cutoff_us"))
+
+
+_VERDICT = "case when e.{lost} then 'missing snapshot' when e.{changed} then 'changed payload' when e.report_time > r.report_time + interval 5 hour then 'late snapshot' end"
+
+
+@query(
+    """select event_id, count(*) refs, string_agg(place || ' ' || violation, '; ' order by place) violations, coalesce(sum(case when violation is null then (minutes * 100)::bigint end), 0)::bigint total from bound group by 1""",
+    f"""bound as (select r.event_id, p place, e.minutes, {_VERDICT.format(lost=_LOST, changed=_CHANGED)} violation from reports r, (select unnest([0, 1]) p) x join reports e on e.event_id = r.event_id + p)""",
+)
+def evidence_bundles(spark, sf_dir):
+    """Records read back with their nested evidence, each reference held to the pack: missing, changed and late snapshots
+    come out as violations of their own, what holds is read out of the payloads."""
+    pack, records = _evidence_pack(spark, sf_dir)
+    bound = packs.bind(records, pack, key="event_id", cutoff="cutoff")
+    told = F.array_sort(F.collect_list(F.when(F.col("violation").isNotNull(), F.concat_ws(" ", F.col("place").cast("string"), "violation"))))
+    total = F.coalesce(F.sum(packs.fields(F.col("payload"))[2].cast("long")), F.lit(0))
+    out = bound.groupBy("event_id").agg(F.count(F.lit(1)).alias("refs"), told.alias("told"), total.cast("long").alias("total"))
+    return out.select("event_id", "refs", F.when(F.size("told") > 0, F.array_join("told", "; ")).alias("violations"), "total")
+
+
+_TAKEN = "game_date + interval 1 hour * (game_id % 5 - 1)"
+
+
+@query(
+    "select season, verdict, count(*) n, sum(hs - as_)::bigint margin from finals group by 1, 2",
+    f"""finals as (select season, hs, as_, case when game_id % 41 = 2 then 'missing snapshot' when game_id % 43 = 1 then 'repeated version' when {_TAKEN} < game_date then 'early snapshot'
+                           when game_id % 53 = 7 then 'other score' else 'ok' end verdict from games)""",
+)
+def bound_resolutions(spark, sf_dir):
+    """Final scores bound to the snapshots that show them: one taken before the end can't, a version that stands twice
+    decides nothing, and the payload has to show the recorded score."""
+    path, end = _new_path(spark, "finals"), F.col("game_date").cast("timestamp")
+    g = views.games(spark, sf_dir).select("season", "game_id", "hs", "as_", end.alias("ended"), (F.unix_micros(end) + (F.col("game_id") % 5 - 1) * 3_600_000_000).alias("us"))
+    shown = F.concat_ws("|", F.col("hs").cast("string"), (F.col("as_") + F.when(F.col("game_id") % 53 == 7, 1).otherwise(0)).cast("string"))
+    g = g.withColumns({"source": F.lit("finals"), "version": F.col("game_id").cast("string"), "payload": shown.cast("binary"), "taken": F.timestamp_micros("us")})
+    copies = F.when(F.col("game_id") % 43 == 1, 2).otherwise(1)
+    packs.write_pack(g.where("game_id % 41 <> 2").select("source", "version", "taken", "payload", F.explode(F.array_repeat(F.lit(0), copies)).alias("_")).drop("_"), path)
+    refs = F.array(F.struct("source", "version", F.sha2("payload", 256).alias("sha256"))).alias("evidence")
+    bound = packs.bind(g.select("game_id", "ended", refs), packs.read_pack(spark, path), key="game_id", cutoff="ended", after=True)
+    score = packs.fields(F.col("payload"))
+    same = (score[0].cast("int") == F.col("hs")) & (score[1].cast("int") == F.col("as_"))
+    joined = g.select("game_id", "season", "hs", "as_").join(bound.select("game_id", "payload", "violation"), "game_id")
+    verdict = F.coalesce("violation", F.when(same, "ok").otherwise("other score"))
+    return joined.groupBy("season", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hs") - F.col("as_")).alias("margin"))
