@@ -19,6 +19,7 @@ from priorline.plans.lineups import LINEUPS
 from priorline.plans.models import MODELS
 from priorline.plans.records import RECORDS
 from priorline.plans.shapes import SHAPES
+from priorline.plans.season_pass import SEASON_PASS
 from priorline.plans.stores import STORES
 from priorline.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from priorline.streaming import capture, pending
@@ -536,6 +537,6 @@ def due_work(spark, sf_dir):
 WHOLE = ("asof_report", "asof_containing", "asof_horizons", "tips_in_week", "due_work", "prompt_text", "arm_mixture")
 QUERIES |= {f"{name}_whole": QUERIES[name] for name in WHOLE}
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in WHOLE}
-for part in (HISTORY, CHECKS, EVIDENCE, LEARNING, LINEUPS, MODELS, RECORDS, SHAPES, STORES):
+for part in (HISTORY, CHECKS, EVIDENCE, LEARNING, LINEUPS, MODELS, RECORDS, SEASON_PASS, SHAPES, STORES):
     QUERIES |= part.queries
     ORACLE_SQL |= part.sql
