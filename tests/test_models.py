@@ -130,3 +130,39 @@ def test_late_results_change_later_ratings_only(spark):
     a, b = rated(on_time), rated(late)
     assert a[2] > 1500 and b[2] == 1500  # the snapshot before the end tells nothing, the late one comes after game 2
     assert a[1] == b[1] == 1500 and b[3] > 1510 and a[4] == a[3] and b[4] == b[3]  # games 3 and 4 are never resolved
+
+
+def test_season_pass_equals_a_loop_over_games(spark):
+    """Each team's games replayed one date at a time: what a date's games know is what was recorded before it."""
+    from collections import defaultdict
+    from itertools import groupby
+
+    from priorline.plans import season_pass, views
+
+    sf = "/root/testdata/sf0.001"
+    lines = defaultdict(list)
+    for r in views.lines(spark, sf).collect():
+        lines[r.game_id, r.player % 2].append((r.player, r.minutes))
+    found = {(r.game_id, r.team): r for r in season_pass.season_pass(spark, sf).collect()}
+    rows = sorted(views.team_games(spark, sf).collect(), key=lambda r: (r.season, r.team, r.game_date, r.game_id))
+    assert len(found) == len(rows) > 1000
+    for _, team in groupby(rows, key=lambda r: (r.season, r.team)):
+        past = []
+        for day, games in groupby(team, key=lambda r: r.game_date):
+            games = list(games)
+            ten, week = past[-10:], [g for g in past if 1 <= (day - g.game_date).days <= 7]
+            last = lines[past[-1].game_id, past[-1].is_away] if past else []
+            minutes = sum(m for _, m in last)
+            window = {p for g in past[-11:-1] for p, _ in lines[g.game_id, g.is_away]}
+            earlier = {p for p, _ in lines[past[-2].game_id, past[-2].is_away]} if len(past) > 1 else set()
+            for g in games:
+                r = found[g.game_id, g.team]
+                assert (r.games_7d, r.road_7d) == (len(week), sum(x.is_away for x in week))
+                assert r.rest_days == ((day - past[-1].game_date).days - 1 if past else 0)
+                assert r.back_to_back == bool(past and (day - past[-1].game_date).days == 1)
+                assert r.roster == pytest.approx(sum(m for p, m in last if p in window) / minutes if len(past) > 1 and minutes else 1.0, abs=1e-6)
+                assert r.lineup == pytest.approx(len({p for p, _ in last} & earlier) / len(last) if len(past) > 1 and last else 1.0, abs=1e-6)
+                assert r.net == pytest.approx(sum(x.pf - x.pa for x in ten) * 100 / sum(x.pf + x.pa for x in ten) if ten else 0.0, abs=1e-6)
+                assert r.player_value == pytest.approx(sum(m * (p * 37 % 200 - 100) / 10 for p, m in last) / minutes if minutes else 0.0, abs=1e-6)
+                assert r.strength == pytest.approx(sum(1400 + x.opp * 37 % 200 for x in ten) / len(ten) if ten else 1500.0, abs=1e-6)
+            past += games
