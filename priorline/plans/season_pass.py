@@ -45,7 +45,7 @@ placed as (select *, arena b, (25 + a % 6 * 4)::double lat_a, (-120 + a % 10 * 5
 def season_pass(spark, sf_dir):
     """Eleven features of each side from games of earlier dates in its season: rest, second day running, games and road games
     of the week, miles and hours from the last arena, continuity of the roster and of the lineup, net rating, the last
-    game's value by minutes, and the strength of the last ten opponents. Rows are shuffled once, by team and season; all windows
+    game's value by minutes, and the strength of the last ten opponents. Beside the lines of games, rows are shuffled once, by team and season; all windows
     stand on that, and what one row needs of the games before is at most twelve games' lines."""
     side = (F.col("player") % 2).cast("int").alias("is_away")
     played = F.array_sort(F.collect_list(F.struct("player", "minutes"))).alias("played")
