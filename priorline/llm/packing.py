@@ -5,11 +5,11 @@ a first piece with what is left over. Pieces are dealt by hash into groups of bo
 packs in parallel: best fit in order of size, then a local search over the bins that aren't full. The
 emptiest bin gives its pieces away: one moves into another bin's gap, or one or two of them change
 places with a smaller piece of another bin, always so that the other bin fills up and the sum of squared
-fills grows, until the bin is empty or no exchange is left. Bins that stay underfull in their groups are
-dealt anew, in groups of that size again, and packed once more.
+fills grows, until the bin is empty or no exchange is left. Bins that aren't full in their groups are
+dealt anew, whole, in groups of that size again, and packed once more.
 
-The search is bounded: MOST_EXCHANGES out of a bin, MOST_ROUNDS over all bins, pairs of a bin's eight largest pieces
-and the eight nearest sums. A bin cut off by a bound stays as full as it is; README has what the bounds cost.
+Within a group the search takes all pieces and pairs of a bin and all sums, and ends only when no move or exchange is
+left or the number of bins meets its lower bound. Rounds over groups end when one frees less than a bin a group.
 
 Defined cases: a null or empty text is a piece of one end id; documents of any length are cut; equal
 lengths are taken in order of (doc_id, piece); rows that repeat are packed as often as they come; an
@@ -22,6 +22,7 @@ import bisect
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,8 @@ from priorline.llm.tokens import AT_ONCE, FEW_KNOWN, MOST_KNOWN, encoder
 from priorline.session import materialize
 
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
-#: Pieces that one task packs at most, about; exchanges out of one bin at most, and rounds over all bins.
-GROUP_PIECES, MOST_EXCHANGES, MOST_ROUNDS = 20_000, 200, 8
-#: A bin with more free places than this is dealt anew in the second round.
-UNDERFULL = 16
+#: Pieces that one task packs at most, about.
+GROUP_PIECES = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, fill long"
 
@@ -108,16 +107,17 @@ def _local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> l
     least = fewest(lengths, capacity)
     open_bins = {b for b in range(len(bins)) if fill[b] < capacity}
     used = len(bins)
-    # For each sum of a piece and its bin's free places: pieces that could make way for one of that size.
-    makes_way: dict[int, list[tuple[int, int]]] = {}
+    # For each sum of a piece and its bin's free places, by the piece's length: pieces that could make way for one of that size.
+    makes_way: dict[int, dict[int, list[tuple[int, int]]]] = {}
+    sums: list[int] = []
 
     def offer(b: int) -> None:
         for i in bins[b]:
-            makes_way.setdefault(lengths[i] + capacity - fill[b], []).append((b, i))
-
-    for b in open_bins:
-        offer(b)
-    sums = sorted(makes_way)
+            key = lengths[i] + capacity - fill[b]
+            if key not in makes_way:
+                makes_way[key] = {}
+                bisect.insort(sums, key)
+            makes_way[key].setdefault(lengths[i], []).append((b, i))
 
     def changed(b: int) -> None:
         if fill[b] == capacity or not bins[b]:
@@ -125,66 +125,95 @@ def _local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> l
             return
         offer(b)
         bisect.insort(rooms, (capacity - fill[b], b))
-        for i in bins[b]:
-            at = bisect.bisect_left(sums, key := lengths[i] + capacity - fill[b])
-            if at == len(sums) or sums[at] != key:
-                sums.insert(at, key)
 
-    for _ in range(MOST_ROUNDS):
-        before = sum(x * x for x in fill)
+    for b in open_bins:
+        offer(b)
+    moved: int | None = 0
+    while moved is not None and used > least:  # until a round finds nothing; each exchange adds to the sum of squared fills
+        moved = None
         for source in sorted(open_bins, key=lambda b: fill[b]):
             rooms = sorted((capacity - fill[b], b) for b in open_bins if b != source)
-            for _ in range(MOST_EXCHANGES):
-                if used <= least or source not in open_bins:
-                    break
-                moved = _give_away(source, bins, lengths, fill, capacity, rooms, makes_way, sums, open_bins)
-                if moved is None:
+            was = fill[source]
+            while used > least and source in open_bins:
+                target = _give_away(source, bins, lengths, fill, capacity, rooms, makes_way, sums, open_bins)
+                if target is None:
                     break
-                changed(moved)
+                moved = target
+                changed(target)
                 used -= not bins[source]
-            changed(source)
-        if used <= least or before == sum(x * x for x in fill):
-            break
+            if fill[source] != was:
+                changed(source)
     return [b for b in bins if b]
 
 
 def _give_away(source, bins, lengths, fill, capacity, rooms, makes_way, sums, open_bins) -> int | None:
     """One move or exchange out of ``source``; the bin that filled up, or None where there is none."""
-    for i in sorted(bins[source], key=lambda i: -lengths[i]):  # a move, into the smallest gap that takes it
-        at = bisect.bisect_left(rooms, (lengths[i], -1))
+    own = sorted({lengths[i]: i for i in bins[source]}.items(), reverse=True)  # pieces of one length are alike
+    for n, i in own:  # a move, into the smallest gap that takes it
+        at = bisect.bisect_left(rooms, (n, -1))
         while at < len(rooms):
             room, b = rooms[at]
-            if b in open_bins and capacity - fill[b] == room and fill[b] + lengths[i] > fill[source]:
+            if b not in open_bins or capacity - fill[b] != room:
+                del rooms[at]
+            elif fill[b] + n <= fill[source]:  # else squared fill wouldn't grow; emptier bins stand behind this one
+                break
+            else:
                 bins[source].remove(i)
                 bins[b].append(i)
-                fill[source] -= lengths[i]
-                fill[b] += lengths[i]
+                fill[source] -= n
+                fill[b] += n
                 return b
-            if b in open_bins and capacity - fill[b] == room:
-                at += 1
+    room = capacity - fill[source]
+    for size, given in _offers(bins[source], lengths):  # one for one, two for one
+        # A sum of size + room or more leaves the other bin no fuller than this one is.
+        for key in sums[bisect.bisect_left(sums, size) : bisect.bisect_left(sums, size + room)]:
+            found = _standing(makes_way[key], key, size, source, bins, lengths, fill, capacity, open_bins)
+            if found is None:
+                continue
+            b, j = found
+            for i in given:
+                bins[source].remove(i)
+            bins[b].remove(j)
+            bins[source].append(j)
+            bins[b].extend(given)
+            fill[source] += lengths[j] - size
+            fill[b] += size - lengths[j]
+            return b
+    return None
+
+
+def _offers(members: list[int], lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """All sums of one or two of a bin's pieces, largest first, each with pieces that have it."""
+    alike: dict[int, list[int]] = {}
+    for i in members:
+        alike.setdefault(lengths[i], []).append(i)
+    found: dict[int, tuple[int, ...]] = {}
+    for n, at in alike.items():
+        for m, other in alike.items():
+            if n < m:
+                found[n + m] = (at[0], other[0])
+        if len(at) > 1:
+            found.setdefault(2 * n, (at[0], at[1]))
+    return sorted((found | {n: (at[0],) for n, at in alike.items()}).items(), reverse=True)
+
+
+def _standing(entries, key, size, source, bins, lengths, fill, capacity, open_bins) -> tuple[int, int] | None:
+    """The bin and its shortest piece below ``size`` that still make up the sum ``key``; what no longer does goes."""
+    for n in sorted(entries):
+        if n >= size:
+            return None
+        at = len(entries[n]) - 1
+        while at >= 0:
+            b, j = entries[n][at]
+            if b == source:  # its entries come back when it has changed
+                at -= 1
+            elif b not in open_bins or capacity - fill[b] != key - n or j not in bins[b]:
+                del entries[n][at]
+                at -= 1
             else:
-                del rooms[at]
-    own = sorted(bins[source], key=lambda i: -lengths[i])
-    offers = [(lengths[i], (i,)) for i in own] + [(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(own[:8]) for j in own[k + 1 : 8]]
-    for size, given in sorted(offers, reverse=True):  # one for one, two for one
-        at = bisect.bisect_left(sums, size)
-        for key in sums[at : at + 8]:
-            entries = makes_way[key]
-            while entries:
-                b, j = entries[-1]
-                if b not in open_bins or b == source or j not in bins[b] or lengths[j] + capacity - fill[b] != key:
-                    entries.pop()
-                    continue
-                if lengths[j] < size and fill[b] - lengths[j] + size > fill[source]:  # else squared fill wouldn't grow
-                    for i in given:
-                        bins[source].remove(i)
-                    bins[b].remove(j)
-                    bins[source].append(j)
-                    bins[b].extend(given)
-                    fill[source] += lengths[j] - size
-                    fill[b] += size - lengths[j]
-                    return b
-                break
+                return b, j
+        if not entries[n]:
+            del entries[n]
     return None
 
 
@@ -215,14 +244,19 @@ def pack_pieces(cut_pieces: DataFrame, capacity: int = CAPACITY, group_pieces: i
     def run(table: pa.Table) -> pa.Table:
         return _pack_group(table, capacity)
 
-    once = materialize(dealt.groupBy("group").applyInArrow(run, PLACED), "packed")
-    if groups == 1:
-        return once.drop("fill")
-    again = once.where(F.col("fill") < capacity - UNDERFULL)
-    groups_again = max(1, math.ceil(again.count() / group_pieces))
-    again = again.select(*names, (groups + F.pmod(F.xxhash64("sequence_id"), F.lit(groups_again))).cast("long").alias("group"))
-    packed_again = again.groupBy("group").applyInArrow(run, PLACED)
-    return once.where(F.col("fill") >= capacity - UNDERFULL).unionByName(packed_again).drop("fill")
+    packed = materialize(dealt.groupBy("group").applyInArrow(run, PLACED), "packed")
+    full, taken = [], groups
+    while groups > 1:
+        again = packed.where(F.col("fill") < capacity)
+        rows, before = again.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        full.append(packed.where(F.col("fill") == capacity))
+        groups = max(1, math.ceil(rows / group_pieces))
+        dealt = again.select(*names, (taken + F.pmod(F.xxhash64("sequence_id"), F.lit(groups))).cast("long").alias("group"))
+        packed = materialize(dealt.groupBy("group").applyInArrow(run, PLACED), "packed")
+        taken += groups
+        if before - packed.where(F.col("offset") == 0).count() < groups:
+            break
+    return reduce(DataFrame.unionByName, [*full, packed]).drop("fill")
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
