@@ -18,6 +18,14 @@ def prior_days(by: list[str], day: str, first: int | None = None):
     return Window.partitionBy(*by).orderBy(day_number(day)).rangeBetween(back, -1)
 
 
+def count_between(by: list[str], at: Column, first: int, last: int) -> Column:
+    """How many rows lie from ``first`` to ``last`` of the row's own ``at``: the running count up to ``last`` less the one
+    before ``first``. Each row enters a running count once; a frame that slides is summed anew at every step, which takes
+    the rows times those of a frame."""
+    up_to = lambda end: F.count(F.lit(1)).over(Window.partitionBy(*by).orderBy(at).rangeBetween(Window.unboundedPreceding, end))
+    return up_to(last) - up_to(first - 1)
+
+
 def load_features(rows: DataFrame, *, by: list[str], day: str, away: str) -> DataFrame:
     """rest_days, back_to_back, games and road games of the last seven days."""
     last = F.max(day_number(day)).over(prior_days(by, day))

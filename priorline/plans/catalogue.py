@@ -514,8 +514,8 @@ def artifact_contract(spark, sf_dir):
 @query
 def tips_in_week(spark, sf_dir):
     """A team's tipoffs in the seven days before each, to the microsecond."""
-    week = Window.partitionBy("team").orderBy(F.unix_micros("tipoff")).rangeBetween(-7 * 86_400_000_000, -1)
-    return views.tips(spark, sf_dir).select("tip_id", "team", F.count(F.lit(1)).over(week).alias("n"))
+    week = rolling.count_between(["team"], F.unix_micros("tipoff"), -7 * 86_400_000_000, -1)
+    return views.tips(spark, sf_dir).select("tip_id", "team", week.alias("n"))
 
 
 @query
