@@ -86,7 +86,7 @@ def stream_timers(spark, sf_dir):
     polls = s.select("user_id", F.to_date("ts").cast("string").alias("day"), F.col("event_id").alias("poll_id"), "ts", F.unix_millis("ts").alias("polled"), evening.alias("starts"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = pending.run_available(timers.timed_captures(polls, {"user_id": "long", "day": "string"}), "timers", "append")
+        out = pending.run_available(timers.timed_captures(polls, {"user_id": "long", "day": "string"}, shared=["day"]), "timers", "append")
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return out.select("user_id", F.col("day").cast("date").alias("day"), "timer", "poll_id")

@@ -24,3 +24,31 @@ def test_counts_of_a_range_equal_a_loop_and_slide_over_nothing(spark):
     for name in ("tips_in_week", "tips_in_week_whole"):
         frames = plan(catalogue.QUERIES[name](spark, SF)).split("specifiedwindowframe(")[1:]
         assert frames and all("unboundedpreceding" in x.split(",")[1] for x in frames)
+
+
+def test_events_that_share_a_start_are_one_group_of_state(spark, tmp_path):
+    """As groups and each alone, in two batches: the same captures, of withdrawn and moved events too."""
+    from priorline.streaming import timers
+
+    hour, rng = 3_600_000, random.Random(7)
+    # One user has no number; starts move by a poll, and a few polls withdraw the event.
+    rows = [(rng.choice([None, 2**60 + 1, 3, 4, 5, 6, 7, 8]), f"day {d}", 100 * d + k, d * 24 * hour + rng.randrange(9, 20) * hour, None if rng.random() < 0.1 else (d * 24 + rng.choice([20, 20, 20, 21])) * hour) for d in range(3) for k in range(40)]
+    rows.append((0, "the end", 999, 10 * 24 * hour, 99 * 24 * hour))
+    df = spark.createDataFrame(rows, "user_id long, day string, poll_id long, polled long, starts long").withColumn("ts", F.timestamp_millis("polled"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        fired = []
+        for shared in (None, ["day"]):
+            got, source = [], f"{tmp_path}/{shared}"
+            for part in ("polled < 120000000", "polled >= 120000000"):
+                df.where(part).coalesce(1).write.mode("append").parquet(source)
+                stream = timers.timed_captures(spark.readStream.schema(df.schema).parquet(source), {"user_id": "long", "day": "string"}, shared=shared, buckets=2)
+                query = stream.writeStream.foreachBatch(lambda b, n, got=got: got.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{source}-state").outputMode("append").trigger(availableNow=True).start()
+                query.awaitTermination()
+            fired.append(sorted(got, key=str))
+        assert len(fired[0]) > 20 and fired[0] == fired[1]
+        assert {r[0] for r in fired[1]} >= {None, 2**60 + 1}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
