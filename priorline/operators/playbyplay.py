@@ -135,11 +135,24 @@ def rejected(events: DataFrame, named: DataFrame, s: DataFrame) -> DataFrame:
     return reasons.groupBy("game_id").agg(F.substring(F.min("reason"), 3, 80).alias("reason"))
 
 
-def lines_and_stints(events: DataFrame) -> DataFrame:
-    """Lines (seconds, plus-minus), stints (lineups, points, possessions) and rejected games with the reason."""
+def _followed(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The events, the spells of all games and the rejected games. The events are written first: some ten steps read them,
+    and each would otherwise derive them anew."""
+    events = materialize(events, "events")
     named = materialize(sides(events), "sides")
     s = materialize(spells(events, named), "spells")
-    bad = materialize(rejected(events, named, s), "rejected")
+    return events, s, materialize(rejected(events, named, s), "rejected")
+
+
+def verdicts(events: DataFrame) -> DataFrame:
+    """(game_id, reason) of every game, the reason null where it adds up."""
+    events, _, bad = _followed(events)
+    return events.select("game_id").distinct().join(bad, "game_id", "left")
+
+
+def lines_and_stints(events: DataFrame) -> DataFrame:
+    """Lines (seconds, plus-minus), stints (lineups, points, possessions) and rejected games with the reason."""
+    _, s, bad = _followed(events)
     good = _sides(s.join(bad, "game_id", "left_anti"))
     lines = good.withColumn("player", F.explode("players")).groupBy("game_id", "player", "team").agg(F.sum("seconds").cast("int").alias("seconds"), F.sum(F.col("points") - F.col("against")).cast("int").alias("plus_minus"))
     number = F.dense_rank().over(Window.partitionBy("game_id").orderBy("period", "spell")) - 1

@@ -132,8 +132,8 @@ def lineup_stints(spark, sf_dir):
 @query("select reason, count(*) games from (select coalesce(reason, 'none') reason from (select distinct game_id from plays) left join rejects using (game_id)) group by 1", _PLAYS)
 def lineup_rejects(spark, sf_dir):
     """How many games follow, and how many don't, by reason."""
-    out = playbyplay.lines_and_stints(plays(spark, sf_dir)).groupBy("game_id").agg(F.coalesce(F.max("reason"), F.lit("none")).alias("reason"))
-    return out.groupBy("reason").agg(F.count(F.lit(1)).alias("games"))
+    out = playbyplay.verdicts(plays(spark, sf_dir))
+    return out.groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("games"))
 
 
 def stints_by_season(spark, sf_dir) -> DataFrame:
