@@ -73,34 +73,53 @@ def margin_elo(
 
 
 def batched_elo(rows: DataFrame, *, base: float = 1500.0, k: float = 20.0) -> DataFrame:
-    """Elo whose games of one cutoff are frozen together: a result counts from the first cutoff at or after
+    """Elo whose games of one cutoff are frozen together: a result counts from the first later cutoff at or after
     the moment it is known; pending results lie in a heap by that moment. A result that never is (resolved_at null)
-    changes nothing. rows: season, cutoff (long), resolved_at (long), game_id, team, opp, won."""
+    changes nothing. Equal pairs of one cutoff read equal ratings, so those whose results are known at one moment are one row
+    of the fold, with counts of games and wins: it grows with cutoffs and pairs, not with games. rows: season, cutoff (long),
+    resolved_at (long), game_id, team, opp, won."""
 
     def start() -> dict:
-        return {"ratings": {}, "pending": []}
+        return {"ratings": {}, "due": [], "shifts": {}, "cutoff": None, "pair": None}
 
     def step(state: dict, row: tuple) -> tuple:
-        season, cutoff, resolved, game, team, opp, won = row
-        ratings, pending = state["ratings"], state["pending"]
-        while pending and pending[0][0] <= cutoff:
-            _, _, t, o, p, w = heappop(pending)
-            shift = k * ((1.0 if w else 0.0) - p)
-            ratings[t] = ratings.get(t, base) + shift
-            ratings[o] = ratings.get(o, base) - shift
+        season, cutoff, team, opp, resolved, n, wins = row
+        ratings, due, shifts = state["ratings"], state["due"], state["shifts"]
+        if cutoff != state["cutoff"]:
+            state["cutoff"] = cutoff
+            while due and due[0] <= cutoff:
+                for t, shift in shifts.pop(heappop(due)).items():
+                    ratings[t] = ratings.get(t, base) + shift
+        first, state["pair"] = (cutoff, team, opp) != state["pair"], (cutoff, team, opp)
         rt, ro = ratings.get(team, base), ratings.get(opp, base)
         p = 1.0 / (1.0 + 10.0 ** (-(rt - ro) / 400.0))
         if resolved is not None:
-            heappush(pending, (resolved, game, team, opp, p, won))
-        return season, game, rt, ro, p
-
-    chosen = rows.select("season", "cutoff", "resolved_at", "game_id", "team", "opp", "won")
-    return ordered_fold(chosen, by=["season"], order=["cutoff", "game_id"], start=start, step=step, schema="season int, game_id long, team_rating double, opp_rating double, team_p double")
-
-
-def resolved_elo(games: DataFrame, snapshots: DataFrame, **settings: float) -> DataFrame:
+            if resolved not in shifts:
+                shifts[resolved] = {}
+                heappush(due, resolved)
+            of, shift = shifts[resolved], k * (wins - n * p)
+            of[team] = of.get(team, 0.0) + shift
+            of[opp] = of.get(opp, 0.0) - shift
+        return season, cutoff, team, opp, rt, ro, p, first
+
+    pair = ["season", "cutoff", "team", "opp"]
+    chosen = rows.select(*pair, "resolved_at", "game_id", "won")
+    counts = chosen.groupBy(*pair, "resolved_at").agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("team", "opp")}
+    schema = f"season int, cutoff long, team {kinds['team']}, opp {kinds['opp']}, team_rating double, opp_rating double, team_p double, first boolean"
+    folded = ordered_fold(counts, by=["season"], order=["cutoff", "team", "opp", "resolved_at"], start=start, step=step, schema=schema)
+    rated = folded.where("first").drop("first").withColumnsRenamed({c: f"_{c}" for c in pair})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair]
+    return chosen.join(rated, same).select("season", "game_id", "team_rating", "opp_rating", "team_p")
+
+
+def resolved_elo(games: DataFrame, snapshots: DataFrame | None = None, **settings: float) -> DataFrame:
     """``batched_elo`` on the moments at which results became known: of a game's ``snapshots`` (game_id, taken, won) the
-    first taken at or after the game ended tells its result and when. games: season, cutoff, ended, game_id, team, opp."""
+    first taken at or after the game ended tells its result and when. Games whose rows hold their own snapshots, as an array
+    ``snapshots`` of (taken, won), need no table of them. games: season, cutoff, ended, game_id, team, opp."""
+    if snapshots is None:
+        first = F.array_min(F.filter("snapshots", lambda x: x["taken"] >= F.col("ended")))
+        return batched_elo(games.withColumn("_first", first).select("*", F.col("_first.taken").alias("resolved_at"), F.col("_first.won").alias("won")), **settings)
     ended = games.select("game_id", "ended")
     first = snapshots.join(ended, "game_id").where(F.col("taken") >= F.col("ended")).groupBy("game_id").agg(F.min("taken").alias("resolved_at"), F.min_by("won", "taken").alias("won"))
     return batched_elo(games.join(first, "game_id", "left"), **settings)

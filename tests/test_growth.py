@@ -81,3 +81,32 @@ def test_rotations_compare_no_player_with_all_lines(spark):
 
     told = plan(catalogue.QUERIES["projected_rotation"](spark, SF))
     assert "array_distinct" not in told and "flatten" not in told
+
+
+def test_ratings_fold_pairs_of_a_cutoff_not_games(spark, monkeypatch):
+    """Equal to a replay game by game, whatever the number of games; the fold reads a row for each pair and moment."""
+    from priorline.operators import folds
+    from priorline.plans import catalogue
+
+    rng = random.Random(9)
+    rows = [(1 + k % 2, day := rng.randrange(6), rng.choice([day + 1, day + 1, day + 3, None]), k, t := rng.randrange(3), (t + 1) % 3, rng.random() < 0.6) for k in range(600)]
+    read, plain = [], folds.ordered_fold
+    monkeypatch.setattr(folds, "ordered_fold", lambda df, **named: (read.append(df.count()), plain(df, **named))[1])
+    got = {r.game_id: (r.team_rating, r.opp_rating, r.team_p) for r in folds.batched_elo(spark.createDataFrame(rows, "season int, cutoff long, resolved_at long, game_id long, team int, opp int, won boolean")).collect()}
+    assert read == [len({r[:3] + r[4:6] for r in rows})] and read[0] < len(rows) / 2
+    for season in (1, 2):
+        ratings, pending = {}, []
+        for day in range(6):
+            for x in [x for x in pending if x[0] <= day]:
+                pending.remove(x)
+                ratings[x[1]] = ratings.get(x[1], 1500.0) + x[3]
+                ratings[x[2]] = ratings.get(x[2], 1500.0) - x[3]
+            for _, _, known, game, team, opp, won in [r for r in rows if r[:2] == (season, day)]:
+                a, b = ratings.get(team, 1500.0), ratings.get(opp, 1500.0)
+                p = 1 / (1 + 10 ** ((b - a) / 400))
+                assert all(abs(x - y) < 1e-7 for x, y in zip(got.pop(game), (a, b, p), strict=True))
+                if known is not None:
+                    pending.append((known, team, opp, 20 * (won - p)))
+    assert not got
+    told = plan(catalogue.QUERIES["elo_on_resolution"](spark, SF))
+    assert "Generate" not in told and "min_by" not in told  # no table of snapshots is made and grouped
