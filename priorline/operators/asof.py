@@ -41,6 +41,26 @@ def asof_join(
     return matched.unionByName(left.where(~told(left_time)).select("*", *[F.lit(None).cast(payload_kind[c].dataType).alias(c) for c in wanted]))
 
 
+def asof_ahead(rows: DataFrame, *, by: list[str], time: str, ahead: dict[str, int], take: list[str], tie: list[str], bucket_seconds: int = 86_400) -> DataFrame:
+    """``rows`` with a struct of the columns ``take`` for each name of ``ahead``: those of the last of the rows with equal ``by``
+    that is at most so many seconds, 0 or more, later than the row itself; of equal times the largest by ``tie``. What each row
+    sees is itself or later, so rows are dealt by key and time bucket, with those of the next buckets that lie within reach: one
+    sort, in which every frame only grows. A row with a null key or time gets nulls."""
+    if min(ahead.values()) < 0:
+        raise ValueError("a row can't look back")
+    width = bucket_seconds * 1_000_000
+    at, reach = F.unix_micros(time), max(ahead.values()) * 1_000_000
+    kinds = rows.select(F.struct(*take).alias("x")).schema["x"].dataType
+    told = F.forall(F.array(*[F.col(c).isNotNull() for c in (*by, time)]), lambda x: x)
+    own = F.floor(at / width)
+    near = F.explode(F.sequence(F.floor((at - reach) / width), own)).alias("_bucket")
+    dealt = rows.where(told).select("*", at.alias("_at"), own.alias("_own"), F.struct(at.alias("at"), F.struct(*tie).alias("tie"), F.struct(*take).alias("x")).alias("_known"), near)
+    frame = Window.partitionBy(*by, "_bucket").orderBy("_at")
+    seen = [F.max("_known").over(frame.rangeBetween(Window.unboundedPreceding, s * 1_000_000))["x"].alias(name) for name, s in ahead.items()]
+    found = dealt.select(*rows.columns, "_own", "_bucket", *seen).where("_own = _bucket").drop("_own", "_bucket")
+    return found.unionByName(rows.where(~told).select("*", *[F.lit(None).cast(kinds).alias(name) for name in ahead]))
+
+
 def latest_unambiguous(rows: DataFrame, *, by: list[str], clocks: list[str], pick: Column) -> DataFrame:
     """Per key the rows with the largest clocks: how many share them, and ``pick`` where it is one alone."""
     rank = F.rank().over(Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in clocks]))

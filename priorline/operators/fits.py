@@ -48,8 +48,8 @@ def offset_logistic_by(rows: DataFrame, by: list[str], features: list[str], labe
     all rows, whatever the number of keys, joined with the keys' weights of the step before; the small systems, one a
     key, are solved in the tasks that hold them. It ends when no key's weights move by more than SETTLED."""
     n = len(features)
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    held = materialize(rows.select(*by, F.col(label).cast("double").alias("_y"), (F.col(offset) if offset else F.lit(0.0)).alias("_o"), x.alias("_x")), "fit")
+    x = [F.col(f"_x{i}") for i in range(n)]
+    held = materialize(rows.select(*by, F.col(label).cast("double").alias("_y"), (F.col(offset) if offset else F.lit(0.0)).alias("_o"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]), "fit")
     weights = held.select(*by).distinct().withColumn("w", F.array(*[F.lit(0.0)] * n))
     upper = [(i, j) for i in range(n) for j in range(i, n)]
 
@@ -66,10 +66,13 @@ def offset_logistic_by(rows: DataFrame, by: list[str], features: list[str], labe
 
     schema = weights.withColumn("_moved", F.lit(0.0)).schema
     for _ in range(PASSES):
-        scored = held.join(weights.select(*by, "w"), by).withColumn("_p", sigmoid(F.col("_o") + F.aggregate(F.zip_with("_x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
+        told = weights.select(*by, "w")
+        scored = held.join(told, by).withColumn("_p", sigmoid(F.col("_o") + sum((F.col("w")[i] * x[i] for i in range(n)), F.lit(0.0))))
         bend = F.col("_p") * (1 - F.col("_p"))
-        sums = [F.avg((F.col("_p") - F.col("_y")) * F.col("_x")[i]).alias(f"g{i}") for i in range(n)] + [F.avg(bend * F.col("_x")[i] * F.col("_x")[j]).alias(f"h{i}_{j}") for i, j in upper]
-        weights = materialize(scored.groupBy(*by).agg(F.first("w").alias("w"), *sums).mapInArrow(solve, schema), "weights")
+        slopes, bends = [F.avg((F.col("_p") - F.col("_y")) * c).alias(f"g{i}") for i, c in enumerate(x)], [F.avg(bend * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in upper]
+        # Numbers alone are aggregated, which needs no sort; the weights, one row a key, are joined to the sums.
+        sums = scored.groupBy(*by).agg(*slopes, *bends).join(told, by)
+        weights = materialize(sums.select(*by, "w", *[f"g{i}" for i in range(n)], *[f"h{i}_{j}" for i, j in upper]).mapInArrow(solve, schema), "weights")
         if (weights.agg(F.max("_moved")).head()[0] or 0.0) < SETTLED:
             break
     return weights.select(*by, "w")

@@ -110,3 +110,33 @@ def test_ratings_fold_pairs_of_a_cutoff_not_games(spark, monkeypatch):
     assert not got
     told = plan(catalogue.QUERIES["elo_on_resolution"](spark, SF))
     assert "Generate" not in told and "min_by" not in told  # no table of snapshots is made and grouped
+
+
+def test_rows_seen_ahead_equal_a_loop_and_are_not_multiplied(spark):
+    """Moments around the ends of buckets, equal ones, a hot key, null keys and times; rows only go to the buckets they are seen from."""
+    from priorline.operators import asof
+
+    rng, hour = random.Random(3), 3600
+    rows = [(k, rng.choice([1, 1, 1, 2, None]), None if rng.random() < 0.05 else 24 * hour * rng.randrange(3) + rng.choice([0, 1, 5 * hour, 6 * hour, 20 * hour, 24 * hour - 1]), rng.choice(["a", None])) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, key int, s long, v string").select("id", "key", "v", F.timestamp_seconds("s").alias("at"), "s")
+    ahead = {"now": 0, "later": 6 * hour, "last": 30 * hour}
+    found = asof.asof_ahead(df, by=["key"], time="at", ahead=ahead, take=["id", "v"], tie=["id"])
+    assert "Union" in plan(found) and "Join" not in plan(found)
+    got = {r.id: r for r in found.collect()}
+    assert len(got) == len(rows)
+    for k, key, s, _ in rows:
+        for name, more in ahead.items():
+            seen = [(t, i, v) for i, other, t, v in rows if None not in (key, s, t) and other == key and t <= s + more]
+            assert (tuple(got[k][name]) if got[k][name] else None) == (max(seen)[1:] if seen else None)
+
+
+def test_fits_by_key_aggregate_numbers_alone(spark, monkeypatch):
+    """An array among the aggregates would have every pass sort all rows."""
+    from priorline.operators import fits
+
+    plans, plain = [], fits.materialize
+    monkeypatch.setattr(fits, "materialize", lambda df, *a, **named: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, *a, **named))[1])
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k % 2, rng.random(), rng.random() < 0.5) for k in range(80)], "key int, x double, won boolean")
+    assert fits.offset_logistic_by(df, ["key"], ["x"], "won").count() == 2
+    assert len(plans) > 2 and not any("SortAggregate" in x for x in plans)
