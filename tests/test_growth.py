@@ -140,3 +140,33 @@ def test_fits_by_key_aggregate_numbers_alone(spark, monkeypatch):
     df = spark.createDataFrame([(k % 2, rng.random(), rng.random() < 0.5) for k in range(80)], "key int, x double, won boolean")
     assert fits.offset_logistic_by(df, ["key"], ["x"], "won").count() == 2
     assert len(plans) > 2 and not any("SortAggregate" in x for x in plans)
+
+
+def test_windows_of_features_run_over_dates(spark):
+    """Equal to a loop with many games a date, few and none before; rows go into no window, but each date's last ones."""
+    from datetime import date, timedelta
+
+    from priorline.operators import rolling
+    from priorline.plans import catalogue
+
+    rng, start = random.Random(4), date(2024, 1, 1)
+    rows = [(rng.choice("ab"), start + timedelta(days=rng.choice([0, 1, 1, 2, 5, 9, 20])), k, rng.randrange(2), rng.randrange(2), rng.randrange(-9, 9)) for k in range(120)]
+    df = spark.createDataFrame(rows, "team string, day date, game int, away int, won int, margin int")
+    load = rolling.load_features(df, by=["team"], day="day", away="away")
+    form = rolling.form_features(df, by=["team"], day="day", order="game", won="won", margin="margin")
+    got = {r.game: r for r in load.join(form.select("game", "n_last", "win_rate", "mean_margin"), "game").collect()}
+    assert len(got) == len(rows)
+    for team, day, game, *_ in rows:
+        before = sorted((d, g, a, w, m) for t, d, g, a, w, m in rows if t == team and d < day)
+        gap, week, ten = (day - before[-1][0]).days if before else None, [x for x in before if (day - x[0]).days <= 7], before[-10:]
+        r = got[game]
+        assert (r.rest_days, r.back_to_back, r.games_7d, r.road_7d, r.n_last) == ((gap or 1) - 1, gap == 1, len(week), sum(x[2] for x in week), len(ten))
+        want = (sum(x[3] for x in ten) / len(ten), sum(x[4] for x in ten) / len(ten)) if ten else (0.5, 0.0)
+        assert all(abs(a - b) < 1e-12 for a, b in zip((r.win_rate, r.mean_margin), want, strict=True))
+    nobody = rolling.load_features(df.withColumn("team", F.lit(None).cast("string")), by=["team"], day="day", away="away")
+    assert nobody.count() == len(rows)
+    shown = plan(form)
+    assert "WindowGroupLimit" in shown
+    told = plan(load)
+    assert told.index("Window") < told.index("Aggregate")  # windows stand on the counts of dates
+    assert "Window" not in plan(catalogue.QUERIES["side_features"](spark, SF))  # games meet a written table of dates
