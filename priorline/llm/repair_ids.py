@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorline.llm.common import pieces, release_memory
-from priorline.llm.tokens import AT_ONCE, encoder
+from priorline.llm.tokens import encoder
 from priorline.session import materialize
 
 TOKENIZER, END_ID, FIRST_NONTERMINAL = "word_bpe_49k.json", 1, 49_408
@@ -41,6 +41,8 @@ TOKENIZER, END_ID, FIRST_NONTERMINAL = "word_bpe_49k.json", 1, 49_408
 #: that overlaps leave with fewer uses waits for a later round.
 BLOCK_IDS, LEAST_COUNT, STEP, LEAST_USES = 1 << 20, 12, 32, 4
 MAGIC, HEAD = b"RPR2", "<IIIII"
+#: Bytes of text whose different words are looked up together: the more at once, the fewer of them.
+AT_ONCE = 8_000_000
 _TABLE_BITS = 18
 BLOCKS = "part int, block int, first_id long, n_ids long, doc_ids array<long>, data binary"
 READ = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -50,7 +52,7 @@ def _pairs(symbols: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
     """Each pair of neighbours as one number, and its place in a table of 2**_TABLE_BITS."""
     kind, bits, spread = (np.uint32, 16, np.uint32(0x9E3779B1)) if narrow else (np.uint64, 32, np.uint64(0x9E3779B97F4A7C15))
     pairs = symbols[:-1].astype(kind) << kind(bits) | symbols[1:].astype(kind)
-    return pairs, (pairs * spread >> kind(2 * bits - _TABLE_BITS)).astype(np.int32)
+    return pairs, (pairs * spread >> kind(2 * bits - _TABLE_BITS)).astype(np.intp)
 
 
 def _round(symbols: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +62,13 @@ def _round(symbols: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np
     if len(symbols) < 2:
         return symbols, none
     pairs, slots = _pairs(symbols, first <= 1 << 16)
-    usable = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
+    # Pairs with an end id go to a slot of their own, behind the table.
+    ends = np.flatnonzero(symbols == end_id)
+    slots[ends[ends < len(slots)]] = slots[ends[ends > 0] - 1] = 1 << _TABLE_BITS
     # A slot's count is at least that of each of its pairs, so few pairs have to be sorted.
-    places = np.flatnonzero(usable & (np.bincount(slots[usable], minlength=1 << _TABLE_BITS)[slots] >= LEAST_COUNT))
+    full = np.bincount(slots, minlength=1 + (1 << _TABLE_BITS)) >= LEAST_COUNT
+    full[-1] = False
+    places = np.flatnonzero(full.take(slots))
     ordered = np.sort(pairs[places])
     begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
     counts = np.diff(np.r_[begins, len(ordered)])
@@ -76,11 +82,12 @@ def _round(symbols: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np
     bits = 16 if narrow else 32
     left, right = (chosen >> chosen.dtype.type(bits)).astype(np.uint32), (chosen & chosen.dtype.type((1 << bits) - 1)).astype(np.uint32)
     at = _pairs(np.stack((left, right), 1).reshape(-1), narrow)[1][::2]
-    number = np.full(1 << _TABLE_BITS, -1, np.int32)
+    number = np.full(1 + (1 << _TABLE_BITS), -1, np.int32)
     number[at] = np.arange(len(chosen))
-    rule = number[slots]
-    hits = np.flatnonzero(usable & (rule >= 0))
-    rule = rule[hits]
+    # What is chosen lies in a full slot, so no other place is looked at.
+    rule = number.take(slots[places])
+    taken = rule >= 0
+    hits, rule = places[taken], rule[taken]
     same = chosen[rule] == pairs[hits]
     hits, rule = hits[same], rule[same]
     # Neighbouring hits overlap: of each run of them every second one counts, from the left.

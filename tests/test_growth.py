@@ -170,3 +170,18 @@ def test_windows_of_features_run_over_dates(spark):
     told = plan(load)
     assert told.index("Window") < told.index("Aggregate")  # windows stand on the counts of dates
     assert "Window" not in plan(catalogue.QUERIES["side_features"](spark, SF))  # games meet a written table of dates
+
+
+def test_repair_looks_up_the_words_of_megabytes_together():
+    """A word that is all over some megabytes of texts is looked up once, and no pair reaches over an end id."""
+    import numpy as np
+    import pyarrow as pa
+
+    from priorline.llm import repair_ids
+    from priorline.llm.common import pieces
+
+    assert len(list(pieces(pa.array(["word " * 1000] * 1000), repair_ids.AT_ONCE))) == 1
+    for ids in ([1], [1, 1, 1], [5, 5] * 30 + [1], [1] + [7] * 50 + [1], [3, 1] * 40):
+        starts = np.r_[0, np.flatnonzero(np.array(ids) == 1)[:-1] + 1]
+        block = repair_ids.Block(repair_ids.compress(np.array(ids, "<u2"), starts))
+        assert block.ids().tolist() == ids and sum((block.document(k).tolist() for k in range(len(block))), []) == ids
