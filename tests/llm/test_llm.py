@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from priorline.llm import chat_format, fingerprints, html_text, language, media, mixing, ngram_join, packing, repair_ids, suffix_dedup
+from priorline.llm import queries as llm_queries
 from priorline.llm.components import components
 from priorline.llm.tokens import Encoder
 
@@ -91,6 +92,23 @@ def test_suffix_dedup_equals_brute_force(docs, rows, batches, length):
     assert sorted((tuple(r) for r in got), key=str) == brute_removal(rows, length)
 
 
+def test_suffix_dedup_gives_spans_and_texts(spark, docs, rows, tmp_path):
+    passage = words(random.Random(8), 120)
+    odd = [(600, f"one {passage}é end", "fr", "s0", 0), (601, f"two {passage}è stop", "fr", "s0", 0)]  # the cut divides é and è
+    docs.unionByName(spark.createDataFrame(odd, DOCS)).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    told = brute_cuts(rows + odd, suffix_dedup.LENGTH)
+    starts = lambda gone, on: [k for k in range(len(gone)) if gone[k] == on and (k == 0 or gone[k - 1] != on)]
+    runs = lambda gone: [(a, next((b for b in starts(gone, 0) if b > a), len(gone))) for a in starts(gone, 1)]
+    got = [(r.doc_id, r.n_bytes, [tuple(x) for x in r.spans], bytes(r.kept)) for r in suffix_dedup.cut(table).collect()]
+    assert sorted(got, key=str) == sorted(((i, len(b), runs(gone), kept) for i, b, gone, _, kept in told), key=str)
+    query = llm_queries.op1_suffix_array_dedup(spark, str(tmp_path))
+    assert query.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    want = [(i, len(b), sum(gone), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")) for i, b, gone, n, kept in told]
+    assert sorted(map(tuple, query.collect()), key=str) == sorted(want, key=str)
+    assert {i: text for i, *_, text in want}[600] == "one\ufffd end"
+
+
 def test_levels_merge_geometrically_and_persist(spark):
     rng = random.Random(5)
     family, said, seen = suffix_dedup.SuffixFamily(spark), [], []
